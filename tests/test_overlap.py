@@ -1,0 +1,50 @@
+import itertools
+import random
+
+import pytest
+
+from tidemill.operators import overlap as ov
+from tidemill.plans import wastage
+
+
+def brute(sets, t):
+    out = []
+    for a, b in itertools.combinations(sorted(sets), 2):
+        shared = sets[a] & sets[b]
+        value = len(shared) / len(sets[a] | sets[b])
+        if value >= t:
+            out.append((a, b, value, sorted(shared)))
+    return out
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.6, 0.8, 1.0])
+def test_matches_brute_force(spark, rows, t, monkeypatch):
+    monkeypatch.setattr(ov, "BLOCK", 7)
+    rng = random.Random(2)
+    sets = {}
+    for i in range(90):
+        if i % 3 == 0:
+            sets[f"t{i:03d}"] = {"hub", "id", "name"}  # a third are copies
+        else:
+            sets[f"t{i:03d}"] = {"hub"} | {rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))}
+    members = spark.createDataFrame(
+        [(n, m) for n, s in sets.items() for m in s for _ in range(2)], "name string, member string")
+    got = ov.overlapping_sets(members, t)
+    assert rows(got, "name_a", "name_b") == brute(sets, t)
+
+
+def test_golden_schemas(spark, rows):
+    columns = spark.createDataFrame(
+        [(t, c) for t, cs in {"ga": "abc", "gb": "bcd", "gc": "cde"}.items() for c in cs],
+        "table_name string, column_name string")
+    pairs = wastage.duplicate_schemas(columns)
+    assert rows(pairs, "table_a") == [("ga", "gb", 0.5, ["b", "c"]), ("gb", "gc", 0.5, ["c", "d"])]
+    reason = "50% of columns overlap (['b', 'c']) -- possible redundant pipelines"
+    assert rows(wastage.schema_findings(pairs), "finding")[0] == (
+        wastage.SCHEMAS_TITLE, "ga <-> gb", reason)
+
+
+def test_no_cross_product_in_plan(spark):
+    columns = spark.createDataFrame([("a", "x")], "table_name string, column_name string")
+    plan = wastage.duplicate_schemas(columns)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

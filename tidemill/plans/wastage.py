@@ -102,10 +102,18 @@ def _finding(check: str, finding: Column, reason: Column) -> list[Column]:
     return [F.lit(check).alias("check"), finding.alias("finding"), reason.alias("reason")]
 
 
+def _instant(at: Column) -> Column:
+    """Date, time and offset; microseconds only where there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    exact = F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.concat(F.when(F.date_trunc("second", at) == at, whole).otherwise(exact),
+                    F.lit("+00:00"))
+
+
 def unused_findings(unused: DataFrame) -> DataFrame:
     reason = F.format_string(
         "written by a pipeline (last: %s) but never read as an input by any other tracked run",
-        F.col("last_written").cast("string"))
+        _instant(F.col("last_written")))
     return unused.select(*_finding(UNUSED_TITLE, F.col("table_name"), reason))
 
 
