@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import stage
+
 BLOCK = 1000  # names per block when a shape is expanded
 SLACK = 1e-9  # keeps ceil() exact where the product is a whole number
 
@@ -40,12 +42,11 @@ def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    rows = (members.select("name", "member")
-            .filter(F.col("name").isNotNull() & F.col("member").isNotNull()).distinct())
-    sets = (rows.groupBy("name").agg(F.sort_array(F.collect_list("member")).alias("items"))
-            .withColumn("shape", F.sha2(F.to_json("items"), 256)))
-    shapes = sets.groupBy("shape").agg(F.first("items").alias("items"),
-                                       F.count(F.lit(1)).alias("names"))
+    sets = stage(
+        members.filter(F.col("name").isNotNull() & F.col("member").isNotNull())
+        .groupBy("name").agg(F.sort_array(F.collect_set("member")).alias("items"))
+        .withColumn("shape", F.sha2(F.to_json("items"), 256)), "sets")
+    shapes = stage(sets.groupBy("shape", "items").agg(F.count(F.lit(1)).alias("names")), "shapes")
     matched = _matching_shapes(shapes, threshold)
     copies = shapes.filter("names > 1").select(
         F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"),
@@ -57,13 +58,12 @@ def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
 def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:
     exploded = shapes.select("shape", "names", F.explode("items").alias("member"))
     uses = exploded.groupBy("member").agg(F.count(F.lit(1)).alias("uses"))
-    ranked = (
+    ranked = stage(
         exploded.join(uses, "member")
         .groupBy("shape", "names")
         .agg(F.sort_array(F.collect_list(F.struct("uses", "member"))).alias("rank"))
         .select("shape", "names", F.col("rank.member").alias("items"),
-                F.size("rank").alias("size"))
-    )
+                F.size("rank").alias("size")), "ranked")
 
     def heads(length: Column) -> DataFrame:
         return (ranked.withColumn("head", F.slice("items", F.lit(1), length))
@@ -80,15 +80,19 @@ def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:
     met = larger.join(smaller, (F.col("a.member") == F.col("b.member")) & in_order
                       & (F.col("b.size") >= _ceil(F.lit(t) * F.col("a.size")))
                       & (left >= needed))
-    common = F.size("common")
+    # A pair meets at each member common to both heads; the first one counts.
+    # It is the first when one head starts with it, or nothing before it is shared.
+    first = (F.col("a.pos") == 0) | (F.col("b.pos") == 0) | ~F.arrays_overlap(
+        F.slice("a.items", F.lit(1), F.col("a.pos")), F.slice("b.items", F.lit(1), F.col("b.pos")))
+    common = F.array_intersect("a.items", "b.items")
+    count = F.size(common)
+    overlap = count / (F.col("a.size") + F.col("b.size") - count)
+    # Filters run in this order, so lists are intersected once per remaining pair.
     return (
-        met.withColumn("common", F.array_intersect("a.items", "b.items"))
-        .filter(F.col("common")[0] == F.col("a.member"))
-        .withColumn("overlap", common / (F.col("a.size") + F.col("b.size") - common))
-        .filter(F.col("overlap") >= t)
+        met.filter(first).filter(count >= needed).filter(overlap >= t)
         .select(F.col("a.shape").alias("shape_a"), F.col("b.shape").alias("shape_b"),
                 F.col("a.names").alias("names_a"), F.col("b.names").alias("names_b"),
-                "overlap", F.sort_array("common").alias("shared"))
+                overlap.alias("overlap"), F.sort_array(common).alias("shared"))
     )
 
 

@@ -1,11 +1,11 @@
-"""Session defaults and the shared scratch folder."""
+"""Session defaults, the shared scratch folder, and ways to lay out intermediate data."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every plan in this library relies on or benefits from.
 # Cluster sizing (executors, memory, shuffle partitions) stays with the caller.
@@ -56,3 +56,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the scratch folder and read it back.
+
+    For a result several later steps start from: it is computed once, its
+    lineage ends in files that outlive any executor, and the planner knows
+    its size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer parts than the cluster has cores.
+
+    Worth a shuffle only before heavy work per row on input of few files or
+    row groups; a large input has parts enough and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -253,26 +253,26 @@ def dependency_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- retrieval ---------------------------------------------------------------
 
 def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = rel.load(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(tx.sliding(F.col("text")))
-                       .alias("chunk_index", "chunk"))
+    docs = rel.documents(spark, sf_dir)
+    return tx.explode_parts(docs.select("doc_id", tx.sliding(F.col("text")).alias("chunk")),
+                            "chunk", "chunk_index")
 
 
 def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rel.documents_md(spark, sf_dir)
-    return docs.select("doc_id", F.posexplode(tx.blocks(F.col("text")))
-                       .alias("block_index", "block"))
+    return tx.explode_parts(docs.select("doc_id", tx.blocks(F.col("text")).alias("block")),
+                            "block", "block_index")
 
 
 def chunk_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rel.documents_md(spark, sf_dir)
-    return docs.select("doc_id", F.posexplode(tx.chunks(F.col("text")))
-                       .alias("chunk_index", "chunk"))
+    return tx.explode_parts(docs.select("doc_id", tx.chunks(F.col("text")).alias("chunk")),
+                            "chunk", "chunk_index")
 
 
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts per hash slot of every document, as (doc_id, slot, words)."""
-    docs = rel.load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = rel.documents(spark, sf_dir)
     vectors = retrieval.embed(docs, dims=EMBED_DIMS)
     slots = vectors.select("doc_id", F.posexplode("embedding").alias("slot", "words"))
     return slots.filter("words > 0").select("doc_id", "slot", F.col("words").cast("long"))

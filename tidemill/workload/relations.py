@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.plans.runlog import HOURLY_RATE_USD
-from tidemill.session import configure
+from tidemill.session import configure, spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, on all cores even where they come as one small file."""
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def naive(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as the comparison expects them."""
     return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name)
@@ -122,7 +127,7 @@ def documents_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = (F.when(F.col("doc_id") % 3 == 0, F.replace(text, F.lit("\n"), F.lit("\n\n")))
               .when(F.col("doc_id") % 3 == 1, F.replace(text, F.lit("\n"), F.lit("\n| ")))
               .otherwise(text))
-    return load(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", marked.alias("text"))
 
 
 # A question per remainder of the conversation number.
