@@ -77,9 +77,7 @@ def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:
     left = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
     in_order = (F.col("a.size") > F.col("b.size")) | (
         (F.col("a.size") == F.col("b.size")) & (F.col("a.shape") > F.col("b.shape")))
-    met = larger.join(smaller, (F.col("a.member") == F.col("b.member")) & in_order
-                      & (F.col("b.size") >= _ceil(F.lit(t) * F.col("a.size")))
-                      & (left >= needed))
+    fits = in_order & (F.col("b.size") >= _ceil(F.lit(t) * F.col("a.size"))) & (left >= needed)
     # A pair meets at each member common to both heads; the first one counts.
     # It is the first when one head starts with it, or nothing before it is shared.
     first = (F.col("a.pos") == 0) | (F.col("b.pos") == 0) | ~F.arrays_overlap(
@@ -87,9 +85,11 @@ def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:
     common = F.array_intersect("a.items", "b.items")
     count = F.size(common)
     overlap = count / (F.col("a.size") + F.col("b.size") - count)
-    # Filters run in this order, so lists are intersected once per remaining pair.
+    # Nested, because the optimizer reorders plain conjuncts and would
+    # intersect the lists of every pair that meets.
+    qualifies = F.when(fits, F.when(first, F.when(count >= needed, overlap >= t)))
     return (
-        met.filter(first).filter(count >= needed).filter(overlap >= t)
+        larger.join(smaller, (F.col("a.member") == F.col("b.member")) & qualifies)
         .select(F.col("a.shape").alias("shape_a"), F.col("b.shape").alias("shape_b"),
                 F.col("a.names").alias("names_a"), F.col("b.names").alias("names_b"),
                 overlap.alias("overlap"), F.sort_array(common).alias("shared"))

@@ -13,11 +13,13 @@ def load_corpus(spark: SparkSession, path: str, name_glob: str = "*") -> DataFra
 
     Folders are searched recursively. Bytes that are not UTF-8 are dropped.
     """
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", name_glob).text(path))
-    # Spark decodes undecodable bytes to U+FFFD.
-    return files.select(F.col("_metadata.file_path").alias("source"),
-                        F.replace("value", F.lit("\ufffd"), F.lit("")).alias("text"))
+    files = (spark.read.option("recursiveFileLookup", True)
+             .option("pathGlobFilter", name_glob).text(path, wholetext=True))
+    # Making a text valid turns undecodable bytes into U+FFFD, which is then removed.
+    cleaned = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    return files.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(cleaned).alias("text"))
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:

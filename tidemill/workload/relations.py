@@ -114,7 +114,7 @@ def schema_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every table also has the load stamp, the column found everywhere.
     """
-    lines = load(spark, sf_dir, "lineitem").select(
+    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")).select(
         F.concat(F.lit("ord_"), F.col("l_orderkey").cast("string")).alias("table_name"),
         F.concat(F.lit("p_"), F.col("l_partkey").cast("string")).alias("column_name"))
     stamp = lines.select("table_name", F.lit("_ingested_at").alias("column_name"))
