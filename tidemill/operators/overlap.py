@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.lookup import salted_join
 from tidemill.session import stage
 
 BLOCK = 1000  # names per block when a shape is expanded
@@ -59,7 +60,7 @@ def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:
     exploded = shapes.select("shape", "names", F.explode("items").alias("member"))
     uses = exploded.groupBy("member").agg(F.count(F.lit(1)).alias("uses"))
     ranked = stage(
-        exploded.join(uses, "member")
+        salted_join(exploded, uses, "member", "shape", "inner")
         .groupBy("shape", "names")
         .agg(F.sort_array(F.collect_list(F.struct("uses", "member"))).alias("rank"))
         .select("shape", "names", F.col("rank.member").alias("items"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.dedupe import latest_by_key
+from tidemill.operators.lookup import salted_join
 
 
 def stg_orders(bronze: DataFrame) -> DataFrame:
@@ -42,17 +43,15 @@ def stg_customers(bronze: DataFrame) -> DataFrame:
 def daily_revenue(orders: DataFrame, customers: DataFrame, status: str = "completed") -> DataFrame:
     """Order count and revenue per day and region of the orders in one status.
 
-    Orders without a customer form the null region. The join is left to the
-    adaptive planner: a small customer side is broadcast by its measured size,
-    otherwise a customer owning a large share of the orders is split across
-    tasks (the join's output is shuffled again by day and region, so splitting
-    costs no extra exchange), and the final sums are combined map-side.
+    Orders without a customer form the null region. A customer may own a large
+    share of the orders, so its orders are spread over tasks for the join; the
+    sums are combined map-side before their shuffle.
     """
     kept = orders.filter(F.col("order_status") == status).select(
         "order_id", "customer_id", "order_amount",
         F.date_trunc("day", "created_at").alias("order_date"))
     regions = customers.select("customer_id", "region")
-    return (kept.join(regions, "customer_id", "left")
+    return (salted_join(kept, regions, "customer_id", "order_id")
             .groupBy("order_date", "region")
             .agg(F.count("order_id").alias("order_count"),
                  F.sum("order_amount").alias("total_revenue")))

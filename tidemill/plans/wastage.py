@@ -72,20 +72,17 @@ def runtime_regressions(trend: DataFrame, threshold: float = RUNTIME_TREND_THRES
 def output_columns(spark: SparkSession, runs: DataFrame) -> DataFrame:
     """(table_name, column_name) of every output table that resolves to a table.
 
-    The driver resolves each distinct table name once, as it does for any read;
-    it sees names and schemas, no data.
+    Table folders are resolved together, from their commit rows; other names
+    one by one in the session catalog. No data is read, and the driver sees
+    only the names.
     """
-    names = runs.select(F.explode("output_tables").alias("table_name")).distinct()
-    rows = []
-    for row in names.toLocalIterator():
-        name = row["table_name"]
-        if "/" not in name and spark.catalog.tableExists(name):
-            columns = spark.table(name).columns
-        else:
-            schema = tables.table_schema(spark, name) if "/" in name else None
-            columns = schema.fieldNames() if schema is not None else []
-        rows += [(name, column) for column in columns]
-    return spark.createDataFrame(rows, "table_name string, column_name string")
+    names = [row[0] for row in runs.select(F.explode("output_tables")).distinct().collect()]
+    folders = [name for name in names if "/" in name]
+    known = [(name, column) for name in names
+             if "/" not in name and spark.catalog.tableExists(name)
+             for column in spark.table(name).columns]
+    listed = spark.createDataFrame(known, "table_name string, column_name string")
+    return listed.unionByName(tables.columns_of(spark, folders))
 
 
 def duplicate_schemas(columns: DataFrame,

@@ -18,6 +18,7 @@ import re
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -41,7 +42,7 @@ SLOT_VALUE = re.compile(r"[A-Za-z0-9_-]+")
 def _commits(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return (spark.read.schema(COMMITS).option("recursiveFileLookup", True)
-                .json(f"{path}/commits"))
+                .json(path if path.endswith("/commits") else f"{path}/commits"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -89,6 +90,35 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
     return None if commit is None else _schema_of(commit)
 
 
+def columns_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(table_name, column_name) of the latest version of many tables, in one read.
+
+    Paths without a table are left out.
+    """
+    no_scheme = "^file:/+"
+    wanted = spark.createDataFrame([(path,) for path in paths], "table_name string").withColumn(
+        "place", F.rtrim(F.regexp_replace("table_name", no_scheme, "/"), F.lit("/")))
+    rest_of: dict[str, list[str]] = {}
+    for path in paths:
+        root, rest = re.fullmatch(r"(\w+://[^/]*/|\w+:/|/|)(.*?)/*", path).groups()
+        rest_of.setdefault(root, []).append(rest)
+    found = []
+    for root, rests in rest_of.items():
+        # A pattern matches the folders that exist and passes over the others.
+        commits = _commits(spark, f"{root}{{{','.join(rests)}}}/commits")
+        if commits is not None:
+            found.append(commits.select("version", "schema_json", F.regexp_extract(
+                F.regexp_replace("_metadata.file_path", no_scheme, "/"), "^(.*)/commits/", 1)
+                .alias("place")))
+    if not found:
+        return wanted.select("table_name", F.lit("").alias("column_name")).limit(0)
+    fields = F.from_json("schema_json", "fields array<struct<name string>>")
+    latest = (reduce(DataFrame.unionByName, found).groupBy("place")
+              .agg(F.max_by(fields, "version").alias("layout")))
+    return wanted.join(latest, "place").select(
+        "table_name", F.explode("layout.fields.name").alias("column_name"))
+
+
 def table_history(spark: SparkSession, path: str) -> DataFrame:
     """One row per published version."""
     commits = _commits(spark, path)

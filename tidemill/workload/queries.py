@@ -110,7 +110,8 @@ def time_travel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _upserted(spark, sf_dir)
     counts = [tables.read_table(spark, path, version).agg(F.count(F.lit(1)).alias("rows"))
               .withColumn("version", F.lit(version)) for version in (0, 1)]
-    return (tables.table_history(spark, path).select("version", "operation")
+    return (tables.table_history(spark, path)
+            .select(F.col("version").cast("int").alias("version"), "operation")
             .join(reduce(DataFrame.unionByName, counts), "version"))
 
 
@@ -275,7 +276,7 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rel.documents(spark, sf_dir)
     vectors = retrieval.embed(docs, dims=EMBED_DIMS)
     slots = vectors.select("doc_id", F.posexplode("embedding").alias("slot", "words"))
-    return slots.filter("words > 0").select("doc_id", "slot", F.col("words").cast("long"))
+    return slots.filter("words > 0").select("doc_id", F.col("slot").cast("long"), F.col("words").cast("long"))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
