@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill import schemas
 from tidemill.plans import revenue
 from tidemill.plans.runlog import RunLog
+from tidemill.session import local_rows
 from tidemill.sources import tables
 
 VIEW, TABLE = "view", "table"
@@ -75,11 +78,10 @@ def run_models(spark: SparkSession, bronze: dict[str, str], lake: str, run_log:
             counted += counter.get["rows"] if name in passed else built[name].count()
         run.rows_written = counted
         run.output_tables = [model.full_name for model in models]
-    edges = [(model.full_name, name) for model in models for name in model.inputs]
-    reads = spark.createDataFrame(
-        [(places.get(name, name),) for _, name in edges], "table_name string")
-    run_log.record_reads(reads.coalesce(1).select(
-        "table_name", F.current_timestamp().alias("read_at"), F.lit(job_name).alias("reader_job")))
+    now = datetime.now(timezone.utc)
+    edges = [dict(table_name=places.get(name, name), read_at=now, reader_job=job_name)
+             for model in models for name in model.inputs]
+    run_log.record_reads(local_rows(spark, edges, schemas.TABLE_READS))
     return {model.full_name: built[model.full_name] for model in models}
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tidemill import schemas
 from tidemill.operators.dedupe import latest_by_key
+from tidemill.session import local_rows
 from tidemill.sources import tables
 
 # Fixed value: nominal price of an hour's run, the stand-in for a real bill.
@@ -62,10 +63,9 @@ class RunLog:
         self.reads_path = reads_path
 
     def _append(self, rows: Sequence[dict]) -> None:
-        stamped = [tuple({**row, "logged_at": _now()}.get(name)
-                         for name in schemas.RUN_LOG.fieldNames()) for row in rows]
-        frame = self.spark.createDataFrame(stamped, schemas.RUN_LOG).coalesce(1)
-        tables.append_rows(frame, self.runs_path, ["job_type"])
+        stamped = [{**row, "logged_at": _now()} for row in rows]
+        tables.append_rows(local_rows(self.spark, stamped, schemas.RUN_LOG),
+                           self.runs_path, ["job_type"])
 
     def start(self, job_name: str, job_type: str, input_tables: Sequence[str] = ()) -> Run:
         run = Run(str(uuid.uuid4()), job_name, job_type, _now(), list(input_tables))
@@ -113,17 +113,20 @@ class RunLog:
         self.end(run)
 
     def record_read(self, table_name: str, reader_job: str) -> None:
-        self.record_reads(self.spark.createDataFrame(
-            [(table_name, _now(), reader_job)], schemas.TABLE_READS).coalesce(1))
+        row = dict(table_name=table_name, read_at=_now(), reader_job=reader_job)
+        self.record_reads(local_rows(self.spark, [row], schemas.TABLE_READS))
 
     def record_reads(self, reads: DataFrame) -> None:
         """Append rows of the read-log schema, laid out by day."""
         dated = reads.withColumn("read_date", F.to_date("read_at"))
         tables.append_rows(dated, self.reads_path, ["read_date"])
 
-    def runs(self) -> DataFrame:
-        """One row per run, as it stands now."""
-        return current_runs(tables.read_log(self.spark, self.runs_path, schemas.RUN_LOG))
+    def runs(self, job_type: str | None = None) -> DataFrame:
+        """One row per run, as it stands now; of one type, reading only that type's files."""
+        log = tables.read_log(self.spark, self.runs_path, schemas.RUN_LOG)
+        if job_type is not None:
+            log = log.filter(F.col("job_type") == job_type)  # a run never changes its type
+        return current_runs(log)
 
     def reads(self) -> DataFrame:
         """The read log; empty with its columns when nothing was recorded yet."""

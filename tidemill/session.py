@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Runtime SQL settings every plan in this library relies on or benefits from.
 # Cluster sizing (executors, memory, shuffle partitions) stays with the caller.
@@ -58,6 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def local_rows(spark: SparkSession, rows: Sequence[dict], schema: T.StructType) -> DataFrame:
+    """A handful of driver-made rows as one partition, without starting Python workers."""
+    return spark.createDataFrame(
+        pa.Table.from_pylist(list(rows), schema=to_arrow_schema(schema)), schema)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the scratch folder and read it back.
 

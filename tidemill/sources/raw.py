@@ -17,6 +17,9 @@ from tidemill.sources import tables
 FORMATS = ("json", "csv")
 INGESTED_AT = "_ingested_at"
 
+# Fixed value: how ingestion runs are named, before the source's name.
+JOB_PREFIX = "autoloader_"
+
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -121,7 +124,7 @@ def ingest(spark: SparkSession, spec: SourceSpec, run_log: RunLog, root: str = "
     loaded are taken, and merged by ``primary_key``.
     """
     target = _located(root, spec.bronze_table)
-    with run_log.track(f"autoloader_{spec.name}", "batch_ingestion", [spec.raw_path]) as run:
+    with run_log.track(JOB_PREFIX + spec.name, "batch_ingestion", [spec.raw_path]) as run:
         raw = read_raw(spark, spec, root)
         if incremental:
             _merge_new_rows(spark, spec, raw, target)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.session import local_rows
+
 COMMITS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("committed_at", T.TimestampType()),
@@ -75,8 +77,9 @@ def _shape(schema: T.StructType) -> list[tuple[str, str]]:
 
 def _publish(spark: SparkSession, path: str, version: int, operation: str, rows: int,
              slot: str | None, parts: Sequence[str], schema: T.StructType) -> None:
-    row = (version, datetime.now(timezone.utc), operation, rows, slot, list(parts), schema.json())
-    (spark.createDataFrame([row], COMMITS).coalesce(1)
+    row = dict(version=version, committed_at=datetime.now(timezone.utc), operation=operation,
+               rows_written=rows, slot=slot, parts=list(parts), schema_json=schema.json())
+    (local_rows(spark, [row], COMMITS)
      .write.mode("errorifexists").json(f"{path}/commits/{version}"))
 
 
