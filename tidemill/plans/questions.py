@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import routing
-from tidemill.plans import reports, wastage
+from tidemill.plans import reports, retrieval, wastage
 
 
 def route(questions: DataFrame, column: str = "question") -> DataFrame:
@@ -29,3 +30,25 @@ def run_tool(name: str, runs: DataFrame, reads: DataFrame,
     if name not in tools:
         raise ValueError(f"Unknown tool {name!r}; one of {sorted(tools)}")
     return tools[name]()
+
+
+def answers(asked: DataFrame, runs: DataFrame, reads: DataFrame, store: Callable[[], DataFrame],
+            as_of: datetime | Column | None = None, k: int = retrieval.CONTEXT_HITS,
+            fn: retrieval.Embedder | None = None,
+            dims: int = retrieval.DIMS) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Route questions (qid, question) and give what each tool in use answers from.
+
+    Returns the questions with their tool, and per tool its rows. Document
+    search gives one context per question; the other tools answer all their
+    questions alike. ``store`` is opened only if a question needs it.
+    """
+    routed = route(asked)
+    used = {row["tool"] for row in routed.select("tool").distinct().collect()}
+    found = {tool: run_tool(tool, runs, reads, as_of) for tool in sorted(used)
+             if tool != routing.DOC_SEARCH}
+    if routing.DOC_SEARCH in used:
+        texts = (routed.filter(F.col("tool") == routing.DOC_SEARCH)
+                 .select("qid", F.col("question").alias("text")))
+        found[routing.DOC_SEARCH] = retrieval.context(
+            retrieval.retrieve(texts, store(), k, fn, dims))
+    return routed, found
