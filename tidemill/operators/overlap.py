@@ -46,7 +46,7 @@ def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
     sets = stage(
         members.filter(F.col("name").isNotNull() & F.col("member").isNotNull())
         .groupBy("name").agg(F.sort_array(F.collect_set("member")).alias("items"))
-        .withColumn("shape", F.sha2(F.to_json("items"), 256)), "sets")
+        .withColumn("shape", F.unhex(F.sha2(F.to_json("items"), 256))), "sets")
     shapes = stage(sets.groupBy("shape", "items").agg(F.count(F.lit(1)).alias("names")), "shapes")
     matched = _matching_shapes(shapes, threshold)
     copies = shapes.filter("names > 1").select(

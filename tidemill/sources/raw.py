@@ -60,14 +60,14 @@ def read_raw(spark: SparkSession, spec: SourceSpec, root: str = "") -> DataFrame
     folder = _located(root, spec.raw_path)
     missing = FileNotFoundError(f"No {spec.format} files found under {folder}")
     try:
-        # Listing alone decides whether there is input; no file is opened here.
+        # Listing alone decides whether there is input; no content is read here.
         listing = (spark.read.format("binaryFile")
                    .option("pathGlobFilter", f"*.{spec.format}").load(folder))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise missing from error
         raise
-    if not listing.inputFiles():
+    if listing.select("path").isEmpty():
         raise missing
     reader = (spark.read.options(**spec.options)
               .option("pathGlobFilter", f"*.{spec.format}"))

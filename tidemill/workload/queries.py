@@ -14,7 +14,7 @@ from tidemill.operators.dedupe import latest_by_key
 from tidemill.operators.nearest import nearest, nearest_to
 from tidemill.operators.quality import check_not_null, check_unique
 from tidemill.plans import lineage, questions, reports, retrieval, revenue, runlog, wastage
-from tidemill.session import scratch_path
+from tidemill.session import configure, scratch_path
 from tidemill.sources import raw, tables
 from tidemill.streaming import windows
 from tidemill.workload import relations as rel
@@ -150,11 +150,10 @@ def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, runlog.RunLog]:
-    root = scratch_path(spark, "stream")
-    schema = rel.load(spark, sf_dir, "events").sparkSession.read.parquet(
-        f"{sf_dir}/events.parquet").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .parquet(sf_dir))
+    root = scratch_path(configure(spark), "stream")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A stream reads folders; as a pattern the name stands for a file or a folder.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     log = runlog.RunLog(spark, f"{root}/runs", f"{root}/reads")
     windows.run_stream(windows.window_counts(rel.click_events(events)), f"{root}/gold",
                        f"{root}/checkpoint", log, "events", trigger=None)

@@ -114,11 +114,11 @@ def schema_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every table also has the load stamp, the column found everywhere.
     """
-    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")).select(
+    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+    part = F.concat(F.lit("p_"), F.col("l_partkey").cast("string"))
+    return lines.select(
         F.concat(F.lit("ord_"), F.col("l_orderkey").cast("string")).alias("table_name"),
-        F.concat(F.lit("p_"), F.col("l_partkey").cast("string")).alias("column_name"))
-    stamp = lines.select("table_name", F.lit("_ingested_at").alias("column_name"))
-    return lines.union(stamp)
+        F.explode(F.array(part, F.lit("_ingested_at"))).alias("column_name"))
 
 
 def documents_md(spark: SparkSession, sf_dir: str) -> DataFrame:
