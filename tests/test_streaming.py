@@ -97,3 +97,14 @@ def test_null_session_counts_as_one(spark, rows):
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         windows.kafka_events(spark, "host:1", "topic")
+
+
+def test_timed_run_leaves_heartbeats(spark, tmp_path, drop, rows):
+    drop(event("a", "00:05"), event("b", "05:00"))
+    log = RunLog(spark, str(tmp_path / "runs"), str(tmp_path / "reads"))
+    counts = windows.window_counts(windows.decode_events(windows.file_events(spark, drop.folder)))
+    totals = windows.run_stream(counts, str(tmp_path / "gold"), str(tmp_path / "checkpoint"), log,
+                                "clickstream", trigger="1 second", timeout=12, poll=1.0)
+    assert not spark.streams.active
+    assert (totals.rows_read, totals.windows_closed) == (2, 1)
+    assert log.runs("streaming").count() == totals.batches >= 2

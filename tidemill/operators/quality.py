@@ -8,6 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The checks declared for the lakehouse, as (check, table, column).
+# Bronze repeats keys by design, so uniqueness is asked of silver only.
+DECLARED = (
+    ("not_null", "bronze.orders", "order_id"),
+    ("not_null", "bronze.customers", "customer_id"),
+    ("not_null", "silver.stg_customers", "customer_id"),
+    ("unique", "silver.stg_customers", "customer_id"),
+)
+
 
 def check_not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Null count of every listed column, all in one scan."""
@@ -27,3 +36,14 @@ def check_unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame
                                F.lit(name).alias("column"), "failures")
 
     return reduce(DataFrame.unionByName, [one(name) for name in columns])
+
+
+def run_checks(frames: dict[str, DataFrame],
+               declared: Sequence[tuple[str, str, str]] = DECLARED) -> DataFrame:
+    """(check, table, column, failures) of every declared check; zero failures is a pass."""
+    run = {"not_null": check_not_null, "unique": check_unique}
+    columns: dict[tuple[str, str], list[str]] = {}
+    for check, table, column in declared:
+        columns.setdefault((check, table), []).append(column)
+    return reduce(DataFrame.unionByName, [
+        run[check](frames[table], table, names) for (check, table), names in columns.items()])

@@ -6,8 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemill import schemas
 from tidemill.plans import revenue
@@ -42,13 +41,14 @@ MODELS = (
 
 
 def run_models(spark: SparkSession, bronze: dict[str, str], lake: str, run_log: RunLog,
-               models: Sequence[Model] = MODELS, job_name: str = "dbt_run") -> dict[str, DataFrame]:
+               models: Sequence[Model] = MODELS, job_name: str = "dbt_run",
+               count_views: bool = True) -> dict[str, DataFrame]:
     """Build models in order; views stay lazy, tables become new versions below ``lake``.
 
     ``bronze`` maps source names to table paths. Views are registered as
     ``<layer>_<name>``. The run records the rows of all relations built, the
-    bronze tables read and the reads along model dependencies. Rows of a view
-    are counted while a table built from it is written, or by a count if none is.
+    bronze tables read and the reads along model dependencies. Counting a view
+    runs its query; with ``count_views`` off only rows of tables are recorded.
     """
     built: dict[str, DataFrame] = {
         f"bronze.{name}": tables.read_table(spark, path) for name, path in bronze.items()}
@@ -56,27 +56,20 @@ def run_models(spark: SparkSession, bronze: dict[str, str], lake: str, run_log:
     read = {name for model in models for name in model.inputs}
     declared = [places[name] for name in places if name in read]
     with run_log.track(job_name, "dbt", declared) as run:
-        counters: dict[str, Observation] = {}
-        passed: set[str] = set()
-        counted = 0
+        run.rows_written = 0
         for model in models:
             frames = [built[name] if name in built else _earlier(spark, name, lake)
                       for name in model.inputs]
             df = model.build(*frames)
             if model.kind == VIEW:
                 df.createOrReplaceTempView(f"{model.layer}_{model.name}")
-                counters[model.full_name] = Observation(model.full_name)
-                built[model.full_name] = df.observe(
-                    counters[model.full_name], F.count(F.lit(1)).alias("rows"))
+                run.rows_written += df.count() if count_views else 0
             else:
                 path = f"{lake}/{model.layer}/{model.name}"
                 tables.write_snapshot(df, path)
-                counted += tables.rows_written(spark, path)
-                built[model.full_name] = tables.read_table(spark, path)
-                passed |= set(model.inputs)
-        for name, counter in counters.items():
-            counted += counter.get["rows"] if name in passed else built[name].count()
-        run.rows_written = counted
+                run.rows_written += tables.rows_written(spark, path)
+                df = tables.read_table(spark, path)
+            built[model.full_name] = df
         run.output_tables = [model.full_name for model in models]
     now = datetime.now(timezone.utc)
     edges = [dict(table_name=places.get(name, name), read_at=now, reader_job=job_name)

@@ -126,8 +126,11 @@ def run_stream(windows: DataFrame, path: str, checkpoint: str, run_log: RunLog,
             left = poll if deadline is None else min(
                 poll, (deadline - datetime.now()).total_seconds())
             ended = query.awaitTermination(max(0.1, left))
+            over = ended or (deadline is not None and datetime.now() >= deadline)
+            if over:
+                query.stop()
             _heartbeats(query, closed, totals, run_log, input_name, path, job_name)
-            if ended or (deadline is not None and datetime.now() >= deadline):
+            if over:
                 return totals
     except Exception as error:
         run_log.fail(job_name, str(error), Run(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.plans.runlog import HOURLY_RATE_USD
+from tidemill.plans.runlog import cost_proxy, duration_seconds
 from tidemill.session import configure, spread
 
 
@@ -67,6 +67,8 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status", F.when(F.col("o_orderstatus") == "F", "success")
         .when(F.col("o_orderstatus") == "P", "failed").otherwise("running"))
     started = F.col("o_orderdate") + _seconds(key % 86400)
+    ended = started + _seconds(took)
+    seconds = duration_seconds(started, ended)
     table = lambda n: F.concat(F.lit("tbl_"), n.cast("string"))
     done = status == "success"
     return base.select(
@@ -75,8 +77,8 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(cust % 3 == 0, "batch_ingestion").when(cust % 3 == 1, "streaming")
         .otherwise("dbt").alias("job_type"),
         "status", started.alias("started_at"),
-        F.when(status != "running", started + _seconds(took)).alias("ended_at"),
-        F.when(done, took.cast("double")).alias("duration_seconds"),
+        F.when(status != "running", ended).alias("ended_at"),
+        F.when(done, seconds).alias("duration_seconds"),
         F.lit(None).cast("bigint").alias("rows_read"),
         F.when(done, key).alias("rows_written"),
         F.lit(None).cast("bigint").alias("bytes_scanned"),
@@ -85,7 +87,7 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array().cast("array<string>")).alias("output_tables"),
         F.when(status == "failed", F.concat(F.lit("error "), (key % 7).cast("string")))
         .alias("error_message"),
-        F.when(done, took.cast("double") * HOURLY_RATE_USD / 3600).alias("estimated_cost_usd"))
+        F.when(done, cost_proxy(seconds)).alias("estimated_cost_usd"))
 
 
 def run_log(runs: DataFrame) -> DataFrame:
