@@ -21,8 +21,9 @@ TRIGGER = "15 seconds"
 JOB_NAME = "clickstream_sessionization"
 
 KEYS = ["window_start", "window_end", "event_type"]
-# Result rows live in the slot of their day, so a micro-batch rewrites recent days only.
-DAY_SLOT = "date_format(window_start, 'yyyyMMdd')"
+# Result rows live in the slot of their UTC day, whatever the session's time zone,
+# so a micro-batch rewrites recent days only.
+DAY_SLOT = "cast(unix_seconds(window_start) div 86400 as string)"
 
 
 def kafka_events(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
