@@ -107,3 +107,16 @@ def test_views(spark, tmp_path):
     tables.write_snapshot(frame(spark, [(1, "a")]), path)
     tables.register_views(spark, {"bronze_t": path})
     assert spark.sql("select v from bronze_t").first()[0] == "a"
+
+
+def test_newest_version_is_found_in_a_long_history(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    for n in range(11):
+        assert tables.write_snapshot(frame(spark, [(n, "v")]), path) == n
+        assert rows(tables.read_table(spark, path)) == [(n, "v")]
+    assert rows(tables.read_table(spark, path, version=6)) == [(6, "v")]
+    # A commit folder without a row is a version still being written.
+    (tmp_path / "t/commits/11").mkdir()
+    assert rows(tables.read_table(spark, path)) == [(10, "v")]
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path, version=12)

@@ -41,10 +41,10 @@ SLOT = "_slot"
 SLOT_VALUE = re.compile(r"[A-Za-z0-9_-]+")
 
 
-def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
         return (spark.read.schema(COMMITS).option("recursiveFileLookup", True)
-                .json(path if path.endswith("/commits") else f"{path}/commits"))
+                .json(folder))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -52,12 +52,31 @@ def _commits(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _commit_row(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
-    commits = _commits(spark, path)
-    if commits is None:
-        return None
-    if version is not None:
-        commits = commits.filter(F.col("version") == version)
-    return commits.orderBy(F.desc("version")).first()
+    """The commit of a version, or the newest one; reads one file however long the history.
+
+    Versions count up from 0 without gaps, so the newest is found by doubling
+    and halving. Whether a folder exists shows when a read is set up, before
+    any job runs.
+    """
+    def commit(number: int) -> DataFrame | None:
+        return _commits(spark, f"{path}/commits/{number}")
+
+    if version is None:
+        if commit(0) is None:
+            return None
+        low, high = 0, 1
+        while commit(high) is not None:
+            low, high = high, high * 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if commit(middle) is None else (middle, high)
+        version = low
+        row = commit(version).first()
+        if row is not None or version == 0:
+            return row
+        version -= 1  # the newest is being written
+    found = commit(version)
+    return None if found is None else found.first()
 
 
 def _read_parts(spark: SparkSession, path: str, schema: T.StructType,
@@ -124,7 +143,7 @@ def columns_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def table_history(spark: SparkSession, path: str) -> DataFrame:
     """One row per published version."""
-    commits = _commits(spark, path)
+    commits = _commits(spark, f"{path}/commits")
     if commits is None:
         commits = spark.createDataFrame([], COMMITS)
     return commits.select("version", "committed_at", "operation", "rows_written")
