@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,22 +45,15 @@ def local_session(app: str = "tidemill", cores: str | int = "*", shuffle_partiti
     return builder.getOrCreate()
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="tidemill-")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session, so every executor sees
-    the folder. Only a local session without it gets a temporary folder.
+    the folder; a session without it uses its warehouse, shared as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        root = _local_scratch()
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
