@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidemill.llm import exact_dedup
+from tidemill.llm import exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op7_packing": packing.op7_packing,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_near_dedup": near_dedup.SQL,
 }
