@@ -18,6 +18,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """The session with small Arrow batches, since one row may hold a very long text."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 

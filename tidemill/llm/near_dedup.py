@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,8 +129,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of a symmetric boolean matrix."""
+def forest_of(linked: np.ndarray, confirm: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a symmetric boolean matrix, of those that ``confirm`` accepts."""
     todo = np.ones(len(linked), dtype=bool)
     out = []
     for root in range(len(linked)):
@@ -141,6 +141,8 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
         while stack:
             at = stack.pop()
             near = np.flatnonzero(linked[at] & todo)
+            if confirm:
+                near = np.array([x for x in near if confirm(at, int(x))], dtype=np.int64)
             todo[near] = False
             out += [(at, int(x)) for x in near]
             stack += near.tolist()
@@ -158,7 +160,7 @@ def _verified(num: int, den: int):
             sizes = np.array([len(s) for s in sets])
             shared = shared_counts(sets)
             union = sizes[:, None] + sizes[None, :] - shared
-            links = forest(den * shared >= num * union)
+            links = forest_of(den * shared >= num * union)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i, _ in links], pa.binary()),
                  pa.array([names[j] for _, j in links], pa.binary())], ["a", "b"])

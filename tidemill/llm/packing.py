@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from tidemill.llm.common import parts_for, prepared, runs_of, stage, table
 
 #: Tokens in a sequence; sequences one turn of the round robin fills; turns one task packs.
-LENGTH, TURN, TURNS = 2048, 16, 512
+LENGTH, TURN, TURNS = 2048, 16, 128
 #: A document may be cut after any multiple of so many of its tokens.
 STEP = 8
 #: Documents of a source whose places in its queue one task counts.
