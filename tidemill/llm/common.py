@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +64,38 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[list[list]]:
+    """The values of every group of a partition sorted by ``keys`` (whole numbers), as lists.
+
+    Lighter than ``runs_of`` for many small groups.
+    """
+    last, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.zeros(batch.num_rows - 1, dtype=bool)
+        for column in columns:
+            changes |= column[1:] != column[:-1]
+        edges = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        lists = [batch.column(v).to_pylist() for v in values]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(column[begin] for column in columns)
+            if key == last:
+                for own, more in zip(held, lists, strict=True):
+                    own.extend(more[begin:end])
+            else:
+                if held:
+                    yield held
+                last, held = key, [x[begin:end] for x in lists]
+    if held:
+        yield held
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """How many parts hold ``rows`` with about ``per_part`` each; grows with the rows."""
     return max(1, -(-rows // per_part))
 
 
-__all__ = ["BATCH_ROWS", "UPPER", "evened", "lower_ascii", "parts_for", "prepared", "runs_of",
+__all__ = ["BATCH_ROWS", "UPPER", "evened", "groups_of", "lower_ascii", "parts_for", "prepared", "runs_of",
            "stage", "table"]

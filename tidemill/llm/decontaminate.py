@@ -63,8 +63,8 @@ class Tokens:
     first: np.ndarray
 
 
-def tokens(texts: pa.Array) -> Tokens:
-    """Words with numbers, names and units as slots.
+def tokens(texts: pa.Array) -> tuple[Tokens, Tokens]:
+    """Words with numbers, names and units as slots; and the words as they are, without slots.
 
     A number is a run of digits, with points and commas inside. A name is a word
     with a capital (A-Z or a Latin-1 letter) then small letters that doesn't
@@ -86,8 +86,9 @@ def tokens(texts: pa.Array) -> Tokens:
     starts, ends = word_bounds(split, offsets)
     first = np.searchsorted(starts, offsets)
     value = hash_spans(LOWER[raw], starts, ends)
+    plain = Tokens(value, value, np.zeros(len(value), np.int8), first)
     if not len(starts):
-        return Tokens(value, value, np.zeros(0, np.int8), first)
+        return plain, plain
 
     def count(mask, a, b):
         total = np.concatenate([[0], np.cumsum(mask)])
@@ -115,7 +116,7 @@ def tokens(texts: pa.Array) -> Tokens:
     np.add.at(joined, head, mix(value))
     new_first = np.concatenate([[0], np.cumsum(keep)])[first]
     value, kind = joined, kind[keep]
-    return Tokens(np.where(kind == WORD, value, _SLOT_HASH[kind]), value, kind, new_first)
+    return Tokens(np.where(kind == WORD, value, _SLOT_HASH[kind]), value, kind, new_first), plain
 
 
 def windows(found: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,26 +136,41 @@ def windows(found: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Benchmark:
-    """Items of a benchmark ready to be looked for. An item shorter than a window is one window."""
+    """Items of a benchmark ready to be looked for. An item shorter than a window is one window.
+
+    Each is held twice, with slots and as plain words: copies in other capitals or
+    with other breaks have other slots, but the same words.
+    """
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
-        self.tokens = tokens(pa.array(texts, pa.string()))
-        lengths = np.diff(self.tokens.first)
-        self.owner = np.repeat(np.arange(len(ids)), lengths)
-        self.sizes = sorted({WINDOW, *(int(x) for x in lengths if 0 < x < WINDOW)})
+        self.views = [View(found) for found in tokens(pa.array(texts, pa.string()))]
+
+    def find(self, texts: pa.Array) -> list[tuple[int, int, int, float, bool]]:
+        """(text, item, tokens in the longest run, its share of the item, same slots) of every leak."""
+        best: dict[tuple[int, int], tuple[int, float, bool]] = {}
+        for view, own in zip(self.views, tokens(texts), strict=True):
+            for text, item, run, share, same in view.find(own):
+                found = (share, run, same)
+                best[text, item] = max(best.get((text, item), found), found)
+        return [(text, item, run, share, same) for (text, item), (share, run, same) in sorted(best.items())]
+
+
+class View:
+    def __init__(self, found: Tokens):
+        self.tokens = found
+        lengths = np.diff(found.first)
+        self.owner = np.repeat(np.arange(len(lengths)), lengths)
         self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in self.sizes:
-            hashes, at = windows(self.tokens, size)
+        for size in sorted({WINDOW, *(int(x) for x in lengths if 0 < x < WINDOW)}):
+            hashes, at = windows(found, size)
             if size < WINDOW:
                 whole = lengths[self.owner[at]] == size
                 hashes, at = hashes[whole], at[whole]
             order = np.argsort(hashes, kind="stable")
             self.index[size] = hashes[order], at[order]
 
-    def find(self, texts: pa.Array) -> list[tuple[int, int, int, float, bool]]:
-        """(text, item, tokens in the longest run, its share of the item, same slots) of every leak."""
-        own = tokens(texts)
+    def find(self, own: Tokens) -> list[tuple[int, int, int, float, bool]]:
         owner = np.repeat(np.arange(len(own.first) - 1), np.diff(own.first))
         matched: dict[tuple[int, int, int], set] = {}
         for size, (known, places) in self.index.items():
@@ -166,14 +182,13 @@ class Benchmark:
                 for place in places[low[i]:high]:
                     run = (int(owner[at[i]]), int(self.owner[place]), int(at[i] - place))
                     matched.setdefault(run, set()).update(range(int(place), int(place) + size))
-        best: dict[tuple[int, int], tuple[int, float, bool]] = {}
+        out = []
         for (text, item, shift), covered in matched.items():
             length = int(self.tokens.first[item + 1] - self.tokens.first[item])
             run, same = self._consistent(sorted(covered), own, shift)
             if run >= min(RUN, length):
-                found = (run, run / length, same)
-                best[text, item] = max(best.get((text, item), found), found)
-        return [(text, item, *found) for (text, item), found in sorted(best.items())]
+                out.append((text, item, run, run / length, same))
+        return out
 
     def _consistent(self, places: list[int], own: Tokens, shift: int) -> tuple[int, bool]:
         """The longest run of neighbouring tokens whose slots stand for each other one to one."""
@@ -207,7 +222,7 @@ def blocks(items: DataFrame) -> Iterator[Benchmark]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, run, coverage, same_slots): documents that hold a benchmark item.
 
-    Whole texts are read as template tokens (``tokens``). Windows of WINDOW tokens are
+    Whole texts are read as template tokens and as plain words (``tokens``). Windows of WINDOW tokens are
     hash-joined with the benchmark's; windows that follow each other form runs, in
     which a slot's value in the item must stand for one value in the document and
     back. A run of RUN tokens, or of all of a shorter item, is a leak; ``same_slots``

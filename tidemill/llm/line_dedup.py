@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepared, runs_of, stage, table
+from tidemill.llm.common import groups_of, prepared, stage, table
 from tidemill.llm.components import components
-from tidemill.llm.near_dedup import forest_of, text_hash
+from tidemill.llm.near_dedup import LINKS, forest_of, link_batch, text_hash
 from tidemill.llm.words import hash_spans, mix, raw_bytes, word_bounds
 
 #: Lines of fewer words are left alone: they repeat in clean prose.
@@ -25,17 +25,18 @@ AGREE = BLOCKS - DISTANCE
 SIMILARITY = 0.8
 #: Lines of a bucket, and words of theirs, that one task compares with each other.
 BLOCK, BLOCK_WORDS = 1024, 200_000
-CHUNK_WORDS = 200_000
+#: Members of a bucket up to which they are compared without arrays of their own.
+FEW = 12
+ALL_BITS = 2**64 - 1
 
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[65:91] += 32
-_CLEAN[48:58] = 48
 _CLEAN[[b for b in range(128) if b != 10 and not chr(b).isalnum()]] = 32
 CLEAN = _CLEAN.tobytes()
 
 
 def clean_words(line: bytes) -> list[bytes]:
-    """A line's words: A-Z lower-cased, digits as 0, ASCII punctuation and blanks between words."""
+    """A line's words: A-Z lower-cased, ASCII punctuation and blanks between words."""
     return line.translate(CLEAN).split()
 
 
@@ -53,16 +54,26 @@ def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The 64-bit SimHash of each run of word hashes: the majority of their bits, 0 on a tie."""
-    sums = np.zeros((len(first) - 1, 64), dtype=np.int32)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for begin in range(0, len(words), CHUNK_WORDS):
-        part, own = words[begin:begin + CHUNK_WORDS], owner[begin:begin + CHUNK_WORDS]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        sums[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    major = sums * 2 > np.diff(first)[:, None]
-    return np.packbits(major, axis=1).reshape(-1, 8).copy().view(np.uint64).reshape(-1)
+    """The 64-bit SimHash of each run of word hashes: the majority of their bits, 0 on a tie.
+
+    Eight bits are counted at a time, one in each byte of a word; a stretch of 255 words
+    can't overflow a byte, longer runs are counted in several.
+    """
+    counts = np.diff(first)
+    parts = -(-counts // 255)
+    run = np.repeat(np.arange(len(counts)), parts)
+    begin = first[:-1][run] + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
+    sums = np.zeros((len(run), 8, 8), dtype=np.int32)  # part, byte, bit
+    if len(run):
+        for bit in range(8):
+            lanes = (words >> np.uint64(bit)) & np.uint64(0x0101010101010101)
+            sums[:, :, bit] = np.add.reduceat(lanes, begin).view(np.uint8).reshape(-1, 8)
+    total = sums.reshape(-1, 64)
+    if len(run) != len(counts):
+        total = np.zeros((len(counts), 64), dtype=np.int64)
+        np.add.at(total, run, sums.reshape(-1, 64))
+    major = total * 2 > counts[:, None]
+    return np.packbits(major, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).reshape(-1)
 
 
 def lines_of(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -136,7 +147,17 @@ def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(sims), dtype=bool)
         at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
         sizes = np.diff(np.append(at, len(buckets)))
-        for begin, size in zip(at[sizes > 1], sizes[sizes > 1], strict=True):
+        # Small buckets all at once, by how far apart two members stand.
+        inside = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+        for apart in range(1, FEW):
+            inside = inside[inside + apart < len(sims)]
+            inside = inside[buckets[inside] == buckets[inside + apart]]
+            if not len(inside):
+                break
+            close = inside[np.bitwise_count(sims[inside] ^ sims[inside + apart]) <= DISTANCE]
+            found[close] = True
+            found[close + apart] = True
+        for begin, size in zip(at[sizes > FEW], sizes[sizes > FEW], strict=True):
             own = sims[begin:begin + size]
             for i in range(0, size, BLOCK):
                 for j in range(i, size, BLOCK):
@@ -191,16 +212,36 @@ def similar(a: list, b: list) -> bool:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed links of every block of a bucket, as a spanning forest."""
-    for group in runs_of(batches, ["bucket", "low", "high"]):
-        keys = group.column("key").to_pylist()
-        if len(keys) < 2:
-            continue
-        sims = group.column("sim").to_numpy().view(np.uint64)
-        lines = [c.as_py().split(b" ") for c in group.column("content")]
-        links = forest_of(_near(sims, sims), lambda i, j: similar(lines[i], lines[j]))  # noqa: B023
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([keys[i] for i, _ in links], pa.binary()), pa.array([keys[j] for _, j in links], pa.binary())],
-            ["a", "b"])
+    found: list[tuple[bytes, bytes]] = []
+    for keys, sims, contents in groups_of(batches, ["bucket", "low", "high"], ["key", "sim", "content"]):
+        lines = [c.split(b" ") for c in contents]
+        if len(keys) <= FEW:
+            links = _links_of_few(sims, lines)
+        else:
+            values = np.array(sims, dtype=np.int64).view(np.uint64)
+            links = forest_of(_near(values, values), lambda i, j: similar(lines[i], lines[j]))  # noqa: B023
+        found += [(keys[i], keys[j]) for i, j in links]
+        if len(found) >= LINKS:
+            yield link_batch(found)
+            found = []
+    yield link_batch(found)
+
+
+def _links_of_few(sims: list[int], lines: list[list[bytes]]) -> list[tuple[int, int]]:
+    """The same spanning forest without arrays, for the many small buckets."""
+    todo, out = list(range(len(sims))), []
+    while todo:
+        stack = [todo.pop(0)]
+        while stack:
+            at, rest = stack.pop(), []
+            for i in todo:
+                if ((sims[at] ^ sims[i]) & ALL_BITS).bit_count() <= DISTANCE and similar(lines[at], lines[i]):
+                    out.append((at, i))
+                    stack.append(i)
+                else:
+                    rest.append(i)
+            todo = rest
+    return out
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepared, runs_of, stage, table
+from tidemill.llm.common import groups_of, prepared, stage, table
 from tidemill.llm.components import components
 from tidemill.llm.words import mix, mix1, shingle_hashes, word_hashes
 
@@ -19,6 +19,8 @@ BANDS, ROWS = 28, 4
 #: Members of a bucket, and shingles of theirs, that one task compares with each
 #: other or with as many others; a larger bucket is dealt out by pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 768, 500_000
+#: Links a task hands on at once.
+LINKS = 5000
 #: Shingles compared at once in a block.
 COLUMNS = 4096
 
@@ -152,21 +154,34 @@ def forest_of(linked: np.ndarray, confirm: Callable[[int, int], bool] | None = N
 def _verified(num: int, den: int):
     """Links within each block of a bucket, confirmed on the full sets; a spanning forest of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs_of(batches, ["bucket", "low", "high"]):
-            names = group.column("name").to_pylist()
+        found: list[tuple[bytes, bytes]] = []
+        for names, members in groups_of(batches, ["bucket", "low", "high"], ["name", "members"]):
             if len(names) < 2:
                 continue
-            sets = [np.frombuffer(m.as_py(), dtype=np.uint64) for m in group.column("members")]
+            sets = [np.frombuffer(m, dtype=np.uint64) for m in members]
             sizes = np.array([len(s) for s in sets])
-            shared = shared_counts(sets)
-            union = sizes[:, None] + sizes[None, :] - shared
-            links = forest_of(den * shared >= num * union)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i, _ in links], pa.binary()),
-                 pa.array([names[j] for _, j in links], pa.binary())], ["a", "b"])
+            if len(sets) == 2:  # most buckets
+                both = np.concatenate(sets)
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                links = [(0, 1)] if den * shared >= num * (len(both) - shared) else []
+            else:
+                shared = shared_counts(sets)
+                union = sizes[:, None] + sizes[None, :] - shared
+                links = forest_of(den * shared >= num * union)
+            found += [(names[i], names[j]) for i, j in links]
+            if len(found) >= LINKS:
+                yield link_batch(found)
+                found = []
+        yield link_batch(found)
     return run
 
 
+def link_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

@@ -22,7 +22,7 @@ LENGTH, TURN, TURNS = 2048, 16, 128
 #: A document may be cut after any multiple of so many of its tokens.
 STEP = 8
 #: Documents of a source whose places in its queue one task counts.
-QUEUE_ROWS = 20_000
+QUEUE_ROWS = 5_000
 END = 1
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
