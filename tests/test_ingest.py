@@ -92,10 +92,13 @@ def test_csv_files_match_by_name(spark, lake, rows):
     df = raw.read_raw(spark, CUSTOMERS, root)
     assert rows(df.select("customer_id", "region", "email"), "customer_id") == [
         (1, "us", None), (2, "eu", None), (3, "ap", "z@x")]
-    strict = raw.SourceSpec("customers", "csv", "raw/customers", "b",
-                            schema="customer_id int, region string")
+    declared = raw.SourceSpec("customers", "csv", "raw/customers", "b",
+                              schema="customer_id int, region string, signup date")
+    assert rows(raw.read_raw(spark, declared, root).select("customer_id", "region", "signup"), "customer_id") == [
+        (1, "us", None), (2, "eu", None), (3, "ap", None)]
+    (folder / "raw/customers/c.csv").write_text("customer_id\nx\n")
     with pytest.raises(Exception):
-        raw.read_raw(spark, strict, root).collect()
+        raw.read_raw(spark, declared, root).collect()
 
 
 def test_json_files_match_by_name(spark, lake, rows):
@@ -119,11 +122,11 @@ def test_incremental_merge(spark, lake, rows):
 
 def test_corpus(spark, tmp_path, rows):
     (tmp_path / "docs/sub").mkdir(parents=True)
-    (tmp_path / "docs/a.md").write_bytes(b"one\n\ntwo\xff")
+    (tmp_path / "docs/a.md").write_bytes(b"one\n\ntwo\xff" + "\ufffd".encode())
     (tmp_path / "docs/sub/b.md").write_text("three")
     (tmp_path / "docs/c.txt").write_text("no")
     got = rows(corpus.load_corpus(spark, str(tmp_path / "docs"), "*.md"), "text")
-    assert [t for _, t in got] == ["one\n\ntwo", "three"]
+    assert [t for _, t in got] == ["one\n\ntwo\ufffd", "three"]
     assert got[0][0].endswith("/docs/a.md")
 
 

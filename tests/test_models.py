@@ -36,11 +36,22 @@ def test_models_run_log_and_lineage(spark, tmp_path, rows):
     assert tables.table_history(spark, f"{lake}/gold/daily_revenue").count() == 2
 
 
-def test_columns_of_many_tables(spark, tmp_path, rows):
-    b = str(tmp_path / "b")
-    tables.write_snapshot(spark.createDataFrame([(1,)], "x int"), b)
-    tables.write_snapshot(spark.createDataFrame([(1, 2)], "x int, y int"), b, allow_evolution=True)
-    got = tables.columns_of(spark, [b + "/", str(tmp_path / "none"), "raw/x/"])
-    assert rows(got, "column_name") == [(b + "/", "x"), (b + "/", "y")]
-    assert tables.columns_of(spark, [str(tmp_path / "none")]).count() == 0
-    assert tables.columns_of(spark, []).count() == 0
+def test_names_and_places_are_one_table(spark, tmp_path, rows):
+    from tidemill.plans import serving
+    path = str(tmp_path / "gold/x")
+    frame = spark.createDataFrame([(1, 2)], "x int, y int")
+    tables.write_snapshot(frame, path)
+    log = RunLog(spark, str(tmp_path / "runs"), str(tmp_path / "reads"))
+    log.record_table("gold.x", path, frame.columns)
+    with log.track("a", "dbt") as run:
+        run.output_tables = ["gold.x", "nowhere"]
+    with log.track("b", "dbt") as run:
+        run.output_tables = [path]
+    got = wastage.output_columns(log.runs(), log.catalog())
+    assert rows(got, "column_name") == [("gold.x", "x"), ("gold.x", "y")]
+    unused = wastage.unused_tables(log.runs(), log.reads(), log.catalog()).select("table_name")
+    assert rows(unused, "table_name") == [("gold.x",), ("nowhere",)]
+    serving.load_gold(spark, path, ["x"], log, "dashboard", frame.schema)
+    assert rows(log.reads().select("table_name")) == [("gold.x",)]
+    log.record_read(path, "another")
+    assert rows(wastage.unused_tables(log.runs(), log.reads(), log.catalog()).select("table_name")) == [("nowhere",)]

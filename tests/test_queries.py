@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import SAME, TABLES, canonical
+from tidemill.workload.oracles import ORACLES
+from tidemill.workload.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
@@ -21,17 +23,17 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["order_date", "region", "order_count", "total_revenue"]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    df = queries()[name](spark, SF_DIR)
-    sql = oracle_sql()[name]
+    df = QUERIES[name](spark, SF_DIR)
+    sql = ORACLES[name]
     types = {row[0]: row[1] for row in db.execute("DESCRIBE " + sql).fetchall()}
     assert types == {f.name: SAME.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
                      for f in df.schema.fields}
@@ -44,15 +46,15 @@ def test_query_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", ["daily_revenue", "latest_lineitem", "chunk_packed",
                                   "unused_tables", "runtime_trend", "window_counts_1min"])
 def test_plans_stay_in_the_jvm(spark, name):
-    plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "CartesianProduct", "NestedLoop"):
         assert word not in plan
 
 
 def test_scan_reads_needed_columns_only(spark):
-    plan = queries()["window_counts_1min"](spark, SF_DIR)._jdf.queryExecution() \
+    plan = QUERIES["window_counts_1min"](spark, SF_DIR)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
-    plan = queries()["revenue_by_day"](spark, SF_DIR)._jdf.queryExecution() \
+    plan = QUERIES["revenue_by_day"](spark, SF_DIR)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "o_orderpriority" not in plan

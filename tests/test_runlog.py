@@ -53,8 +53,15 @@ def test_reads_and_compaction(spark, log, tmp_path, rows):
     log.record_read("gold.x", "dashboard")
     log.record_read("gold.x", "dashboard")
     assert rows(log.reads().select("table_name", "reader_job")) == [("gold.x", "dashboard")] * 2
-    log.end(log.start("a", "dbt"))
-    assert log.compact(str(tmp_path / "compact")) == 0
+    run = log.start("a", "dbt")
+    assert log.compact() == 0
+    log.end(run)
+    log.end(log.start("b", "dbt"))
+    want = [("a", "success"), ("b", "success")]
+    assert rows(log.runs().select("job_name", "status"), "job_name") == want
+    assert log.compact() == 1
+    assert rows(log.runs("dbt").select("job_name", "status"), "job_name") == want
+    assert log.runs("streaming").count() == 0
 
 
 def runs_of(spark, entries):
@@ -121,14 +128,6 @@ def test_report_and_totals(spark, rows):
     assert totals[None] == 3 and set(totals.values()) == {1, 3}
 
 
-def test_output_columns(spark, tmp_path, rows):
-    from tidemill.sources import tables
-    path = str(tmp_path / "t")
-    tables.write_snapshot(spark.createDataFrame([(1, "a")], "id int, v string"), path)
-    runs = runs_of(spark, [("1", "a", "success", 1.0, [], [path, "no.such", "/nowhere"])])
-    assert rows(wastage.output_columns(spark, runs), "column_name") == [(path, "id"), (path, "v")]
-
-
 def test_reports(spark, rows):
     runs = runs_of(spark, [("1", "a", "success", 5.0, [], []), ("2", "b", "success", 9.0, [], []),
                            ("3", "b", "failed", None, [], []), ("4", "c", "failed", None, [], [])])

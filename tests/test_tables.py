@@ -64,22 +64,57 @@ def test_upsert_replaces_inserts_and_repeats(spark, tmp_path, rows):
 def test_upsert_after_full_refresh(spark, tmp_path, rows):
     path = str(tmp_path / "t")
     tables.write_snapshot(frame(spark, [(i, "a") for i in range(100)]), path)
-    tables.upsert(spark, path, frame(spark, [(5, "b"), (200, "c")]), ["id"], slots=8)
+    tables.upsert(spark, path, frame(spark, [(5, "b"), (200, "c")]), ["id"])
     got = dict(rows(tables.read_table(spark, path)))
     assert len(got) == 101 and got[5] == "b" and got[200] == "c" and got[6] == "a"
 
 
-def test_upsert_rewrites_touched_slots_only(spark, tmp_path, rows):
+def test_upsert_writes_its_own_rows_only(spark, tmp_path, rows):
     path = str(tmp_path / "t")
-    slot = "cast(id div 100 as string)"
-    tables.upsert(spark, path, frame(spark, [(i, "a") for i in range(300)]), ["id"], slot=slot)
-    tables.upsert(spark, path, frame(spark, [(150, "b")]), ["id"], slot=slot)
-    history = tables.table_history(spark, path).select("version", "rows_written")
-    assert rows(history, "version") == [(0, 300), (1, 100)]
-    assert tables.read_table(spark, path).filter("v = 'b'").count() == 1
-    assert tables.read_table(spark, path).count() == 300
-    with pytest.raises(ValueError, match="laid out"):
-        tables.upsert(spark, path, frame(spark, [(1, "b")]), ["id"], slot="'x'")
+    tables.upsert(spark, path, spark.range(20_000).selectExpr("id", "'a' as v"), ["id"])
+    before = set((tmp_path / "t/data").glob("*/part-*"))
+    change = spark.range(50).selectExpr("id * 397 as id", "'b' as v")
+    tables.upsert(spark, path, change, ["id"])
+    new = set((tmp_path / "t/data").glob("*/part-*")) - before
+    assert sum(f.stat().st_size for f in new) < 0.2 * sum(f.stat().st_size for f in before)
+    assert tables.rows_written(spark, path) == 50
+    assert tables.read_table(spark, path).filter("v = 'b'").count() == 50
+    assert tables.read_table(spark, path).count() == 20_000
+
+
+def test_many_upserts_leave_few_parts(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    want = {}
+    for n in range(12):
+        batch = [(i, f"v{n}") for i in range(n, n + 5)]
+        tables.upsert(spark, path, frame(spark, batch), ["id"])
+        want.update(batch)
+    assert dict(rows(tables.read_table(spark, path))) == want
+    assert len(tables._commit_row(spark, path)["parts"]) <= 4
+
+
+def test_groups_are_replaced_whole(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    schema = "g string, n int"
+    put = lambda data, gone=(): tables.replace_groups(
+        spark, path, spark.createDataFrame(data, schema), ["g"], spark.createDataFrame(list(gone), schema))
+    put([("a", 1), ("a", 2), ("b", 1), ("c", 1)])
+    put([("a", 9)], [("b", None)])
+    assert rows(tables.read_table(spark, path), "g", "n") == [("a", 9), ("c", 1)]
+    put([("b", 5), ("c", 2), ("c", 3), ("d", 1), ("e", 1)])
+    assert rows(tables.read_table(spark, path), "g", "n") == [
+        ("a", 9), ("b", 5), ("c", 2), ("c", 3), ("d", 1), ("e", 1)]
+
+
+def test_a_dead_writer_blocks_nothing(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    (tmp_path / "t/commits/0/_temporary").mkdir(parents=True)
+    assert not tables.table_exists(spark, path)
+    assert tables.write_snapshot(frame(spark, [(1, "a")]), path) == 0
+    (tmp_path / "t/commits/1").mkdir()
+    assert rows(tables.read_table(spark, path)) == [(1, "a")]
+    assert tables.write_snapshot(frame(spark, [(2, "b")]), path) == 1
+    assert rows(tables.read_table(spark, path)) == [(2, "b")]
 
 
 def test_upsert_guards(spark, tmp_path, rows):

@@ -28,14 +28,18 @@ def check_not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFra
 
 
 def check_unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """Number of values occurring more than once, per listed column; nulls do not count."""
-    def one(name: str) -> DataFrame:
-        repeated = (df.filter(F.col(name).isNotNull()).groupBy(name).count()
-                    .agg(F.count_if(F.col("count") > 1).alias("failures")))
-        return repeated.select(F.lit("unique").alias("check"), F.lit(table).alias("table"),
-                               F.lit(name).alias("column"), "failures")
-
-    return reduce(DataFrame.unionByName, [one(name) for name in columns])
+    """Number of values occurring more than once, per listed column; nulls do not count.
+
+    One scan and one shuffle for all columns: values are counted by (column, value).
+    """
+    values = F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).cast("string").alias("value"))
+                       for name in columns])
+    counted = (df.select(F.inline(values)).filter("value is not null").groupBy("column", "value").count()
+               .groupBy("column").agg(F.count_if(F.col("count") > 1).alias("failures")))
+    wanted = df.sparkSession.createDataFrame([(name,) for name in columns], "column string")
+    return wanted.join(F.broadcast(counted), "column", "left").select(
+        F.lit("unique").alias("check"), F.lit(table).alias("table"), "column",
+        F.coalesce("failures", F.lit(0).cast("long")).alias("failures"))
 
 
 def run_checks(frames: dict[str, DataFrame],

@@ -64,11 +64,13 @@ def run_models(spark: SparkSession, bronze: dict[str, str], lake: str, run_log:
             if model.kind == VIEW:
                 df.createOrReplaceTempView(f"{model.layer}_{model.name}")
                 run.rows_written += df.count() if count_views else 0
+                run_log.record_table(model.full_name, None, df.columns)
             else:
                 path = f"{lake}/{model.layer}/{model.name}"
                 tables.write_snapshot(df, path)
                 run.rows_written += tables.rows_written(spark, path)
                 df = tables.read_table(spark, path)
+                run_log.record_table(model.full_name, path, df.columns)
             built[model.full_name] = df
         run.output_tables = [model.full_name for model in models]
     now = datetime.now(timezone.utc)

@@ -52,3 +52,30 @@ def answers(asked: DataFrame, runs: DataFrame, reads: DataFrame, store: Callable
         found[routing.DOC_SEARCH] = retrieval.context(
             retrieval.retrieve(texts, store(), k, fn, dims))
     return routed, found
+
+
+#: Rows of a tool's answer that go into a context, from the top.
+CONTEXT_ROWS = 50
+
+
+def tool_context(answer: DataFrame, rows: int = CONTEXT_ROWS) -> DataFrame:
+    """One row (context): the top of a tool's answer as text, a line per row, values parted by bars."""
+    line = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in answer.columns])
+    top = answer.limit(rows).select(F.monotonically_increasing_id().alias("n"), line.alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("n", "line")))
+    return top.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
+
+
+def contexts(routed: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """(qid, tool, context) of every question, from what ``answers`` gives."""
+    out = None
+    for tool, answer in found.items():
+        asked = routed.filter(F.col("tool") == tool).select("qid", "tool")
+        if tool == routing.DOC_SEARCH:
+            part = asked.join(answer, "qid")
+        else:
+            text = tool_context(answer).withColumn("tool", F.lit(tool))
+            part = asked.join(F.broadcast(text), "tool")  # one row of at most CONTEXT_ROWS lines
+        part = part.select("qid", "tool", "context")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -24,7 +24,7 @@ def recent_failures(runs: DataFrame, as_of: datetime | Column, days: int = 3) ->
     """Failed runs of the trailing days, newest first."""
     return (runs.filter((F.col("status") == "failed") & _since(as_of, days))
             .select("job_name", "ended_at", "error_message")
-            .orderBy(F.desc("ended_at"), "job_name"))
+            .orderBy(F.desc("ended_at"), "job_name", "error_message"))
 
 
 def runs_by_type(runs: DataFrame, job_type: str) -> DataFrame:

@@ -72,8 +72,12 @@ def revenue_by_region(gold: DataFrame) -> DataFrame:
 def event_pivot(windows: DataFrame, event_types: list[str]) -> DataFrame:
     """Mean event count per window start (rows) and event type (columns), gaps as 0.
 
-    The column values are given, so no extra job looks them up.
+    The column values are given, so no extra job looks them up; a type that is not
+    among them stops the query rather than vanish from the answer.
     """
+    known = F.col("event_type").isNull() | F.col("event_type").isin(event_types)
+    windows = windows.withColumn("event_type", F.when(known, F.col("event_type")).otherwise(
+        F.raise_error(F.concat(F.lit("event type without a column: "), F.col("event_type")))))
     return (windows.groupBy("window_start").pivot("event_type", event_types)
             .agg(F.avg("event_count")).na.fill(0.0, event_types)
             .orderBy("window_start"))

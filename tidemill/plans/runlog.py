@@ -1,8 +1,10 @@
 """Run log: every job's start, end or failure, and which tables were read.
 
-Both logs are append-only folders. A run is written once when it starts and
+The logs are append-only folders. A run is written once when it starts and
 once when it ends; ``current_runs`` folds the log to one row per run, which
 is what updating the row in place would show, without rewriting a table.
+``compact`` folds the entries into a snapshot and starts a new generation of
+entries; readers take the snapshot and what came after it.
 """
 
 from __future__ import annotations
@@ -56,16 +58,28 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
+ENTRIES = T.StructType(schemas.RUN_LOG.fields + [T.StructField("generation", T.LongType())])
+
+
 class RunLog:
+    """The run log, the read log and the catalog of named tables."""
+
     def __init__(self, spark: SparkSession, runs_path: str, reads_path: str) -> None:
         self.spark = spark
         self.runs_path = runs_path
         self.reads_path = reads_path
+        self.snapshot_path = f"{runs_path.rstrip('/')}_snapshot"
+        self.catalog_path = f"{reads_path.rstrip('/')}_catalog"
+
+    def _generation(self) -> int:
+        """Entries are appended under the number of snapshots there are."""
+        version = tables.newest_version(self.spark, self.snapshot_path)
+        return 0 if version is None else version + 1
 
     def _append(self, rows: Sequence[dict]) -> None:
-        stamped = [{**row, "logged_at": _now()} for row in rows]
-        tables.append_rows(local_rows(self.spark, stamped, schemas.RUN_LOG),
-                           self.runs_path, ["job_type"])
+        stamped = [{**row, "logged_at": _now(), "generation": self._generation()} for row in rows]
+        tables.append_rows(local_rows(self.spark, stamped, ENTRIES),
+                           self.runs_path, ["generation", "job_type"])
 
     def start(self, job_name: str, job_type: str, input_tables: Sequence[str] = ()) -> Run:
         run = Run(str(uuid.uuid4()), job_name, job_type, _now(), list(input_tables))
@@ -121,12 +135,34 @@ class RunLog:
         dated = reads.withColumn("read_date", F.to_date("read_at"))
         tables.append_rows(dated, self.reads_path, ["read_date"])
 
+    def record_table(self, table_name: str, location: str | None, columns: Sequence[str]) -> None:
+        """Note under which name a table is known, where it lies (None for a view) and its columns."""
+        row = dict(table_name=table_name, location=location, columns=list(columns), recorded_at=_now())
+        tables.append_rows(local_rows(self.spark, [row], schemas.TABLE_CATALOG), self.catalog_path)
+
+    def catalog(self) -> DataFrame:
+        """The newest record of every name."""
+        log = tables.read_log(self.spark, self.catalog_path, schemas.TABLE_CATALOG)
+        return latest_by_key(log, ["table_name"], [F.desc("recorded_at"), "location"])
+
+    def _log(self, job_type: str | None = None) -> DataFrame:
+        """The snapshot's entries and those since; of one type, reading only that type's files.
+
+        The generation the snapshot was taken in is read again, for entries
+        appended meanwhile; folding makes the repetition harmless.
+        """
+        version = tables.newest_version(self.spark, self.snapshot_path)
+        log = tables.read_log(self.spark, self.runs_path, ENTRIES)
+        if version is not None:
+            log = log.filter(F.col("generation") >= version)
+        log = log.select(*schemas.RUN_LOG.fieldNames())
+        if version is not None:
+            log = log.unionByName(tables.read_table(self.spark, self.snapshot_path))
+        return log if job_type is None else log.filter(F.col("job_type") == job_type)
+
     def runs(self, job_type: str | None = None) -> DataFrame:
-        """One row per run, as it stands now; of one type, reading only that type's files."""
-        log = tables.read_log(self.spark, self.runs_path, schemas.RUN_LOG)
-        if job_type is not None:
-            log = log.filter(F.col("job_type") == job_type)  # a run never changes its type
-        return current_runs(log)
+        """One row per run, as it stands now; a run never changes its type."""
+        return current_runs(self._log(job_type)).select(*schemas.PIPELINE_RUNS.fieldNames())
 
     def reads(self) -> DataFrame:
         """The read log; empty with its columns when nothing was recorded yet."""
@@ -135,13 +171,14 @@ class RunLog:
         return (tables.read_log(self.spark, self.reads_path, layout)
                 .select(*schemas.TABLE_READS.fieldNames()))
 
-    def compact(self, path: str) -> int:
-        """Fold the log so far into a snapshot table, one row per run."""
-        return tables.write_snapshot(self.runs(), path, partition_by=["job_type"])
+    def compact(self) -> int:
+        """Fold the log so far into a snapshot, one entry per run, that readers start from."""
+        return tables.write_snapshot(current_runs(self._log()), self.snapshot_path,
+                                     partition_by=["job_type"])
 
 
 def current_runs(log: DataFrame) -> DataFrame:
     """The last entry of every run; a closing entry wins over the opening one."""
     order = [F.expr("status = 'running'").asc(), F.desc_nulls_last("logged_at"),
              F.desc_nulls_last("ended_at")]
-    return latest_by_key(log, ["run_id"], order).select(*schemas.PIPELINE_RUNS.fieldNames())
+    return latest_by_key(log, ["run_id"], order)

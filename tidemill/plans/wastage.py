@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.overlap import overlapping_sets
-from tidemill.sources import tables
 
 # Thresholds of the report.
 RUNTIME_TREND_THRESHOLD = 1.2
@@ -22,16 +21,31 @@ def _succeeded() -> Column:
     return F.col("status") == "success"
 
 
-def unused_tables(runs: DataFrame, reads: DataFrame) -> DataFrame:
+def _by_name(tables_seen: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``table_name`` by its catalog name where it is a location of one."""
+    place = F.regexp_replace(F.rtrim(F.col("location"), F.lit("/")), "^file:/+", "/")
+    names = (catalog.filter("location is not null and location <> table_name")
+             .groupBy(place.alias("_place")).agg(F.min("table_name").alias("_name")))
+    seen = F.regexp_replace(F.rtrim(F.col("table_name"), F.lit("/")), "^file:/+", "/")
+    return (tables_seen.join(names, seen == F.col("_place"), "left")
+            .withColumn("table_name", F.coalesce("_name", "table_name")).drop("_name", "_place"))
+
+
+def unused_tables(runs: DataFrame, reads: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Tables written by successful runs that no run of any status and no reader read.
 
-    Both sides are reduced to one row per table before they meet.
+    Both sides are reduced to one row per table before they meet. With a
+    ``catalog`` a table is one whether it was named or given by its location.
     """
     written = (runs.filter(_succeeded())
                .select(F.explode("output_tables").alias("table_name"), "ended_at")
                .groupBy("table_name").agg(F.max("ended_at").alias("last_written")))
     read = (runs.select(F.explode("input_tables").alias("table_name"))
             .union(reads.select("table_name")).distinct())
+    if catalog is not None:
+        written = (_by_name(written, catalog).groupBy("table_name")
+                   .agg(F.max("last_written").alias("last_written")))
+        read = _by_name(read, catalog)
     return (written.join(read, "table_name", "left_anti")
             .orderBy(F.desc_nulls_last("last_written"), "table_name"))
 
@@ -69,20 +83,14 @@ def runtime_regressions(trend: DataFrame, threshold: float = RUNTIME_TREND_THRES
     return trend.filter(F.col("runtime_trend_ratio") >= threshold)
 
 
-def output_columns(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    """(table_name, column_name) of every output table that resolves to a table.
+def output_columns(runs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(table_name, column_name) of every output table of the runs that the catalog knows.
 
-    Table folders are resolved together, from their commit rows; other names
-    one by one in the session catalog. No data is read, and the driver sees
-    only the names.
+    A join of names; no data and no table is opened.
     """
-    names = [row[0] for row in runs.select(F.explode("output_tables")).distinct().collect()]
-    folders = [name for name in names if "/" in name]
-    known = [(name, column) for name in names
-             if "/" not in name and spark.catalog.tableExists(name)
-             for column in spark.table(name).columns]
-    listed = spark.createDataFrame(known, "table_name string, column_name string")
-    return listed.unionByName(tables.columns_of(spark, folders))
+    names = _by_name(runs.select(F.explode("output_tables").alias("table_name")).distinct(), catalog)
+    return (catalog.join(names.distinct(), "table_name", "left_semi")
+            .select("table_name", F.explode("columns").alias("column_name")))
 
 
 def duplicate_schemas(columns: DataFrame,
@@ -107,6 +115,7 @@ def _instant(at: Column) -> Column:
                     F.lit("+00:00"))
 
 
+# The sentences of the reasons below.
 def unused_findings(unused: DataFrame) -> DataFrame:
     reason = F.format_string(
         "written by a pipeline (last: %s) but never read as an input by any other tracked run",
@@ -134,9 +143,10 @@ def schema_findings(pairs: DataFrame) -> DataFrame:
         SCHEMAS_TITLE, F.concat_ws(" <-> ", "table_a", "table_b"), reason))
 
 
-def wastage_report(runs: DataFrame, reads: DataFrame, columns: DataFrame) -> DataFrame:
+def wastage_report(runs: DataFrame, reads: DataFrame, columns: DataFrame,
+                   catalog: DataFrame | None = None) -> DataFrame:
     """All findings, labelled by check."""
-    return (unused_findings(unused_tables(runs, reads))
+    return (unused_findings(unused_tables(runs, reads, catalog))
             .unionByName(trend_findings(runtime_trend(runs)))
             .unionByName(schema_findings(duplicate_schemas(columns))))
 

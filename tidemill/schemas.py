@@ -32,14 +32,6 @@ CLICK_EVENT = T.StructType([
     T.StructField("event_time", T.StringType()),
 ])
 
-WINDOW_COUNTS = T.StructType([
-    T.StructField("window_start", T.TimestampType()),
-    T.StructField("window_end", T.TimestampType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("event_count", T.LongType()),
-    T.StructField("distinct_sessions", T.LongType()),
-])
-
 PIPELINE_RUNS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("job_name", T.StringType()),
@@ -66,15 +58,12 @@ TABLE_READS = T.StructType([
     T.StructField("reader_job", T.StringType()),
 ])
 
-FINDINGS = T.StructType([
-    T.StructField("check", T.StringType()),
-    T.StructField("finding", T.StringType()),
-    T.StructField("reason", T.StringType()),
-])
-
-CHUNK_METADATA = T.StructType([
-    T.StructField("source", T.StringType()),
-    T.StructField("chunk_index", T.IntegerType()),
+# Where a named table lies and what its columns are; the newest row of a name counts.
+TABLE_CATALOG = T.StructType([
+    T.StructField("table_name", T.StringType()),
+    T.StructField("location", T.StringType()),
+    T.StructField("columns", STRING_LIST),
+    T.StructField("recorded_at", T.TimestampType()),
 ])
 
 # Only the manifest members that lineage needs; Spark prunes the rest on read.
@@ -88,6 +77,3 @@ MANIFEST = T.StructType([
         T.StructField("name", T.StringType()),
     ]))),
 ])
-
-# Values of ``job_type``.
-JOB_TYPES = ("batch_ingestion", "streaming", "dbt", "unknown")

@@ -19,6 +19,8 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Heartbeats are read from the progress kept since the last look.
+    "spark.sql.streaming.numRecentProgressUpdates": "10000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -39,6 +41,8 @@ def local_session(app: str = "tidemill", cores: str | int = "*", shuffle_partiti
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Rebalancing then leaves as many parts as there are cores on small inputs too.
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
     )
     for key, value in SQL_DEFAULTS.items():
         builder = builder.config(key, value)
@@ -76,10 +80,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer parts than the cluster has cores.
-
-    Worth a shuffle only before heavy work per row on input of few files or
-    row groups; a large input has parts enough and is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    """Even out a scan before heavy work per row; Spark chooses the parts by their size."""
+    return scan.hint("rebalance")

@@ -15,8 +15,11 @@ def load_corpus(spark: SparkSession, path: str, name_glob: str = "*") -> DataFra
     """
     files = (spark.read.option("recursiveFileLookup", True)
              .option("pathGlobFilter", name_glob).text(path, wholetext=True))
-    # Making a text valid turns undecodable bytes into U+FFFD, which is then removed.
-    cleaned = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    # Making a text valid turns undecodable bytes into U+FFFD, which is then removed. Such
+    # characters of the text's own are set aside meanwhile, behind an escape.
+    kept = F.replace(F.replace("value", F.lit("\x1a"), F.lit("\x1aa")), F.lit("\ufffd"), F.lit("\x1ab"))
+    cleaned = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    cleaned = F.replace(F.replace(cleaned, F.lit("\x1ab"), F.lit("\ufffd")), F.lit("\x1aa"), F.lit("\x1a"))
     return files.select(
         F.col("_metadata.file_path").alias("source"),
         F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(cleaned).alias("text"))

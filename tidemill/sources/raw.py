@@ -6,12 +6,13 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators.dedupe import latest_by_key
 from tidemill.plans.runlog import RunLog
+from tidemill.session import stage
 from tidemill.sources import tables
 
 FORMATS = ("json", "csv")
@@ -82,37 +83,53 @@ def read_raw(spark: SparkSession, spec: SourceSpec, root: str = "") -> DataFrame
 
 
 def _read_csv(spark: SparkSession, spec: SourceSpec, reader, folder: str) -> DataFrame:
-    """CSV cells are positional, so files are read per header line.
+    """CSV cells are positional, so every line is read by its own file's header, by name.
 
-    With a declared schema there is one scan, and a file whose header differs
-    from it raises. Without one, a first scan finds the header of each file.
+    Columns no file has are null, columns outside a declared schema are passed over; without
+    a schema the types are inferred from all values. A cell that doesn't fit its
+    type stops the load. With quoted line breaks (``multiLine``) or without
+    headers Spark's own reader takes the files by position.
     """
-    header = spec.options.get("header", "true")
-    reader = reader.option("header", header)
+    options = {"header": "true", **spec.options}
+    if options["header"].lower() != "true" or options.get("multiLine", "false").lower() == "true":
+        if spec.schema:
+            return reader.option("header", options["header"]).option("enforceSchema", False).csv(folder)
+        return reader.option("header", options["header"]).option("inferSchema", True).csv(folder)
+    lines = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("position"))
+             .filter(F.trim("value") != ""))
+    heads = (lines.filter("block = 0").groupBy("file")
+             .agg(F.min("position").alias("first"), F.min_by("value", "position").alias("head")))
+    width = heads.agg(F.max(F.size(F.split("head", ",", -1)))).first()[0] or 1
+    cells = ", ".join(f"c{i} string" for i in range(width))
+    parse = {k: v for k, v in options.items() if k in ("sep", "delimiter", "quote", "escape", "nullValue")}
+    array = F.array(*[f"row.c{i}" for i in range(width)])
+    head = F.from_csv("head", cells, parse)
+    names = F.filter(F.array(*[head[f"c{i}"] for i in range(width)]), lambda name: name.isNotNull())
+    rows = (lines.join(heads, "file").filter("position <> first")
+            .select(F.from_csv("value", cells, parse).alias("row"), names.alias("names"))
+            .select(F.map_from_arrays("names", F.slice(array, F.lit(1), F.size("names"))).alias("cells")))
     if spec.schema:
-        return reader.option("enforceSchema", False).csv(folder)
-    reader = reader.option("inferSchema", True)
-    if header.lower() != "true":
-        return reader.csv(folder)
-    first_lines = (
-        spark.read.option("pathGlobFilter", "*.csv").text(folder)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("position"))
-        .filter("block = 0")
-        .groupBy("file").agg(F.min_by("value", "position").alias("header"))
-    )
-    headers = sorted(row["header"] for row in first_lines.select("header").distinct().collect())
-    if len(headers) == 1:
-        return reader.csv(folder)
-    frames = []
-    for line in headers:
-        files = first_lines.filter(F.col("header") == line).select("file").collect()
-        frames.append(reader.csv([row["file"] for row in files]))
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame, allowMissingColumns=True)
-    return whole
+        wanted = T.StructType.fromDDL(spec.schema)
+        return rows.select(*[F.element_at("cells", f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])
+    found = heads.select(F.explode(names).alias("name")).distinct().orderBy("name").collect()
+    texts = [F.element_at("cells", row.name).alias(row.name) for row in found]
+    kinds = ("bigint", "double", "date", "timestamp", "boolean")
+
+    def fits(name: str, kind: str) -> Column:
+        value = F.col(f"`{name}`")
+        good = value.try_cast(kind).isNotNull()
+        if kind == "date":  # a time of day must not get lost
+            good = good & (F.length(value) == 10)
+        return (F.count(value) > 0) & F.coalesce(F.bool_and(good | value.isNull()), F.lit(False))
+
+    seen = rows.select(*texts).agg(*[fits(row.name, kind).alias(f"{i}_{kind}")
+                                     for i, row in enumerate(found) for kind in kinds]).first()
+    kind_of = [next((k for k in kinds if seen[f"{i}_{k}"]), "string") for i in range(len(found))]
+    return rows.select(*[F.element_at("cells", row.name).cast(kind).alias(row.name)
+                         for row, kind in zip(found, kind_of, strict=True)])
 
 
 def ingest(spark: SparkSession, spec: SourceSpec, run_log: RunLog, root: str = "",
@@ -120,8 +137,8 @@ def ingest(spark: SparkSession, spec: SourceSpec, run_log: RunLog, root: str = "
     """Load one source into its bronze table as one tracked run; returns the table.
 
     The default replaces the table by everything in the folder. With
-    ``incremental`` only rows beyond the highest ``incremental_column`` already
-    loaded are taken, and merged by ``primary_key``.
+    ``incremental`` rows not loaded before are merged by ``primary_key``; the one
+    with the highest ``incremental_column`` stays.
     """
     target = _located(root, spec.bronze_table)
     with run_log.track(JOB_PREFIX + spec.name, "batch_ingestion", [spec.raw_path]) as run:
@@ -132,19 +149,35 @@ def ingest(spark: SparkSession, spec: SourceSpec, run_log: RunLog, root: str = "
             tables.write_snapshot(raw, target)
         run.rows_written = tables.rows_written(spark, target)
         run.output_tables = [target]
+        run_log.record_table(target, target, tables.table_schema(spark, target).fieldNames())
     return tables.read_table(spark, target)
 
 
 def _merge_new_rows(spark: SparkSession, spec: SourceSpec, raw: DataFrame, target: str) -> None:
+    """Merge the rows not loaded before; per key the row with the highest marker stays.
+
+    Whether a row is new shows in its content, not in its marker: rows tied
+    with what is loaded, late ones and those without a marker count too. Equal
+    markers are told apart by the rows' content, so the order of loads doesn't
+    matter.
+    """
     if not (spec.primary_key and spec.incremental_column):
         raise ValueError(f"{spec.name} declares no primary_key and incremental_column")
-    marker = spec.incremental_column
+    key = spec.primary_key
+    content = F.sha2(F.to_json(F.struct(*sorted(set(raw.columns) - {INGESTED_AT})),
+                               {"ignoreNullFields": "false"}), 256)
+    raw = raw.withColumn("_content", content).dropDuplicates([key, "_content"])
+    fresh = raw.withColumn("_fresh", F.lit(True))
     if tables.table_exists(spark, target):
-        high = tables.read_table(spark, target).agg(F.max(marker)).first()[0]
-        if high is not None:
-            raw = raw.filter(F.col(marker) > F.lit(high))
-    fresh = latest_by_key(raw, [spec.primary_key], [F.desc(marker)])
-    tables.upsert(spark, target, fresh, [spec.primary_key])
+        loaded = tables.read_table(spark, target).withColumn("_content", content)
+        known = loaded.select(F.col(key).alias("_known"), F.col("_content").alias("_same"))
+        fresh = stage(raw.join(known, raw[key].eqNullSafe(known["_known"]) & (raw["_content"] == known["_same"]),
+                               "left_anti").withColumn("_fresh", F.lit(True)), "fresh")
+        touched = loaded.join(fresh.select(key).distinct(), key, "left_semi")
+        fresh = fresh.unionByName(touched.withColumn("_fresh", F.lit(False)).select(fresh.columns))
+    order = [F.desc_nulls_last(spec.incremental_column), F.desc("_content")]
+    latest = latest_by_key(fresh, [key], order).filter("_fresh").drop("_content", "_fresh")
+    tables.upsert(spark, target, latest, [key])
 
 
 def ingest_one(spark: SparkSession, specs: list[SourceSpec], name: str, run_log: RunLog,

@@ -1,4 +1,4 @@
-"""Versioned parquet tables: full refresh, keyed upsert, history, time travel.
+"""Parquet tables with whole-version publishing: full refresh, keyed upsert, replacement of groups.
 
 Layout of a table folder::
 
@@ -6,22 +6,24 @@ Layout of a table folder::
     commits/<N>/part-*.json           one row naming the parts live at version N
 
 A version is published by writing its commit row last, so readers see a whole
-version or none. An upsert rewrites only the slots its source touches; every
-other slot keeps pointing at the files of an older version. One writer at a
-time is expected: a second writer publishing the same version fails.
+version or none; a folder that a dead writer left without a row is no version
+and is written over. An upsert writes its own rows only, as one more part;
+readers take each key from the newest part that has it. Parts that are no
+longer much larger than what came after them are merged, so that there are few
+and a row is rewritten a few times over the table's life. One writer at a time
+is expected: a second writer publishing the same version fails.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +34,14 @@ COMMITS = T.StructType([
     T.StructField("committed_at", T.TimestampType()),
     T.StructField("operation", T.StringType()),
     T.StructField("rows_written", T.LongType()),
-    T.StructField("slot", T.StringType()),
-    T.StructField("parts", T.ArrayType(T.StringType())),
+    T.StructField("keys", T.ArrayType(T.StringType())),
+    T.StructField("parts", T.ArrayType(T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())]))),
     T.StructField("schema_json", T.StringType()),
 ])
 
-SLOT = "_slot"
-SLOT_VALUE = re.compile(r"[A-Za-z0-9_-]+")
+GONE = "_gone"  # marks rows that say their key has no row any more
+GROWTH = 2      # a part stays apart while it has so many times the rows that came after it
 
 
 def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -79,11 +82,42 @@ def _commit_row(spark: SparkSession, path: str, version: int | None = None) -> R
     return None if found is None else found.first()
 
 
-def _read_parts(spark: SparkSession, path: str, schema: T.StructType,
-                parts: Sequence[str]) -> DataFrame:
+def _read_part(spark: SparkSession, path: str, schema: T.StructType, part: str) -> DataFrame:
+    marked = T.StructType(schema.fields + [T.StructField(GONE, T.BooleanType())])
+    return spark.read.schema(marked).parquet(f"{path}/{part}")
+
+
+def _folded(spark: SparkSession, path: str, schema: T.StructType, parts: Sequence[str],
+            keys: Sequence[str]) -> DataFrame:
+    """Rows of the parts, each key's from the newest part that has it; with the GONE mark.
+
+    A null key matches nothing, so its rows all stay.
+    """
+    frames = [_read_part(spark, path, schema, part) for part in parts]
+    if len(frames) == 1:
+        return frames[0]
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = [frame.withColumns(dict(zip(names, map(F.col, keys), strict=True))) for frame in frames]
+    newer = keyed[1]
+    if len(keyed) > 2:
+        whole = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in names])
+        newest = Window.partitionBy(*names)
+        newer = reduce(DataFrame.unionByName, [
+            frame.withColumn("_age", F.lit(-i)) for i, frame in enumerate(keyed[1:])])
+        newer = (newer.withColumn("_least", F.min("_age").over(newest))
+                 .filter(~whole | (F.col("_age") == F.col("_least"))).drop("_age", "_least"))
+    old = keyed[0].join(newer.select(*names), names, "left_anti")
+    return old.unionByName(newer).drop(*names)
+
+
+def _read_parts(spark: SparkSession, path: str, schema: T.StructType, commit: Row) -> DataFrame:
+    parts = [part["path"] for part in commit["parts"]]
     if not parts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/{part}" for part in parts])
+    if len(parts) == 1 and not commit["keys"]:
+        return spark.read.schema(schema).parquet(f"{path}/{parts[0]}")
+    rows = _folded(spark, path, schema, parts, commit["keys"] or [])
+    return rows.filter(~F.coalesce(GONE, F.lit(False))).drop(GONE)
 
 
 def _schema_of(commit: Row) -> T.StructType:
@@ -95,11 +129,21 @@ def _shape(schema: T.StructType) -> list[tuple[str, str]]:
 
 
 def _publish(spark: SparkSession, path: str, version: int, operation: str, rows: int,
-             slot: str | None, parts: Sequence[str], schema: T.StructType) -> None:
+             keys: Sequence[str], parts: Sequence[tuple[str, int]], schema: T.StructType) -> None:
+    folder = f"{path}/commits/{version}"
+    there = _commits(spark, folder)
+    if there is not None and not there.isEmpty():
+        raise ValueError(f"another writer has published version {version} of {path}")
     row = dict(version=version, committed_at=datetime.now(timezone.utc), operation=operation,
-               rows_written=rows, slot=slot, parts=list(parts), schema_json=schema.json())
-    (local_rows(spark, [row], COMMITS)
-     .write.mode("errorifexists").json(f"{path}/commits/{version}"))
+               rows_written=rows, keys=list(keys), schema_json=schema.json(),
+               parts=[dict(path=part, rows=n) for part, n in parts])
+    # What a dead writer left there holds no row, or it would be a version.
+    local_rows(spark, [row], COMMITS).write.mode("overwrite").json(folder)
+
+
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    commit = _commit_row(spark, path)
+    return None if commit is None else commit["version"]
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -112,35 +156,6 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
     return None if commit is None else _schema_of(commit)
 
 
-def columns_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(table_name, column_name) of the latest version of many tables, in one read.
-
-    Paths without a table are left out.
-    """
-    no_scheme = "^file:/+"
-    wanted = spark.createDataFrame([(path,) for path in paths], "table_name string").withColumn(
-        "place", F.rtrim(F.regexp_replace("table_name", no_scheme, "/"), F.lit("/")))
-    rest_of: dict[str, list[str]] = {}
-    for path in paths:
-        root, rest = re.fullmatch(r"(\w+://[^/]*/|\w+:/|/|)(.*?)/*", path).groups()
-        rest_of.setdefault(root, []).append(rest)
-    found = []
-    for root, rests in rest_of.items():
-        # A pattern matches the folders that exist and passes over the others.
-        commits = _commits(spark, f"{root}{{{','.join(rests)}}}/commits")
-        if commits is not None:
-            found.append(commits.select("version", "schema_json", F.regexp_extract(
-                F.regexp_replace("_metadata.file_path", no_scheme, "/"), "^(.*)/commits/", 1)
-                .alias("place")))
-    if not found:
-        return wanted.select("table_name", F.lit("").alias("column_name")).limit(0)
-    fields = F.from_json("schema_json", "fields array<struct<name string>>")
-    latest = (reduce(DataFrame.unionByName, found).groupBy("place")
-              .agg(F.max_by(fields, "version").alias("layout")))
-    return wanted.join(latest, "place").select(
-        "table_name", F.explode("layout.fields.name").alias("column_name"))
-
-
 def table_history(spark: SparkSession, path: str) -> DataFrame:
     """One row per published version."""
     commits = _commits(spark, f"{path}/commits")
@@ -158,7 +173,7 @@ def read_table(spark: SparkSession, path: str, version: int | None = None,
             return spark.createDataFrame([], schema_if_missing)
         wanted = "" if version is None else f" at version {version}"
         raise FileNotFoundError(f"No table found under {path}{wanted}")
-    return _read_parts(spark, path, _schema_of(commit), commit["parts"])
+    return _read_parts(spark, path, _schema_of(commit), commit)
 
 
 def register_views(spark: SparkSession, locations: dict[str, str]) -> None:
@@ -184,7 +199,7 @@ def write_snapshot(df: DataFrame, path: str, allow_evolution: bool = False,
     writer.parquet(f"{path}/{part}")
     # Counted from the written footers, so a retried task cannot inflate it.
     rows = spark.read.schema(df.schema).parquet(f"{path}/{part}").count()
-    _publish(spark, path, version, "overwrite", rows, None, [part], df.schema)
+    _publish(spark, path, version, "overwrite", rows, [], [(part, rows)], df.schema)
     return version
 
 
@@ -209,66 +224,63 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
-def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
-           slot: str | None = None, slots: int = 64) -> int | None:
+def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str]) -> int | None:
     """Replace rows whose keys match, insert the others; returns the new version.
 
-    ``slot`` is a SQL expression over the key columns that decides which part
-    of the table a row lives in. By default it is a hash of the keys over
-    ``slots`` parts; a time-keyed table passes a period, so that a batch of
-    recent rows rewrites recent parts only. Keys must be unique in the source.
-    An empty source changes nothing.
+    Keys must be unique in the source; a null key matches nothing. An empty
+    source changes nothing.
     """
-    keys = list(keys)
-    previous = _commit_row(spark, path)
-    known_slot = previous["slot"] if previous is not None else None
-    if slot and known_slot and slot != known_slot:
-        raise ValueError(f"{path} is laid out by {known_slot!r}, not {slot!r}")
-    slot = known_slot or slot or f"pmod(xxhash64({', '.join(keys)}), {slots})"
-    schema = source.schema if previous is None else _schema_of(previous)
-    if _shape(schema) != _shape(source.schema):
-        raise ValueError(f"source of {path} has {_shape(source.schema)}, table {_shape(schema)}")
-
-    def slotted(df: DataFrame) -> DataFrame:
-        value = F.coalesce(F.expr(slot).cast("string"), F.lit("none"))
-        return df.select(*schema.fieldNames(), value.alias(SLOT))
-
-    incoming = slotted(source)
-    whole_key = F.lit(True)
-    for key in keys:
-        whole_key = whole_key & F.col(key).isNotNull()
-    # One pass tells both whether keys repeat and which slots are touched; the
-    # driver receives one row holding at most one value per slot.
-    seen = (incoming.groupBy(*keys, SLOT).count()
-            .agg(F.max(F.when(whole_key, F.col("count"))).alias("copies"),
-                 F.collect_set(SLOT).alias("touched")).first())
-    touched = set(seen["touched"])
-    if not touched:
-        return None if previous is None else previous["version"]
-    if (seen["copies"] or 0) > 1:
-        raise ValueError(f"source repeats a key of {keys}")
-    odd = [value for value in touched if not SLOT_VALUE.fullmatch(value)]
-    if odd:
-        raise ValueError(f"slot values must be plain words, got {odd[:3]}")
-
-    live = list(previous["parts"]) if previous is not None else []
-    if previous is not None and known_slot is None:
-        stale, kept = live, []  # first upsert after a full refresh lays out the slots
-    else:
-        stale = [part for part in live if part.rpartition(f"{SLOT}=")[2] in touched]
-        kept = [part for part in live if part not in set(stale)]
-    merged = incoming
-    if stale:
-        old = slotted(_read_parts(spark, path, schema, stale))
-        merged = old.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+    return _merge(spark, path, source, list(keys), unique=True)
+
+
+def replace_groups(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
+                   emptied: DataFrame | None = None) -> int | None:
+    """Replace all rows of every group (same keys) the source has rows of; returns the new version.
 
+    ``emptied`` holds, in the table's columns, one row for each group that has no rows any
+    more; only its keys count.
+    """
+    if emptied is not None:
+        source = source.withColumn(GONE, F.lit(False)).unionByName(
+            emptied.withColumn(GONE, F.lit(True)))
+    return _merge(spark, path, source, list(keys), unique=False)
+
+
+def _merge(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
+           unique: bool) -> int | None:
+    previous = _commit_row(spark, path)
+    marked = GONE in source.columns
+    shape = T.StructType([field for field in source.schema.fields if field.name != GONE])
+    schema = shape if previous is None else _schema_of(previous)
+    if _shape(schema) != _shape(shape):
+        raise ValueError(f"source of {path} has {_shape(shape)}, table {_shape(schema)}")
+    if previous is not None and previous["keys"] and list(previous["keys"]) != keys:
+        raise ValueError(f"{path} is keyed by {previous['keys']}, not {keys}")
     version = 0 if previous is None else previous["version"] + 1
     part = f"data/v={version}-{uuid.uuid4().hex[:8]}"
-    merged.hint("rebalance", SLOT).write.partitionBy(SLOT).parquet(f"{path}/{part}")
-    written = spark.read.schema(T.StructType(schema.fields + [T.StructField(SLOT, T.StringType())])) \
-        .parquet(f"{path}/{part}")
-    counts = written.groupBy(SLOT).count().collect()  # one row per slot
-    fresh = [f"{part}/{SLOT}={row[SLOT]}" for row in counts]
-    _publish(spark, path, version, "upsert", sum(row["count"] for row in counts),
-             slot, kept + fresh, schema)
+    # Written once and read back, so that the source is computed once.
+    source.select(*schema.fieldNames(), *([GONE] if marked else [])).write.parquet(f"{path}/{part}")
+    written = _read_part(spark, path, schema, part)
+    rows = written.count()
+    if not rows:
+        return None if previous is None else previous["version"]
+    if unique:
+        whole = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+        twice = written.filter(whole).groupBy(*[F.col(key) for key in keys]).count().filter("count > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"source repeats a key of {keys}")
+    live = [] if previous is None else [(p["path"], p["rows"]) for p in previous["parts"]]
+    live.append((part, rows))
+    first, total = len(live) - 1, rows
+    while first > 0 and live[first - 1][1] < GROWTH * total:
+        first -= 1
+        total += live[first][1]
+    if first < len(live) - 1:
+        merged = _folded(spark, path, schema, [p for p, _ in live[first:]], keys)
+        if first == 0:
+            merged = merged.filter(~F.coalesce(GONE, F.lit(False))).drop(GONE)
+        part = f"data/v={version}-{uuid.uuid4().hex[:8]}"
+        merged.write.parquet(f"{path}/{part}")
+        live[first:] = [(part, _read_part(spark, path, schema, part).count())]
+    _publish(spark, path, version, "upsert", rows, keys, live, schema)
     return version

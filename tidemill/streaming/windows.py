@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +21,6 @@ TRIGGER = "15 seconds"
 JOB_NAME = "clickstream_sessionization"
 
 KEYS = ["window_start", "window_end", "event_type"]
-# Result rows live in the slot of their UTC day, whatever the session's time zone,
-# so a micro-batch rewrites recent days only.
-DAY_SLOT = "cast(unix_seconds(window_start) div 86400 as string)"
 
 
 def kafka_events(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -85,7 +82,7 @@ class StreamTotals:
     rows_read: int = 0
     windows_closed: int = 0
     rows_too_late: int = 0
-    seen: set[int] = field(default_factory=set)
+    last_batch: int = -1
 
 
 def start_stream(windows: DataFrame, path: str, checkpoint: str, trigger: str | None = TRIGGER,
@@ -101,7 +98,7 @@ def start_stream(windows: DataFrame, path: str, checkpoint: str, trigger: str |
         try:
             count = batch.count()
             if count:
-                tables.upsert(batch.sparkSession, path, batch, KEYS, slot=DAY_SLOT)
+                tables.upsert(batch.sparkSession, path, batch, KEYS)
             if closed is not None:
                 closed[batch_id] = count
         finally:
@@ -146,13 +143,14 @@ def _heartbeats(query: StreamingQuery, closed: dict[int, int], totals: StreamTot
     runs = []
     for progress in query.recentProgress:
         batch = progress["batchId"]
-        if batch in totals.seen or batch not in closed:
+        if batch <= totals.last_batch or batch not in closed:
             continue
-        totals.seen.add(batch)
+        totals.last_batch = batch
+        written = closed.pop(batch)
         started = datetime.fromisoformat(progress["timestamp"].replace("Z", "+00:00"))
         took = progress["durationMs"].get("triggerExecution", 0)
         run = Run(str(uuid.uuid4()), job_name, "streaming", started, [input_name],
-                  rows_read=progress["numInputRows"], rows_written=closed[batch],
+                  rows_read=progress["numInputRows"], rows_written=written,
                   output_tables=[path])
         runs.append((run, started + timedelta(milliseconds=took)))
         totals.batches += 1

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 _BRONZE = """
 customers AS (
-  SELECT c_custkey AS customer_id, n_name AS region
-  FROM customer JOIN nation ON n_nationkey = c_nationkey
-  WHERE c_mktsegment <> 'BUILDING'),
+  SELECT c_custkey AS customer_id,
+         CASE WHEN c_mktsegment <> 'BUILDING' THEN n_name END AS region
+  FROM customer JOIN nation ON n_nationkey = c_nationkey),
 gold AS (
   SELECT date_trunc('day', o_orderdate) AS order_date, region, count(o_orderkey) AS order_count,
          CAST(sum(CAST(o_totalprice AS DECIMAL(10,2))) AS DECIMAL(20,2)) AS total_revenue
@@ -66,7 +66,7 @@ runs AS (
               END AS estimated_cost_usd
   FROM orders),
 reads AS (
-  SELECT 'tbl_' || (user_id % 7 + 50) AS table_name FROM events WHERE event_type = 'view')
+  SELECT 'tbl_' || (user_id % 7 + 50) AS table_name FROM events)
 """
 
 _UNUSED = """
@@ -273,6 +273,43 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_o
     "sample_orders":
         "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10",
     "upsert_orders": _UPSERTED,
+    "incremental_ingest": """
+WITH base AS (
+  SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(12,2)) AS price,
+         CAST(o_orderdate AS DATE) AS d FROM orders),
+drops AS (
+  SELECT k, price, CASE WHEN k % 11 <> 0 THEN d END AS marker FROM base
+  UNION ALL SELECT k, price + 1, d + 1 FROM base WHERE k % 5 = 0
+  UNION ALL SELECT k, price - 1, d - 1 FROM base WHERE k % 7 = 0)
+SELECT CAST(k AS VARCHAR) AS order_id, CAST(price AS DECIMAL(12,2)) AS order_amount,
+       strftime(marker, '%Y-%m-%d') AS updated_at
+FROM drops QUALIFY row_number() OVER (PARTITION BY k ORDER BY marker DESC NULLS LAST) = 1""",
+    "csv_by_name": """
+SELECT 'declared' AS how, c_custkey AS customer_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS email,
+       c_acctbal AS balance FROM customer
+UNION ALL
+SELECT 'inferred', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END, c_acctbal FROM customer""",
+    "model_run_log": f"""
+WITH {_BRONZE}
+SELECT 'dbt_run' AS job_name, 'dbt' AS job_type, 'success' AS status,
+       (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer)
+         + (SELECT count(*) FROM gold) AS rows_written,
+       'gold.daily_revenue,silver.stg_customers,silver.stg_orders' AS output_tables""",
+    "model_schema_overlap": """
+SELECT 'silver.stg_customers' AS table_a, 'silver.stg_orders' AS table_b,
+       round(CAST(2 AS DOUBLE) / 9, 6) AS overlap, 'customer_id,updated_at' AS shared_columns
+WHERE EXISTS (SELECT * FROM orders) AND EXISTS (SELECT * FROM customer)""",
+    "failed_runs": """
+SELECT 'check_segments' AS job_name, 'batch_ingestion' AS job_type, 'failed' AS status,
+       count(*) || ' customers without a segment' AS error_message
+FROM customer WHERE c_mktsegment IS NULL OR c_mktsegment = 'BUILDING'""",
+    "read_log": """
+SELECT table_name, reader_job, count(*) AS reads FROM (
+  SELECT 'tbl_' || (user_id % 7 + 50) AS table_name,
+         CASE WHEN event_type = 'view' THEN 'dash_' ELSE 'export_' END || (user_id % 3) AS reader_job
+  FROM events UNION ALL SELECT 'gold.orders', 'dashboard') GROUP BY 1, 2""",
+    "stream_json_counts": f"SELECT * FROM ({_windows(1)})\n"
+        "WHERE window_end <= (SELECT max(ts) - INTERVAL 30 SECOND FROM events)",
     "time_travel_counts": """
 SELECT 0 AS version, 'overwrite' AS operation, count(*) AS rows
 FROM orders WHERE o_orderstatus <> 'P'
@@ -353,6 +390,11 @@ SELECT table_name, 'dbt_run' AS reader_job, count(*) AS reads FROM (
 SELECT doc_id, CAST(s // 700 AS INTEGER) AS chunk_index, substring(text, s + 1, 800) AS chunk
 FROM (SELECT doc_id, text, unnest(range(0, length(text), 700)) AS s FROM documents)""",
     "chunk_blocks": f"WITH {_BLOCKS} SELECT doc_id, block_index, block FROM blocks",
+    "chunk_replacement": f"""
+WITH RECURSIVE documents AS (
+  SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 3 = 0 THEN left(text, 300)
+                      ELSE text END AS text FROM main.documents),
+{_CHUNKS} SELECT 'doc_' || doc_id AS source, chunk_index, chunk AS text FROM chunks""",
     "chunk_packed": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, chunk FROM chunks",
     "embed_chunks": _word_slots("documents", "doc_id", "text").strip(),
     "vector_topk": f"""
@@ -361,7 +403,14 @@ SELECT id, round(score, 4) AS score FROM ranked
 WHERE rank <= 5 AND qid = (SELECT min(vec_id) FROM embeddings)""",
     "vector_topk_batch":
         f"WITH {_COSINES} SELECT qid, CAST(rank AS INTEGER) AS rank, id, "
-        "round(score, 4) AS score FROM ranked WHERE rank <= 5",
+        "round(score, 4) AS score FROM ranked WHERE rank <= 5 AND qid % 50 = 0",
+    "vector_topk_copies": f"""
+WITH {_COSINES},
+twice AS (SELECT qid, id, score FROM scores WHERE qid % 50 = 0
+          UNION ALL SELECT qid, id + 10000000, score FROM scores WHERE qid % 50 = 0)
+SELECT qid, CAST(rank AS INTEGER) AS rank, id FROM (
+  SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, id) AS rank
+  FROM twice) WHERE rank <= 6""",
     "retrieval_context": f"""
 WITH RECURSIVE {_HITS}
 SELECT qid, string_agg('[' || source || ']' || chr(10) || text,
@@ -370,6 +419,25 @@ FROM hits GROUP BY 1""",
     "citations": f"""
 WITH RECURSIVE {_HITS}
 SELECT qid, source, CAST(min(rank) AS INTEGER) AS first_rank FROM hits GROUP BY 1, 2""",
+    "tool_answers": f"""
+WITH {_RUNS}, {_UNUSED}, {_QUESTIONS},
+failures AS (
+  SELECT job_name || ' | ' || ended_at || ' | ' || error_message AS line, ended_at, job_name, error_message
+  FROM runs WHERE status = 'failed' AND ended_at >= (SELECT max(ended_at) FROM runs) - INTERVAL 3 DAY),
+texts AS (
+  SELECT 'recent_failures' AS tool, coalesce(string_agg(line, chr(10) ORDER BY n), '') AS context FROM (
+    SELECT line, row_number() OVER (ORDER BY ended_at DESC, job_name, error_message) AS n FROM failures)
+  WHERE n <= 50
+  UNION ALL
+  SELECT 'unused_tables', coalesce(string_agg(line, chr(10) ORDER BY n), '') FROM (
+    SELECT table_name || ' | ' || last_written AS line,
+           row_number() OVER (ORDER BY last_written DESC NULLS LAST, table_name) AS n FROM unused)
+  WHERE n <= 50)
+SELECT conv_id || '-' || turn AS qid, tool, context FROM asked JOIN texts ON tool = CASE
+  WHEN regexp_matches(lower(question), 'cost|expensive|spend') THEN 'top_cost_pipelines'
+  WHEN regexp_matches(lower(question), 'fail|error|broke') THEN 'recent_failures'
+  WHEN regexp_matches(lower(question), 'unused|waste|orphan') THEN 'unused_tables'
+  ELSE 'other' END""",
     "route_questions": f"""
 WITH {_QUESTIONS}
 SELECT conv_id, turn, question, CASE

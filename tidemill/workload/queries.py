@@ -13,7 +13,9 @@ from tidemill.functions import text as tx
 from tidemill.operators.dedupe import latest_by_key
 from tidemill.operators.nearest import nearest, nearest_to
 from tidemill.operators.quality import check_not_null, check_unique
-from tidemill.plans import lineage, questions, reports, retrieval, revenue, runlog, wastage
+from tidemill.plans import (
+    lineage, models, questions, reports, retrieval, revenue, runlog, serving, wastage,
+)
 from tidemill.session import configure, scratch_path
 from tidemill.sources import raw, tables
 from tidemill.streaming import windows
@@ -90,6 +92,103 @@ def bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.naive(gold.withColumn("total_revenue", F.col("total_revenue").cast(MONEY)))
 
 
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops merged by key: the second has new keys at old markers, late rows and null markers."""
+    root = scratch_path(spark, "incremental")
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    price = F.col("o_totalprice").cast("decimal(12,2)")
+    orders = rel.load(spark, sf_dir, "orders")
+
+    def rows(condition: str, amount, marker) -> DataFrame:
+        return orders.filter(condition).select(
+            key.cast("string").alias("order_id"), amount.cast("double").alias("order_amount"),
+            marker.cast("string").alias("updated_at"))
+
+    stamped = F.when(key % 11 != 0, day)
+    rows("o_orderkey % 3 <> 0", price, stamped).write.json(f"{root}/raw")
+    spec = raw.SourceSpec("orders", "json", "raw", "bronze", "order_id", "updated_at",
+                          schema="order_id string, order_amount double, updated_at string")
+    log = runlog.RunLog(spark, f"{root}/runs", f"{root}/reads")
+    raw.ingest(spark, spec, log, root, incremental=True)
+    (rows("o_orderkey % 3 = 0", price, stamped)
+     .unionByName(rows("o_orderkey % 5 = 0", price + 1, F.date_add(day, 1)))
+     .unionByName(rows("o_orderkey % 7 = 0", price - 1, F.date_sub(day, 1)))
+     .write.mode("append").json(f"{root}/raw"))
+    loaded = raw.ingest(spark, spec, log, root, incremental=True)
+    return loaded.select("order_id", F.col("order_amount").cast("decimal(12,2)").alias("order_amount"), "updated_at")
+
+
+def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV drops with other columns in another order, read by name: declared and inferred types."""
+    root = scratch_path(spark, "csv")
+    customers = rel.load(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("email"), F.col("c_acctbal").alias("balance"))
+    (customers.filter("customer_id % 2 = 0").select("email", "balance", "customer_id")
+     .write.option("header", True).csv(f"{root}/raw"))
+    (customers.filter("customer_id % 2 = 1").select("customer_id", "balance")
+     .write.mode("append").option("header", True).csv(f"{root}/raw"))
+    declared = raw.read_raw(spark, raw.SourceSpec(
+        "customers", "csv", "raw", "b", schema="customer_id bigint, email string, balance double"), root)
+    inferred = raw.read_raw(spark, raw.SourceSpec("customers", "csv", "raw", "b"), root)
+    columns = ["customer_id", "email", "balance"]
+    return (declared.select(F.lit("declared").alias("how"), *columns)
+            .unionByName(inferred.select(F.lit("inferred").alias("how"), *columns)))
+
+
+def _model_runs(spark: SparkSession, sf_dir: str) -> runlog.RunLog:
+    """Bronze tables of the orders and customers, and the models built on them."""
+    root = scratch_path(spark, "models")
+    bronze = {"orders": f"{root}/bronze/orders", "customers": f"{root}/bronze/customers"}
+    orders = rel.bronze_orders(spark, sf_dir).withColumn("order_status", F.when(
+        F.col("order_status") == "F", "completed").otherwise("pending"))
+    tables.write_snapshot(orders, bronze["orders"])
+    tables.write_snapshot(rel.bronze_customers(spark, sf_dir), bronze["customers"])
+    log = runlog.RunLog(spark, f"{root}/runs", f"{root}/reads")
+    models.run_models(spark, bronze, f"{root}/lake", log)
+    return log
+
+
+def model_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model_runs(spark, sf_dir).runs().select(
+        "job_name", "job_type", "status", "rows_written",
+        F.array_join(F.array_sort("output_tables"), ",").alias("output_tables"))
+
+
+def model_schema_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model outputs that share a fifth of their columns, names and places alike."""
+    log = _model_runs(spark, sf_dir)
+    pairs = wastage.duplicate_schemas(wastage.output_columns(log.runs(), log.catalog()), 0.2)
+    return pairs.select("table_a", "table_b", F.round("overlap", 6).alias("overlap"),
+                        F.array_join("shared_columns", ",").alias("shared_columns"))
+
+
+def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that stops at a failed check, as the run log shows it."""
+    root = scratch_path(spark, "failed")
+    log = runlog.RunLog(spark, f"{root}/runs", f"{root}/reads")
+    customers = rel.load(spark, sf_dir, "customer").withColumn(
+        "c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    try:
+        with log.track("check_segments", "batch_ingestion", ["bronze/customers"]):
+            missing = check_not_null(customers, "customer", ["c_mktsegment"]).first()["failures"]
+            raise ValueError(f"{missing} customers without a segment")
+    except ValueError:
+        log.compact()  # readers start from the snapshot
+    return log.runs().select("job_name", "job_type", "status", "error_message")
+
+
+def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads recorded in bulk, and one by a dashboard that loads a table by its place."""
+    root = scratch_path(spark, "reads")
+    log = runlog.RunLog(spark, f"{root}/runs", f"{root}/reads")
+    log.record_reads(rel.table_reads(spark, sf_dir))
+    orders = rel.bronze_orders(spark, sf_dir)
+    tables.write_snapshot(orders, f"{root}/gold/orders")
+    log.record_table("gold.orders", f"{root}/gold/orders", orders.columns)
+    serving.load_gold(spark, f"{root}/gold/orders", ["order_id"], log, "dashboard", orders.schema)
+    return log.reads().groupBy("table_name", "reader_job").agg(F.count(F.lit(1)).alias("reads"))
+
+
 def _upserted(spark: SparkSession, sf_dir: str) -> str:
     """A table of the orders not in status P, then merged with those not in F, one dearer."""
     path = scratch_path(spark, "orders")
@@ -98,7 +197,7 @@ def _upserted(spark: SparkSession, sf_dir: str) -> str:
     tables.write_snapshot(orders.filter("o_orderstatus <> 'P'"), path)
     dearer = orders.filter("o_orderstatus <> 'F'").withColumn(
         "price", (F.col("price") + 1).cast("decimal(12,2)"))
-    tables.upsert(spark, path, dearer, ["o_orderkey"], slots=8)
+    tables.upsert(spark, path, dearer, ["o_orderkey"])
     return path
 
 
@@ -172,6 +271,33 @@ def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum("rows_written").alias("rows_written")))
 
 
+def stream_json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON files in four drops, the stream started again for each from its checkpoint.
+
+    The last drop repeats the first day's events, whose windows are closed by then.
+    """
+    root = scratch_path(configure(spark), "stream-json")
+    events = rel.load(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    payload = F.to_json(F.struct(
+        F.monotonically_increasing_id().cast("string").alias("event_id"),
+        F.col("user_id").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("user_id"),
+        "event_type", F.lit("/").alias("page"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("event_time"))).alias("value")
+    log = runlog.RunLog(spark, f"{root}/runs", f"{root}/reads")
+    quarter = F.least(F.floor((F.col("ts").cast("double") - first.timestamp()) * 4
+                              / max(1e-6, last.timestamp() - first.timestamp())), F.lit(3))
+    for part in range(4):
+        drop = events.filter(quarter == part)
+        if part == 3:
+            drop = drop.unionByName(events.filter(F.col("ts") < F.lit(first) + F.expr("interval 1 day")))
+        drop.select(payload).write.mode("append").text(f"{root}/in")
+        decoded = windows.decode_events(windows.file_events(spark, f"{root}/in"))
+        windows.run_stream(windows.window_counts(decoded), f"{root}/gold", f"{root}/checkpoint", log,
+                           "events", trigger=None, poll=2.0)
+    return rel.naive(tables.read_table(spark, f"{root}/gold"))
+
+
 # -- run log -----------------------------------------------------------------
 
 def run_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +396,20 @@ def chunk_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "chunk", "chunk_index")
 
 
+def chunk_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks stored, then every third document shortened, some to nothing, and stored again."""
+    path = scratch_path(spark, "chunks")
+    docs = rel.documents(spark, sf_dir)
+    shorter = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 0, "").when(
+        F.col("doc_id") % 3 == 0, F.left("text", F.lit(300))).otherwise(F.col("text")))
+    for version in (docs, shorter):
+        named = rel.with_markdown(version).select(
+            F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), "text")
+        chunks = retrieval.embed(retrieval.chunk(named), dims=8)
+        retrieval.store_upsert(spark, path, chunks, dims=8, sources=named)
+    return tables.read_table(spark, path).select("metadata.source", "metadata.chunk_index", "text")
+
+
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts per hash slot of every document, as (doc_id, slot, words)."""
     docs = rel.documents(spark, sf_dir)
@@ -285,10 +425,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every vector, the five nearest of all."""
+    """For every fiftieth vector, the five nearest of all."""
+    vectors = rel.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+    return nearest(asked, vectors, 5).withColumn("score", F.round("score", 4))
+
+
+def vector_topk_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a store that holds every vector twice: ties go to the lower id."""
     vectors = rel.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    hits = nearest(vectors.withColumnRenamed("id", "qid"), vectors, 5)
-    return hits.withColumn("score", F.round("score", 4))
+    asked = vectors.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+    twice = vectors.unionByName(vectors.withColumn("id", F.col("id") + 10_000_000))
+    return nearest(asked, twice.repartition(7), 6).select("qid", "rank", "id")
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +445,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), "text")
     chunks = retrieval.embed(retrieval.chunk(docs), dims=EMBED_DIMS)
     path = scratch_path(spark, "chunks")
-    retrieval.store_upsert(spark, path, chunks, dims=EMBED_DIMS, slots=8)
+    retrieval.store_upsert(spark, path, chunks, dims=EMBED_DIMS)
     asked = rel.questions(spark, sf_dir).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
         .alias("qid"), F.col("question").alias("text"))
@@ -317,12 +465,25 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "question", "tool")
 
 
+def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions on unused tables and failures, with the text their tools answer from."""
+    runs, reads = rel.pipeline_runs(spark, sf_dir), rel.table_reads(spark, sf_dir)
+    asked = rel.questions(spark, sf_dir).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), "question")
+    routed = questions.route(asked)
+    found = {name: questions.run_tool(name, runs, reads, _as_of(runs))
+             for name in ("recent_failures", "unused_tables")}
+    return questions.contexts(routed, found)
+
+
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     daily_revenue, revenue_by_day, revenue_by_region, latest_lineitem, latest_customer_order,
-    sample_orders, bronze_ingest, upsert_orders, time_travel_counts, quality_not_null,
+    sample_orders, bronze_ingest, incremental_ingest, csv_by_name, model_run_log,
+    model_schema_overlap, failed_runs, read_log, upsert_orders, time_travel_counts, quality_not_null,
     quality_unique, window_counts_1min, window_counts_1h, event_pivot, stream_window_counts,
-    stream_heartbeats, run_log_latest, runs_by_type, top_cost_jobs, recent_failures,
+    stream_heartbeats, stream_json_counts, run_log_latest, runs_by_type, top_cost_jobs, recent_failures,
     unused_tables, runtime_trend, runtime_regressions, duplicate_schemas, wastage_report,
     wastage_totals, run_edges, dependency_reads, chunk_sliding, chunk_blocks, chunk_packed,
-    embed_chunks, vector_topk, vector_topk_batch, retrieval_context, citations, route_questions,
+    chunk_replacement, embed_chunks, vector_topk, vector_topk_batch, vector_topk_copies, retrieval_context, citations, route_questions,
+    tool_answers,
 )}

@@ -38,14 +38,14 @@ def bronze_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers outside one market segment, so that some orders find none."""
-    customers = load(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
+    """All customers; those of one market segment have no region."""
+    customers = load(spark, sf_dir, "customer")
     nations = load(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
     day = F.lit("2024-01-01")
     return customers.join(nations, "c_nationkey").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("email"),
-        day.alias("signup_date"), "region", day.alias("updated_at"))
+        day.alias("signup_date"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("region")).alias("region"), day.alias("updated_at"))
 
 
 def click_events(events: DataFrame) -> DataFrame:
@@ -103,12 +103,13 @@ def run_log(runs: DataFrame) -> DataFrame:
 
 
 def table_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read per view event."""
+    """One read per event; of views from one dashboard, of others from an export job."""
     user = F.col("user_id")
-    return load(spark, sf_dir, "events").filter("event_type = 'view'").select(
+    return load(spark, sf_dir, "events").select(
         F.concat(F.lit("tbl_"), (user % 7 + 50).cast("string")).alias("table_name"),
         F.col("ts").alias("read_at"),
-        F.concat(F.lit("dash_"), (user % 3).cast("string")).alias("reader_job"))
+        F.concat(F.when(F.col("event_type") == "view", "dash_").otherwise("export_"), (user % 3).cast("string"))
+        .alias("reader_job"))
 
 
 def schema_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +126,15 @@ def schema_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which some have blank lines and some table rows."""
+    return with_markdown(documents(spark, sf_dir))
+
+
+def with_markdown(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     marked = (F.when(F.col("doc_id") % 3 == 0, F.replace(text, F.lit("\n"), F.lit("\n\n")))
               .when(F.col("doc_id") % 3 == 1, F.replace(text, F.lit("\n"), F.lit("\n| ")))
               .otherwise(text))
-    return documents(spark, sf_dir).select("doc_id", marked.alias("text"))
+    return docs.select("doc_id", marked.alias("text"))
 
 
 # A question per remainder of the conversation number.
@@ -168,7 +173,8 @@ def lineage_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "sources": nations.select(
             F.concat(F.lit("source.nation_"), F.col("n_nationkey").cast("string"))
             .alias("node_id"), F.col("n_name").alias("source_name")),
-        "locations": nations.filter("n_regionkey <> 0").select(
+        "locations": nations.select(
             F.col("n_name").alias("source_name"),
-            F.concat(F.lit("/lake/bronze/"), F.col("n_name")).alias("location")),
+            F.when(F.col("n_regionkey") != 0, F.concat(F.lit("/lake/bronze/"), F.col("n_name")))
+            .alias("location")),
     }
