@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -207,13 +208,18 @@ def edit_distance(a: list, b: list) -> int:
 
 
 def similar(a: list, b: list) -> bool:
-    return edit_distance(a, b) <= (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9
+    most = (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9
+    if len(a) == len(b) and sum(map(ne, a, b)) <= most:  # no fewer than the edits needed
+        return True
+    return edit_distance(a, b) <= most
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed links of every block of a bucket, as a spanning forest."""
     found: list[tuple[bytes, bytes]] = []
     for keys, sims, contents in groups_of(batches, ["bucket", "low", "high"], ["key", "sim", "content"]):
+        if len(keys) < 2:
+            continue
         lines = [c.split(b" ") for c in contents]
         if len(keys) <= FEW:
             links = _links_of_few(sims, lines)
