@@ -6,12 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.session import configure, stage
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = 512
 
 
@@ -27,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def evened(docs: DataFrame) -> DataFrame:
-    """Documents dealt out evenly by rebalancing.
-
-    A scan of few row groups leaves cores idle; Spark sizes the parts itself.
-    """
-    return docs.hint("rebalance")
-
-
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-
-
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of a partition sorted by ``keys``, one at a time.
 
@@ -97,5 +82,4 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
-__all__ = ["BATCH_ROWS", "UPPER", "evened", "groups_of", "lower_ascii", "parts_for", "prepared", "runs_of",
-           "stage", "table"]
+__all__ = ["BATCH_ROWS", "groups_of", "parts_for", "prepared", "runs_of", "stage", "table"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -113,10 +114,13 @@ class Templates:
         hashes, first = word_rows(pa.array([text for _, text in templates], pa.string()))[:2]
         self.words = [hashes[i:j].tolist() for i, j in zip(first[:-1], first[1:], strict=True)]
         common = set(word_rows(pa.array([" ".join(_COMMON)]))[0].tolist())
-        self.rare = [np.array(sorted(set(w) - common), np.uint64) for w in self.words]
+        # A template of common words alone is looked for by all of them.
+        own = [set(w) - common or set(w) for w in self.words]
+        self.rare = [np.array(sorted(words), np.uint64) for words in own]
         self.all_rare = np.unique(np.concatenate(self.rare)) if self.rare else np.zeros(0, np.uint64)
-        # Of the words that must align, so many are none of the common ones.
-        self.least = [max(1, -(-len(w) * 8 // 10) - sum(x in common for x in w)) for w in self.words]
+        # Of the words that must align, so many are among these.
+        self.least = [max(1, math.ceil(COVERAGE * len(w) - 1e-9) - sum(x not in words for x in w))
+                      for w, words in zip(self.words, own, strict=True)]
 
     def find(self, words: np.ndarray, rare_places: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, first word, last word, aligned words) of every notice in a text."""

@@ -209,7 +209,9 @@ def edit_distance(a: list, b: list) -> int:
 
 def similar(a: list, b: list) -> bool:
     most = (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9
-    if len(a) == len(b) and sum(map(ne, a, b)) <= most:  # no fewer than the edits needed
+    if abs(len(a) - len(b)) > most:  # as many insertions at least
+        return False
+    if len(a) == len(b) and sum(map(ne, a, b)) <= most:  # replacements that do
         return True
     return edit_distance(a, b) <= most
 
