@@ -15,7 +15,10 @@ from tidemill.plans.runlog import RunLog
 from tidemill.session import stage
 from tidemill.sources import tables
 
+# The formats, and the words of the errors on an unknown one or an empty folder.
 FORMATS = ("json", "csv")
+UNSUPPORTED = "Unsupported format: {}"
+NO_FILES = "No {} files found under {}"
 INGESTED_AT = "_ingested_at"
 
 # Fixed value: how ingestion runs are named, before the source's name.
@@ -37,7 +40,7 @@ class SourceSpec:
 
     def __post_init__(self) -> None:
         if self.format not in FORMATS:
-            raise ValueError(f"Unsupported format: {self.format}")
+            raise ValueError(UNSUPPORTED.format(self.format))
 
 
 def load_specs(config: str) -> list[SourceSpec]:
@@ -59,7 +62,7 @@ def read_raw(spark: SparkSession, spec: SourceSpec, root: str = "") -> DataFrame
     Columns are matched by name; one a file lacks is null for its rows.
     """
     folder = _located(root, spec.raw_path)
-    missing = FileNotFoundError(f"No {spec.format} files found under {folder}")
+    missing = FileNotFoundError(NO_FILES.format(spec.format, folder))
     try:
         # Listing alone decides whether there is input; no content is read here.
         listing = (spark.read.format("binaryFile")
