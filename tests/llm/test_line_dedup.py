@@ -112,3 +112,50 @@ def test_simhash_is_the_majority():
     for n, (i, j) in enumerate(zip(first[:-1], first[1:], strict=True)):
         bits = np.unpackbits(hashes[i:j].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
         assert np.packbits(bits * 2 > j - i).tobytes() == got[n:n + 1].tobytes()
+
+def edited(rng, line, edits):
+    """The line after so many replacements, insertions and deletions at random places."""
+    line = list(line)
+    for n in range(edits):
+        at = rng.randrange(len(line))
+        line[at:at + 1] = rng.choice([[f"new{n}"], [f"new{n}", line[at]], [], [f"new{n}"]])
+    return line
+
+
+def pairs_at(rng, lengths, copies):
+    """Pairs of lines at the similarity or above, with as many edits as it allows or fewer."""
+    out = []
+    while len(out) < len(lengths) * copies:
+        n = lengths[len(out) % len(lengths)]
+        base = [f"v{rng.randrange(10**9)}" for _ in range(n)]
+        other = edited(rng, base, rng.randrange(1, max(2, n // 5 + 1)))
+        if base != other and ld.similar(base, other):
+            out.append((base, other))
+    return out
+
+
+def test_lines_at_the_similarity_are_found(docs):
+    """Against brute force without any gate: one changed word to a fifth of the words."""
+    rng = random.Random(7)
+    pairs = pairs_at(rng, [6, 7, 8, 10, 12, 15, 16, 20, 30, 40, 47, 60, 100, 300], 8)
+    texts = [(2 * i + j, " ".join(line)) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    got = {r.doc_id for r in ld.repeated_lines(docs(texts)).collect()}
+    assert got == {2 * i + 1 for i in range(len(pairs))}
+    # What a gate of three bits of the SimHash would have let through.
+    near = sum((sim_of(" ".join(a)) ^ sim_of(" ".join(b))).bit_count() <= 3 for a, b in pairs)
+    assert near < len(pairs) / 3
+
+
+def test_similar_lines_share_a_run():
+    rng = random.Random(8)
+    for a, b in pairs_at(rng, list(range(6, 60)), 30):
+        found = ld.lines_of(pa.array([" ".join(a), " ".join(b)]))
+        runs, owner = ld.runs_in(found)
+        shared = set(runs[owner == 0].tolist()) & set(runs[owner == 1].tolist())
+        assert shared, (a, b)
+        assert ld._matrix(found["words"], ld.bins_of([x.tobytes() for x in ld.bags_of(found)]))[0, 1]
+
+
+def test_long_lines_of_repeated_words_meet(docs):
+    texts = [(1, "a long text " * 400), (2, "a long text " * 390 + "and more"), (3, "another text here " * 400)]
+    assert [r.doc_id for r in ld.repeated_lines(docs(texts)).collect()] == [2]

@@ -1,34 +1,39 @@
-"""Fuzzy duplicate lines: SimHash, pigeonhole blocks, edit similarity, one occurrence per group."""
+"""Fuzzy duplicate lines: shared runs of words, bags of words, edit similarity, one occurrence per group."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from operator import ne
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import groups_of, prepared, stage, table
+from tidemill.llm.common import groups_of, parts_for, prepared, runs_of, stage, table
 from tidemill.llm.components import components
 from tidemill.llm.near_dedup import LINKS, forest_of, link_batch, text_hash
 from tidemill.llm.words import hash_spans, mix, raw_bytes, word_bounds
 
 #: Lines of fewer words are left alone: they repeat in clean prose.
 MIN_WORDS = 5
-#: SimHashes of similar lines differ in at most DISTANCE of 64 bits. Of BLOCKS blocks of
-#: bits at least AGREE = BLOCKS - DISTANCE are then equal; a key is AGREE blocks.
-DISTANCE, BLOCKS = 3, 5
-AGREE = BLOCKS - DISTANCE
+#: SimHashes of lines at SIMILARITY lie far apart (about 13 of 64 bits, more where words repeat),
+#: so every distance is let through: they don't decide.
+DISTANCE = 64
 #: Share of words that an edit script leaves alone.
 SIMILARITY = 0.8
+#: Longest run of words that similar lines are sure to share, whatever their length.
+RUN = 4
+#: Lines up to this length are found by all their runs; of longer ones about so many runs count.
+RUNS = 48
+#: Runs that one task sorts at once.
+PART_RUNS = 3_000_000
+#: Counts of a line's words, by hash, of four bits each.
+BINS = 64
 #: Lines of a bucket, and words of theirs, that one task compares with each other.
 BLOCK, BLOCK_WORDS = 1024, 200_000
 #: Members of a bucket up to which they are compared without arrays of their own.
 FEW = 12
-ALL_BITS = 2**64 - 1
 
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[65:91] += 32
@@ -77,8 +82,9 @@ def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(major, axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).reshape(-1)
 
 
-def lines_of(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Lines of at least MIN_WORDS words: text, line (number in it), words, sim, key (2 longs), place."""
+def lines_of(texts: pa.Array, sims: bool = True) -> dict[str, np.ndarray]:
+    """Lines of at least MIN_WORDS words: text, line (number in it), words, key (2 longs), place, the
+    hashes of their words with each line's first; with ``sims`` their SimHashes too."""
     raw, offsets = raw_bytes(texts)
     starts, ends, owner = line_bounds(raw, offsets)
     clean = _CLEAN[raw]
@@ -97,87 +103,233 @@ def lines_of(texts: pa.Array) -> dict[str, np.ndarray]:
         keys = np.stack([np.add.reduceat(placed, begin[:-1]), np.add.reduceat(mix(placed + np.uint64(5)), begin[:-1])], axis=1)
     else:
         keys = np.zeros((0, 2), np.uint64)
-    return {"text": owner[keep], "line": number[keep], "words": counts, "sim": simhashes(hashes, begin),
-            "key": keys, "start": starts[keep], "end": ends[keep]}
+    out = {"text": owner[keep], "line": number[keep], "words": counts, "key": keys, "start": starts[keep],
+           "end": ends[keep], "hashes": hashes, "first": begin}
+    return out | {"sim": simhashes(hashes, begin)} if sims else out
 
 
-def _names(keys: np.ndarray) -> pa.Array:
+def most_edits(words):
+    """Edits that leave SIMILARITY of the longer line's words alone."""
+    return np.floor((1 - SIMILARITY) * words + 1e-9).astype(np.int64)
+
+
+def run_sizes(words: int) -> list[int]:
+    """The sizes of the runs by which a line of so many words finds its partners.
+
+    k edits part the words they leave alone into k + 1 runs at most, so that two
+    lines of ``longer`` words and fewer share a run of (longer - k) / (k + 1) words, rounded up.
+    """
+    sizes, longer = set(), words
+    while words and longer - most_edits(longer) <= words:
+        k = int(most_edits(longer))
+        if k:
+            sizes.add(min(RUN, -(-(longer - k) // (k + 1))))
+        if longer >= 16:  # from here on all share RUN
+            break
+        longer += 1
+    return sorted(sizes)
+
+
+_SIZES = [run_sizes(n) for n in range(17)]
+
+
+def runs_in(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the runs by which lines meet.
+
+    The n-th occurrence of a run in a line is a run of its own, so that repeated
+    words count as often as they stand there. Lines of up to RUNS words have all
+    their runs. Longer ones have those with the smallest hashes, by a limit that
+    falls with their length: what two lines share below the lower limit, both have.
+    """
+    hashes, first, words = found["hashes"], found["first"], found["words"]
+    line_of = np.repeat(np.arange(len(words)), words)
+    end = first[1:][line_of]
+    length = np.minimum(words, 16)[line_of]
+    every, owners = [], []
+    for size in range(1, RUN + 1):
+        has = np.array([size in sizes for sizes in _SIZES])
+        at = np.flatnonzero(has[length] & (np.arange(len(hashes)) + size <= end))
+        run = np.full(len(at), size, dtype=np.uint64)
+        for k in range(size):
+            run = run * np.uint64(0xA0761D6478BD642F) + hashes[at + k]
+        every.append(mix(run))
+        owners.append(line_of[at])
+    run, owner = np.concatenate(every), np.concatenate(owners)
+    order = np.lexsort((run, owner))
+    run, owner = run[order], owner[order]
+    if not len(run):
+        return run, owner
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])
+    begin = np.flatnonzero(new)
+    times = np.arange(len(run)) - np.repeat(begin, np.diff(np.append(begin, len(run))))
+    run = np.where(times > 0, mix(run + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), run)
+    share = np.minimum(RUNS / words[owner], 1.0)
+    keep = (share >= 1) | ((run >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share)
+    return run[keep], owner[keep]
+
+
+def bags_of(found: dict[str, np.ndarray]) -> np.ndarray:
+    """How many of each line's words fall into each of BINS bins, up to 15, two in a byte."""
+    lines = np.repeat(np.arange(len(found["words"])), found["words"])
+    at = lines * BINS + (mix(found["hashes"]) >> np.uint64(58)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=len(found["words"]) * BINS), 15).astype(np.uint8).reshape(-1, BINS)
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
+def bins_of(bags: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(bags), dtype=np.uint8).reshape(-1, BINS // 2)
+    return np.concatenate([packed & 15, packed >> 4], axis=1).astype(np.int8)
+
+
+def _names(keys: np.ndarray, width: int = 16) -> pa.Array:
     flat = pa.py_buffer(np.ascontiguousarray(keys).tobytes())
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, flat]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(keys), [None, flat]).cast(pa.binary())
+
+
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """A line's key in 48 bits. Lines that share one are both candidates."""
+    return keys[:, 0] >> np.uint64(16)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = lines_of(batch.column("text"))
+        found = lines_of(batch.column("text"), sims=False)
         rows = pa.array(found["text"])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows),
              pa.array(found["line"], pa.int32()), _names(found["key"]),
-             pa.array(found["sim"].view(np.int64)), pa.array(found["words"], pa.int32())],
-            ["doc_id", "text_hash", "line", "key", "sim", "words"])
+             pa.array(_marks(found["key"]).view(np.int64)), pa.array(found["words"], pa.int32()),
+             _names(bags_of(found), BINS // 2)],
+            ["doc_id", "text_hash", "line", "key", "mark", "words", "bag"])
+
+
+def _short(values: np.ndarray, low: int) -> np.ndarray:
+    """Six bytes of each number, from byte ``low`` on."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, low:low + 6]
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
+def _runs(parts: int):
+    """Per part of the hashes, the runs of a batch and the marks of their lines, packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = lines_of(batch.column("text"), sims=False)
+            # Equal lines of a batch count once.
+            _, once = np.unique(found["key"][:, 0], return_index=True)
+            runs, owner = runs_in(found)
+            wanted = np.zeros(len(found["words"]), dtype=bool)
+            wanted[once] = True
+            runs, owner = runs[wanted[owner]], owner[wanted[owner]]
+            order = np.argsort(runs)
+            runs, marks = runs[order], _marks(found["key"])[owner[order]]
+            part = ((runs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(edges))
+            runs, marks = _short(runs, 2), _short(marks, 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()),
+                 pa.array([runs[edges[p]:edges[p + 1]].tobytes() for p in some], pa.binary()),
+                 pa.array([marks[edges[p]:edges[p + 1]].tobytes() for p in some], pa.binary())],
+                ["part", "runs", "marks"])
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a part that several lines have, with the lines' marks."""
+    for group in runs_of(batches, ["part"]):
+        runs = _long(b"".join(group.column("runs").to_pylist()))
+        marks = _long(b"".join(group.column("marks").to_pylist()))
+        order = np.lexsort((marks, runs))
+        runs, marks = runs[order], marks[order]
+        new = np.ones(len(runs), dtype=bool)
+        new[1:] = (runs[1:] != runs[:-1]) | (marks[1:] != marks[:-1])
+        runs, marks = runs[new], marks[new]
+        several = np.zeros(len(runs), dtype=bool)
+        several[1:] = runs[1:] == runs[:-1]
+        several[:-1] |= several[1:]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(runs[several].view(np.int64)), pa.array(marks[several].view(np.int64))], ["bucket", "mark"])
 
 
 def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cleaned words of the lines asked for in ``wanted``."""
     for batch in batches:
-        out = [(line_key, b" ".join(clean_words(line)))
+        out = [(w["key"], w["bag"], b" ".join(clean_words(lines[w["line"]])))
                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)
-               for lines in [text.encode().split(b"\n")]
-               for line_key, line in ((w["key"], lines[w["line"]]) for w in wanted)]
+               for lines in [text.encode().split(b"\n")] for w in wanted]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in out], pa.binary()), pa.array([t for _, t in out], pa.binary())], ["key", "content"])
-
+            [pa.array([x[i] for x in out], pa.binary()) for i in range(3)], ["key", "bag", "content"])
 
-def bucket_keys(sim: Column) -> Column:
-    """A key for every choice of AGREE blocks of the SimHash; equal where all its blocks are."""
-    width = -(-64 // BLOCKS)
-    parts = [F.shiftrightunsigned(sim, width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
-    return F.array(*[F.xxhash64(F.lit(i), *[parts[b] for b in chosen])
-                     for i, chosen in enumerate(combinations(range(BLOCKS), AGREE))])
 
+def _may(words: np.ndarray, bins: np.ndarray, other_words: np.ndarray, other_bins: np.ndarray) -> np.ndarray:
+    """Which lines of one and the other side their lengths and bags allow to be similar.
 
-def _near(values: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(values[:, None] ^ others[None, :]) <= DISTANCE
-
-
-def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SimHashes that another one of their bucket is near to. Holds one bucket's SimHashes."""
-    held_b, held_s = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def near_some(buckets, sims):
-        found = np.zeros(len(sims), dtype=bool)
-        at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
-        sizes = np.diff(np.append(at, len(buckets)))
-        # Small buckets all at once, by how far apart two members stand.
+    An edit changes two counts at most; counts cut at 15 differ less, never more.
+    """
+    apart = np.zeros(np.broadcast_shapes(words.shape, other_words.shape), dtype=np.int16)
+    for a, b in zip(np.moveaxis(bins, -1, 0), np.moveaxis(other_bins, -1, 0), strict=True):
+        apart += np.abs(a - b)
+    most = most_edits(np.maximum(words, other_words))
+    return (np.abs(words - other_words) <= most) & (apart <= 2 * most)
+
+
+def _matrix(words: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    may = _may(words[:, None], bins[:, None], words[None, :], bins[None, :])
+    np.fill_diagonal(may, False)
+    return may
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each block of a bucket that may be similar to another one of it. Holds one block."""
+    names = ["bucket", "low", "high"]
+    held: list[pa.RecordBatch] = []
+
+    def chosen(rows: pa.Table) -> pa.RecordBatch:
+        columns = [rows.column(n).to_numpy() for n in names]
+        new = np.ones(rows.num_rows, dtype=bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        group = np.cumsum(new)
+        words, bins = rows.column("words").to_numpy().astype(np.int64), bins_of(rows.column("bag").to_pylist())
+        found = np.zeros(rows.num_rows, dtype=bool)
+        at = np.flatnonzero(new)
+        sizes = np.diff(np.append(at, rows.num_rows))
+        # Small groups all at once, by how far apart two members stand.
         inside = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
         for apart in range(1, FEW):
-            inside = inside[inside + apart < len(sims)]
-            inside = inside[buckets[inside] == buckets[inside + apart]]
+            inside = inside[inside + apart < rows.num_rows]
+            inside = inside[group[inside] == group[inside + apart]]
             if not len(inside):
                 break
-            close = inside[np.bitwise_count(sims[inside] ^ sims[inside + apart]) <= DISTANCE]
+            other = inside + apart
+            close = inside[_may(words[inside], bins[inside], words[other], bins[other])]
             found[close] = True
             found[close + apart] = True
         for begin, size in zip(at[sizes > FEW], sizes[sizes > FEW], strict=True):
-            own = sims[begin:begin + size]
-            for i in range(0, size, BLOCK):
-                for j in range(i, size, BLOCK):
-                    close = _near(own[i:i + BLOCK], own[j:j + BLOCK])
-                    if i == j:
-                        np.fill_diagonal(close, False)
-                    found[begin + i:begin + i + close.shape[0]] |= close.any(axis=1)
-                    found[begin + j:begin + j + close.shape[1]] |= close.any(axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(sims[found]).view(np.int64))], ["sim"])
+            own = slice(begin, begin + size)
+            found[own] = _matrix(words[own], bins[own]).any(axis=1)
+        out = rows.select([*names, "key"]).filter(pa.array(found)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], out.schema.names)
 
     for batch in batches:
-        buckets = np.concatenate([held_b, batch.column("bucket").to_numpy()])
-        sims = np.concatenate([held_s, batch.column("sim").to_numpy().view(np.uint64)])
-        last = np.searchsorted(buckets, buckets[-1]) if len(buckets) else 0
-        if last:
-            yield near_some(buckets[:last], sims[:last])
-        held_b, held_s = buckets[last:], sims[last:]
-    if len(held_b):
-        yield near_some(held_b, held_s)
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(n).to_numpy() for n in names]
+        last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
+        begin = int(last[-1]) + 1 if len(last) else 0
+        if begin:
+            yield chosen(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+            held = []
+        elif held and any(held[-1].column(n)[-1] != batch.column(n)[0] for n in names):
+            yield chosen(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield chosen(pa.Table.from_batches(held))
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -219,15 +371,15 @@ def similar(a: list, b: list) -> bool:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed links of every block of a bucket, as a spanning forest."""
     found: list[tuple[bytes, bytes]] = []
-    for keys, sims, contents in groups_of(batches, ["bucket", "low", "high"], ["key", "sim", "content"]):
+    for keys, bags, contents in groups_of(batches, ["bucket", "low", "high"], ["key", "bag", "content"]):
         if len(keys) < 2:
             continue
         lines = [c.split(b" ") for c in contents]
-        if len(keys) <= FEW:
-            links = _links_of_few(sims, lines)
+        if len(keys) == 2:  # most buckets
+            links = [(0, 1)] if similar(*lines) else []
         else:
-            values = np.array(sims, dtype=np.int64).view(np.uint64)
-            links = forest_of(_near(values, values), lambda i, j: similar(lines[i], lines[j]))  # noqa: B023
+            may = _matrix(np.array([len(x) for x in lines]), bins_of(bags))
+            links = forest_of(may, lambda i, j: similar(lines[i], lines[j]))  # noqa: B023
         found += [(keys[i], keys[j]) for i, j in links]
         if len(found) >= LINKS:
             yield link_batch(found)
@@ -235,69 +387,57 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield link_batch(found)
 
 
-def _links_of_few(sims: list[int], lines: list[list[bytes]]) -> list[tuple[int, int]]:
-    """The same spanning forest without arrays, for the many small buckets."""
-    todo, out = list(range(len(sims))), []
-    while todo:
-        stack = [todo.pop(0)]
-        while stack:
-            at, rest = stack.pop(), []
-            for i in todo:
-                if ((sims[at] ^ sims[i]) & ALL_BITS).bit_count() <= DISTANCE and similar(lines[at], lines[i]):
-                    out.append((at, i))
-                    stack.append(i)
-                else:
-                    rest.append(i)
-            todo = rest
-    return out
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, lines): for every document that has some, the numbers of the lines to drop.
 
     Lines part at line feeds and are compared by ``clean_words``; those of fewer
     than MIN_WORDS words never go. Two lines link when their words are the same,
-    or when their SimHashes differ in at most DISTANCE bits and their edit
-    similarity, in words, is SIMILARITY or more. Of every connected group the
+    or when their edit similarity, in words, is SIMILARITY or more. Of every connected group the
     occurrence with the smallest (id, hash of the text, line number) stays, null
     ids last. Rows that repeat id and text are one document. Null and empty
     texts have no lines; other columns are ignored.
 
     Equal lines fold first, with partial sums, so a line that a third of the
-    documents share is one entry; pigeonhole buckets hold different SimHashes only, and
-    only lines with a near SimHash go on, with their words, to verification in blocks.
+    documents share is one entry. Similar lines share a run of words (``run_sizes``): runs
+    travel packed, and only those of several lines become rows. Buckets of the same lines
+    count once, large ones are dealt out in blocks; only lines whose length and bag of words
+    allow a partner in their block go on, with their words, to verification. Lines of up
+    to RUNS words miss no partner; of longer ones a share of the runs, by hash, is looked
+    at, and a pair is missed with a chance of 6e-5 at the worst spread of edits.
     """
     prepared(docs.sparkSession)
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"),
                          F.coalesce(text_col, F.lit("")).alias("text"))
     lines = stage(marked.mapInArrow(
-        _occurrences, "doc_id long, text_hash long, line int, key binary, sim long, words int"), "lines")
+        _occurrences, "doc_id long, text_hash long, line int, key binary, mark long, words int, bag binary"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "line")
     unique = stage(lines.groupBy("key").agg(
-        F.count("*").alias("times"), F.min(place).alias("first"), F.max("sim").alias("sim"),
-        F.max("words").alias("words")), "unique")
-    sims = unique.groupBy("sim").agg(F.count("*").alias("keys"))
-    placed = sims.select("sim", F.explode(bucket_keys(F.col("sim"))).alias("bucket"))
-    near = (placed.repartition("bucket").sortWithinPartitions("bucket", "sim")
-            .mapInArrow(_active, "sim long").unionByName(sims.filter("keys > 1").select("sim")).distinct())
-    active = stage(unique.join(near, "sim", "left_semi").select("key", "sim", "words", "first"), "active")
-    wanted = active.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
-        F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("wanted"))
-    same = marked["doc_id"].eqNullSafe(wanted["doc_id"]) & (marked["text_hash"] == wanted["text_hash"])
-    contents = (marked.join(wanted, same).select("text", "wanted")
-                .mapInArrow(_chosen_lines, "key binary, content binary")
-                .groupBy("key").agg(F.any_value("content").alias("content")))
-    in_bucket = stage(active.select("key", "sim", "words", F.explode(bucket_keys(F.col("sim"))).alias("bucket"))
-                      .withColumn("mark", F.xxhash64("key")), "line-buckets")
+        F.count("*").alias("times"), F.min(place).alias("first"), F.max("mark").alias("mark"),
+        F.max("words").alias("words"), F.max("bag").alias("bag")), "unique")
+    total = lines.agg(F.sum(F.least("words", F.lit(RUNS)))).first()[0] or 0
+    parts = parts_for(int(total), PART_RUNS)
+    shared = (marked.select("text").mapInArrow(_runs(parts), "part int, runs binary, marks binary")
+              .repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "bucket long, mark long"))
+    in_bucket = stage(shared.join(unique.select("key", "mark", "words", "bag"), "mark")
+                      .select("bucket", "key", "words", "bag", F.xxhash64("key").alias("mark")), "line-buckets")
     buckets = (in_bucket.groupBy("bucket").agg(
         F.count("*").alias("m"), F.sum("words").alias("words"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("who"))
         .filter("m > 1").groupBy("m", "words", "who").agg(F.min("bucket").alias("bucket"))
         .select("bucket", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")))
     block = F.pmod("mark", F.col("blocks")).cast("int")
     dealt = (in_bucket.join(buckets, "bucket").select(
-        "bucket", "key", "sim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "sim"))
-    links = (dealt.join(contents, "key").select("bucket", "low", "high", "key", "sim", "content")
+        "bucket", "key", "words", "bag", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "words", "bag"))
+    likely = stage(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+                   .mapInArrow(_likely, "bucket long, low int, high int, key binary"), "likely")
+    active = unique.join(likely.select("key").distinct(), "key", "left_semi").select("key", "bag", "first")
+    wanted = active.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
+        F.collect_list(F.struct("key", "bag", F.col("first.line").alias("line"))).alias("wanted"))
+    same = marked["doc_id"].eqNullSafe(wanted["doc_id"]) & (marked["text_hash"] == wanted["text_hash"])
+    contents = (marked.join(wanted, same).select("text", "wanted")
+                .mapInArrow(_chosen_lines, "key binary, bag binary, content binary")
+                .groupBy("key").agg(F.any_value("bag").alias("bag"), F.any_value("content").alias("content")))
+    links = (likely.join(contents, "key").select("bucket", "low", "high", "key", "bag", "content")
              .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
              .mapInArrow(_linked, "a binary, b binary"))
     reached = stage(components(links), "line-groups")
