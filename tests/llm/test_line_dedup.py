@@ -159,3 +159,10 @@ def test_similar_lines_share_a_run():
 def test_long_lines_of_repeated_words_meet(docs):
     texts = [(1, "a long text " * 400), (2, "a long text " * 390 + "and more"), (3, "another text here " * 400)]
     assert [r.doc_id for r in ld.repeated_lines(docs(texts)).collect()] == [2]
+
+
+def test_short_lines_keep_one_occurrence(docs):
+    texts = [(1, "All rights reserved.\n\nIntro"), (2, "own text of two\nall rights reserved\n\n---"), (3, "intro\n\n---\nShare on"),
+             (4, "one two three four"), (5, "one two three four five")]
+    got = {r.doc_id: r.text for r in ld.without_repeated_lines(docs(texts)).collect()}
+    assert got == {1: texts[0][1], 2: "own text of two\n\n---", 3: "\n---\nShare on", 4: texts[3][1], 5: ""}

@@ -15,8 +15,8 @@ from tidemill.llm.components import components
 from tidemill.llm.near_dedup import LINKS, forest_of, link_batch, text_hash
 from tidemill.llm.words import hash_spans, mix, raw_bytes, word_bounds
 
-#: Lines of fewer words are left alone: they repeat in clean prose.
-MIN_WORDS = 5
+#: Lines of fewer words are left alone: blank lines and rules have none.
+MIN_WORDS = 1
 #: SimHashes of lines at SIMILARITY lie far apart (about 13 of 64 bits, more where words repeat),
 #: so every distance is let through: they don't decide.
 DISTANCE = 64
@@ -390,8 +390,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, lines): for every document that has some, the numbers of the lines to drop.
 
-    Lines part at line feeds and are compared by ``clean_words``; those of fewer
-    than MIN_WORDS words never go. Two lines link when their words are the same,
+    Lines part at line feeds and are compared by ``clean_words``; those without a
+    word never go. Two lines link when their words are the same,
     or when their edit similarity, in words, is SIMILARITY or more. Of every connected group the
     occurrence with the smallest (id, hash of the text, line number) stays, null
     ids last. Rows that repeat id and text are one document. Null and empty
