@@ -101,6 +101,16 @@ def test_secret_spans(docs, spark, monkeypatch):
     assert secrets.secrets(docs([])).count() == 0
 
 
+def test_long_and_url_safe_parts_are_whole():
+    key = "".join(random.Random(9).choices("abcdefghijkXYZUVW0123456789", k=400))
+    user, url = "robot." * 30 + "x", "https://api.example.com/" + "p" * 600
+    for own in (key, key[:50] + "-_" + key[50:80], key[:89] + "=="):
+        text = f"{own}\nuser: {user}\n{url}"
+        _, more = secrets.linked_spans(text)
+        assert [(k, text[s:e]) for k, s, e in more] == [("key", own), ("user", user), ("endpoint", url)]
+        assert secrets.pc.match_substring_regex(secrets.pa.array([own]), secrets._MAY).to_pylist() == [True]
+
+
 def test_interval_join_is_the_plain_one():
     import numpy as np
     rng = random.Random(3)

@@ -27,15 +27,16 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
                      re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])")
+# Possessive loops: what follows can't use what they would give back.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 _USER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*"
-                   r"[\"']?([A-Za-z0-9_.@-]{3,64})", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,256}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}"
+                   r"[\"']?([A-Za-z0-9_.@-]{3,}+)", re.IGNORECASE | re.ASCII)
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,}+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}"
                        r"(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9])", re.ASCII)
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
 # What any part needs, cheap to test on a whole batch of texts: it may let through more, never less.
-_MAY = (r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}|[a-z0-9+/]{32}|://|:[0-9]{2}|"
+_MAY = (r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}|[a-z0-9+/_-]{32}|://|:[0-9]{2}|"
         r"user|login|account|client|access")
 
 
