@@ -90,3 +90,24 @@ def test_empty_sides(docs, spark):
     assert leaks(docs, spark, [(1, ITEM)], []) == []
     assert dc.leaks(docs([]), none).count() == 0
     assert dc.without_leaks(docs([(1, ITEM)]), none).count() == 1
+
+
+def found_in(item, text):
+    return bool(dc.Benchmark([1], [item]).find(pa.array([text])))
+
+
+def test_names_that_begin_sentences_are_slots():
+    item = "Ali has 12 marbles. Ali gives 3 to Ben. How many marbles does Ali have left now?"
+    assert found_in(item, item.replace("Ali", "Omar").replace("12", "20"))
+    assert not found_in(item, item.replace("marbles", "coins").replace("gives", "sells"))
+
+
+def test_items_dense_in_numbers():
+    item = "add 12 kg 5 kg and 7 kg 9 kg then 3 kg 4 kg less 2 kg 8 kg total"
+    assert found_in(item, item.replace("12", "40").replace("9", "61"))
+    assert not found_in(item, " ".join(str(n) for n in range(100, 140)))
+
+
+def test_a_run_goes_on_behind_the_earlier_slot():
+    item = "x1 x2 x3 5 x4 x5 x6 x7 x8 x9 y1 5 y2 y3 y4 y5 y6 y7 y8 y9"
+    assert found_in(item, item.replace("x3 5", "x3 6"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import parts_for, prepared, table
 from tidemill.llm.words import LOWER, hash_spans, mix, mix1, raw_bytes, word_bounds
 
-#: Template tokens in a window; words outside slots it must have.
+#: Template tokens in a window; words outside slots that a leak must have (all of an item with fewer).
 WINDOW, LITERALS = 8, 4
 #: Consecutive template tokens with consistent slots that make a leak (all of a shorter item).
 RUN = 13
@@ -64,7 +65,13 @@ class Tokens:
 
 
 def tokens(texts: pa.Array) -> tuple[Tokens, Tokens]:
-    """Words with numbers, names and units as slots; and the words as they are, without slots.
+    """The first two of ``views``."""
+    return views(texts)[:2]
+
+
+def views(texts: pa.Array) -> tuple[Tokens, Tokens, Tokens]:
+    """Words with numbers, names and units as slots; the words as they are, without slots; and
+    with slots where a word that begins a sentence can be a name too.
 
     A number is a run of digits, with points and commas inside. A name is a word
     with a capital (A-Z or a Latin-1 letter) then small letters that doesn't
@@ -88,7 +95,7 @@ def tokens(texts: pa.Array) -> tuple[Tokens, Tokens]:
     value = hash_spans(LOWER[raw], starts, ends)
     plain = Tokens(value, value, np.zeros(len(value), np.int8), first)
     if not len(starts):
-        return plain, plain
+        return plain, plain, plain
 
     def count(mask, a, b):
         total = np.concatenate([[0], np.cumsum(mask)])
@@ -104,30 +111,34 @@ def tokens(texts: pa.Array) -> tuple[Tokens, Tokens]:
     begins[1:] = count(_STOP[raw] & ~inner, ends[:-1], starts[1:]) > 0
     inside = np.ones(len(starts), dtype=bool)
     inside[first[:-1][np.diff(first) > 0]] = False
-    name = capital & small & ~begins & inside
     unit = np.zeros(len(starts), dtype=bool)
     unit[1:] = number[:-1] & inside[1:] & np.isin(value[1:], _UNIT_HASHES)
-    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.int8)
-    follows = np.zeros(len(starts), dtype=bool)
-    follows[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & inside[1:]
-    keep = ~follows
-    head = np.cumsum(keep) - 1
-    joined = np.zeros(int(keep.sum()), dtype=np.uint64)
-    np.add.at(joined, head, mix(value))
-    new_first = np.concatenate([[0], np.cumsum(keep)])[first]
-    value, kind = joined, kind[keep]
-    return Tokens(np.where(kind == WORD, value, _SLOT_HASH[kind]), value, kind, new_first), plain
+
+    def slotted(name: np.ndarray) -> Tokens:
+        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.int8)
+        follows = np.zeros(len(starts), dtype=bool)
+        follows[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & inside[1:] & ~begins[1:]
+        keep = ~follows
+        head = np.cumsum(keep) - 1
+        joined = np.zeros(int(keep.sum()), dtype=np.uint64)
+        np.add.at(joined, head, mix(value))
+        new_first = np.concatenate([[0], np.cumsum(keep)])[first]
+        kind = kind[keep]
+        return Tokens(np.where(kind == WORD, joined, _SLOT_HASH[kind]), joined, kind, new_first)
+
+    return slotted(capital & small & ~begins & inside), plain, slotted(capital & small)
 
 
 def windows(found: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``size`` tokens inside a text with enough words, and where they begin."""
+    """Hashes of all windows of ``size`` tokens inside a text with a word among them, and where they begin."""
     n = len(found.template) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(n)
     owner = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
     words = np.concatenate([[0], np.cumsum(found.kind == WORD)])
-    good = (owner[:n] == owner[size - 1:]) & (words[size:] - words[:n] >= min(LITERALS, size))
+    # A whole short item says little: it must be words for the most part.
+    good = (owner[:n] == owner[size - 1:]) & (words[size:] - words[:n] >= (1 if size == WINDOW else min(LITERALS, size)))
     at = at[good]
     out = np.full(len(at), mix1(size), dtype=np.uint64)
     for k in range(size):
@@ -138,18 +149,18 @@ def windows(found: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Benchmark:
     """Items of a benchmark ready to be looked for. An item shorter than a window is one window.
 
-    Each is held twice, with slots and as plain words: copies in other capitals or
-    with other breaks have other slots, but the same words.
+    Each is held in three views (``views``): copies in other capitals or with other
+    breaks have other slots, but the same words; names may begin sentences.
     """
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
-        self.views = [View(found) for found in tokens(pa.array(texts, pa.string()))]
+        self.views = [View(found) for found in views(pa.array(texts, pa.string()))]
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, float, bool]]:
         """(text, item, tokens in the longest run, its share of the item, same slots) of every leak."""
         best: dict[tuple[int, int], tuple[int, float, bool]] = {}
-        for view, own in zip(self.views, tokens(texts), strict=True):
+        for view, own in zip(self.views, views(texts), strict=True):
             for text, item, run, share, same in view.find(own):
                 found = (share, run, same)
                 best[text, item] = max(best.get((text, item), found), found)
@@ -185,26 +196,38 @@ class View:
         out = []
         for (text, item, shift), covered in matched.items():
             length = int(self.tokens.first[item + 1] - self.tokens.first[item])
-            run, same = self._consistent(sorted(covered), own, shift)
+            words = int((self.tokens.kind[self.tokens.first[item]:self.tokens.first[item + 1]] == WORD).sum())
+            run, same = self._consistent(sorted(covered), own, shift, min(LITERALS, words))
             if run >= min(RUN, length):
                 out.append((text, item, run, run / length, same))
         return out
 
-    def _consistent(self, places: list[int], own: Tokens, shift: int) -> tuple[int, bool]:
-        """The longest run of neighbouring tokens whose slots stand for each other one to one."""
+    def _consistent(self, places: list[int], own: Tokens, shift: int, least: int) -> tuple[int, bool]:
+        """The longest run of neighbouring tokens, ``least`` words among them, whose slots stand for each other one to one.
+
+        Where a slot stands for another value than before, the run goes on from behind its earlier place.
+        """
         longest, best_same = 0, False
         there: dict = {}
         back: dict = {}
-        length, same, last = 0, True, None
+        begin, last, unlike = 0, None, -1
+        words: list[int] = []
         for place in places:
             kind, a, b = self.tokens.kind[place], self.tokens.value[place], own.value[place + shift]
             if last is None or place != last + 1:
-                there, back, length, same = {}, {}, 0, True
-            if kind != WORD and (there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a):
-                there, back, length, same = {(kind, a): b}, {(kind, b): a}, 0, True
-            length, same, last = length + 1, same and a == b, place
-            if (length, same) > (longest, best_same):
-                longest, best_same = length, same
+                there, back, begin, words = {}, {}, place, []
+            if kind == WORD:
+                words.append(place)
+            else:
+                for known, key, value in ((there, (kind, a), b), (back, (kind, b), a)):
+                    before, at = known.get(key, (value, -1))
+                    if before != value and at >= begin:
+                        begin = at + 1
+                    known[key] = value, place
+            unlike, last = unlike if a == b else place, place
+            found = (place - begin + 1, unlike < begin)
+            if found > (longest, best_same) and len(words) - bisect_left(words, begin) >= least:
+                longest, best_same = found
         return longest, best_same
 
 
@@ -222,10 +245,10 @@ def blocks(items: DataFrame) -> Iterator[Benchmark]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, run, coverage, same_slots): documents that hold a benchmark item.
 
-    Whole texts are read as template tokens and as plain words (``tokens``). Windows of WINDOW tokens are
+    Whole texts are read as template tokens and as plain words (``views``). Windows of WINDOW tokens are
     hash-joined with the benchmark's; windows that follow each other form runs, in
     which a slot's value in the item must stand for one value in the document and
-    back. A run of RUN tokens, or of all of a shorter item, is a leak; ``same_slots``
+    back. A run of RUN tokens, or of all of a shorter item, with LITERALS words outside slots is a leak; ``same_slots``
     tells copies from re-parameterised questions. Null and empty texts on either
     side match nothing; repeated rows are reported each; other columns are
     ignored. An empty benchmark or table gives no rows.
