@@ -199,6 +199,18 @@ def test_candidates_like_validated_ones_are_added_and_redacted(docs):
     assert texts[500] == "call phone [number] now" and texts[501] == pairs[-1][1] and "[phone]" in texts[3]
 
 
+def test_many_unvalidated_spans_are_still_added(docs):
+    rng = random.Random(6)
+    pairs = [(i, f"{words(rng, 4)} mail a{i}@example.com or +1 (234) 555-{1000 + i}") for i in range(200)]
+    pairs += [(1000 + i, f"write to john{i} (at) example (dot) com or (555) 123-{1000 + i} today") for i in range(100)]
+    pairs += [(2000 + i, f"order 1 (234) 555-{1000 + i} now") for i in range(60)]
+    pairs += [(3000 + i, f"item {10**16 + i} of the list") for i in range(100)]
+    found = {r.doc_id: [s.kind for s in r.added] for r in pii.personal_data(docs(pairs)).collect()}
+    assert all(found[1000 + i] == ["mailbox", "number"] for i in range(100))
+    assert all(found[2000 + i] == ["number"] for i in range(60))
+    assert not any(found[3000 + i] for i in range(100))
+
+
 @pytest.mark.parametrize("leaf", [0.1, 2.0])
 def test_score_expression_is_the_model(spark, leaf):
     import numpy as np

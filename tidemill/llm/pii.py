@@ -9,12 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepared, table
+from tidemill.llm.common import prepared, stage, table
 from tidemill.llm.quality import Trees, fit
 
 #: Cells of features the model is fitted on, at most: the most frequent ones.
 CELLS = 20_000
-#: The share of validated spans that candidates at the threshold or above must have.
+#: The share of positives that a kind's candidates at the threshold or above must have.
 PRECISION = 0.98
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("mailbox", "number")
@@ -28,7 +28,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 MAILBOX = (_RUN_START + r"[A-Za-z0-9._%+-]++\x20?(?:@|[(\[](?:at|AT)[)\]])\x20?[A-Za-z0-9-]++"
            r"(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]++)++")
-NUMBER = r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
+NUMBER = r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 #: Rows without these hold no match.
 _NEEDS = {EMAIL: r"@", IP: r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", CARD: CARD, PHONE: r"\+[0-9]",
           MAILBOX: r"@|[(\[](?:at|AT)[)\]]", NUMBER: NUMBER}
@@ -140,28 +140,44 @@ def marked(docs: DataFrame) -> DataFrame:
         c["features"].alias("features"), _overlaps(c, F.col("base")).alias("valid")))).drop("made")
 
 
-def train(found_in: DataFrame) -> tuple[Trees, float]:
-    """Trees and the calibrated threshold, from how often each cell of features is validated.
+def shaped(features: Column) -> Column:
+    """Candidates that are personal data by format and context, whether a base kind validates them or not:
+    written-out mailboxes, numbers with an area code in brackets or in 3-3-4 digits, numbers after a word for phones."""
+    grouped = (features["paren"] == 1) & (features["groups"] >= 3) & (features["last"] >= 3)
+    plain = (features["groups"] == 3) & (features["first"] == 3) & (features["last"] == 4) & (features["digits"] == 2)
+    area = (features["paren"] == 1) & (features["first"] == 3) & (features["digits"] == 2)
+    return F.when(features["mailbox"] == 1, features["paren"] == 1).otherwise(
+        features["digits"].between(1, 4) & (grouped | plain | area | (features["context"] == 1)))
 
-    A candidate counts as positive where it overlaps a validated base span. All
-    documents are counted; the CELLS most frequent cells, about as many as the
-    features allow at most, come to the driver.
+
+def train(found_in: DataFrame) -> tuple[Trees, dict[str, float]]:
+    """Trees and each kind's calibrated threshold, from how often each cell of features is positive.
+
+    A candidate counts as positive where it overlaps a validated base span or is
+    ``shaped``. All documents are counted. The trees see the CELLS most frequent
+    cells; thresholds come from all cells, summed by the score's first three digits.
     """
-    cells = (found_in.filter("size(more) > 0").select(F.explode("more").alias("c")).groupBy("c.features").agg(
+    cells = stage(found_in.filter("size(more) > 0").select(F.explode("more").alias("c")).groupBy("c.features").agg(
         F.count("*").alias("n"), F.count_if("c.valid").alias("valid"))
-        .orderBy(F.desc("n"), "features").limit(CELLS).collect())
-    rows = np.array([list(c.features) for c in cells for _ in (0, 1)], np.float32).reshape(-1, len(FEATURES))
-    labels = np.array([y for _ in cells for y in (1, 0)], float)
-    weights = np.array([w for c in cells for w in (c.valid, c.n - c.valid)], float)
+        .withColumn("valid", F.when(shaped(F.col("features")), F.col("n")).otherwise(F.col("valid"))), "cells")
+    frequent = cells.orderBy(F.desc("n"), "features").limit(CELLS).collect()
+    rows = np.array([list(c.features) for c in frequent for _ in (0, 1)], np.float32).reshape(-1, len(FEATURES))
+    labels = np.array([y for _ in frequent for y in (1, 0)], float)
+    weights = np.array([w for c in frequent for w in (c.valid, c.n - c.valid)], float)
     model = fit(rows[weights > 0], labels[weights > 0], trees=24, depth=3, rate=0.3, weights=weights[weights > 0])
-    if not cells:
-        return model, 2.0
-    scores = model.score(rows[::2])
-    order = np.argsort(-scores, kind="stable")
-    valid = np.cumsum([cells[i].valid for i in order])
-    total = np.cumsum([cells[i].n for i in order])
-    enough = np.flatnonzero((valid + 1) / (total + 2) >= PRECISION)
-    return model, float(scores[order[enough[-1]]]) if len(enough) else 2.0
+    limits = dict.fromkeys(MORE, 2.0)
+    if not frequent:
+        return model, limits
+    steps = (cells.groupBy(F.col("features.mailbox").alias("mailbox"),
+                           F.floor(score(model, F.col("features")) * 1000).alias("step"))
+             .agg(F.sum("n").alias("n"), F.sum("valid").alias("valid")).orderBy(F.desc("step")).collect())
+    for kind in MORE:
+        own = [r for r in steps if r.mailbox == int(kind == "mailbox")]
+        share = (np.cumsum([r.valid for r in own]) + 1) / (np.cumsum([r.n for r in own]) + 2)
+        enough = np.flatnonzero(share >= PRECISION)
+        if len(enough):
+            limits[kind] = own[enough[-1]].step / 1000
+    return model, limits
 
 
 def score(model: Trees, features: Column) -> Column:
@@ -187,18 +203,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, text, the spans of each base kind and ``added``: (start, end, kind, score).
 
     Base spans are those that validate. The method adds candidates that overlap
-    none of them and whose score reaches the threshold; with nothing to learn
+    none of them and whose score reaches their kind's threshold; with nothing to learn
     from, none. Null text counts as empty and has no spans; repeated rows are
     searched each; other columns are ignored; no rows give no rows.
     """
     prepared(docs.sparkSession)
     rows = marked(docs)
-    model, threshold = train(rows)
+    model, limits = train(rows)
     fresh = F.filter("more", lambda c: ~c["valid"])
     scored = F.transform(fresh, lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"),
         score(model, c["features"]).alias("score")))
-    added = F.filter(scored, lambda c: c["score"] >= threshold - 1e-12)
+    added = F.filter(scored, lambda c: c["score"] >= F.when(
+        c["kind"] == "mailbox", limits["mailbox"]).otherwise(limits["number"]) - 1e-12)
     return rows.select("doc_id", "text", *KINDS, added.alias("added"))
 
 
