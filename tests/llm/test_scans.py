@@ -58,6 +58,26 @@ def test_notices_are_found_whole_and_changed(docs):
     assert [(r.license, r.coverage) for r in own.collect()] == [("Own", 1.0)]
 
 
+def names_in(text):
+    import numpy as np
+    import pyarrow as pa
+    known = licenses.Templates()
+    rows = licenses.word_rows(pa.array([text]))[0]
+    return [known.names[f[0]] for f in known.find(rows, np.flatnonzero(np.isin(rows, known.all_rare)))]
+
+
+def test_kin_of_a_license_are_not_taken_for_it():
+    long = licenses.TEMPLATES[5][1]
+    assert names_in("Released under the GPL License") == []
+    assert names_in("Licensed under CC BY 4.0.") == ["CC-BY-4.0"] and names_in("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"]
+    assert names_in(long) == ["GPL-3.0"] and names_in(long.replace("version 3", "version 2")) == ["GPL-2.0"]
+    assert names_in(long.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0"]
+    for template in licenses.TEMPLATES:
+        assert names_in(f"some words {template[1]} and more") == [template[0]], template
+    copy = "Released under the MIT License. "
+    assert names_in("word " + copy * 2 + "end") == ["MIT"] * 2 and names_in("word " + copy * 3) == ["MIT"] * 3
+
+
 # -- secrets -------------------------------------------------------------------
 
 def base_secrets(text):

@@ -20,27 +20,62 @@ COVERAGE = 0.8
 #: Aligned words lie within so many template lengths of text.
 STRETCH = 2
 
-#: Public notices; pass others as (name, text) for more.
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: ")
+_BSD_2 = ("Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+          "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+          "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+          "distribution. ")
+_GNU = (("GPL", "General Public", "2.0", "2"), ("LGPL", "Lesser General Public", "2.1", "2.1"),
+        ("LGPL", "Lesser General Public", "3.0", "3"), ("AGPL", "Affero General Public", "3.0", "3"))
+_GNU_SHORT = "This work is licensed under the GNU {} License, version {}."
+_GNU_LONG = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License "
+             "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later "
+             "version.")
+
+#: Public notices: name, text and the phrases that tell a license from its kin, which must align word
+#: by word. Pass others for more, with or without phrases.
 TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
+    ("MIT", "Released under the MIT License.", "MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
             "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
             "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
             "following conditions: The above copyright notice and this permission notice shall be included in all "
-            "copies or substantial portions of the Software."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+            "copies or substantial portions of the Software.", "free of charge"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "Apache License Version 2 0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
                    "in compliance with the License. You may obtain a copy of the License at "
-                   "http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+                   "http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2 0"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License", "version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-                "or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
+                "or (at your option) any later version.", "GNU General Public License", "version 3"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "CC BY NC 4 0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+     "Attribution 4 0"),
+    # What both BSD licenses begin with says only that it is one of them.
+    ("BSD", _BSD),
+    ("BSD-2-Clause", _BSD + _BSD_2),
+    ("BSD-3-Clause", _BSD + _BSD_2 + "Neither the name of the copyright holder nor the names of its contributors may be "
+     "used to endorse or promote products derived from this software without specific prior written permission.",
+     "Neither the name of", "endorse or promote"),
+    *((f"{short}-{version}", _GNU_SHORT.format(name, number), f"GNU {name} License", f"version {number}")
+      for short, name, version, number in _GNU),
+    *((f"{short}-{version}", _GNU_LONG.format(name, number), f"GNU {name} License", f"version {number}")
+      for short, name, version, number in _GNU),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+                "MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+     "Mozilla Public License v 2 0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+     "with or without fee", "appear in all copies"),
+    *((f"CC-{kind.replace(' ', '-')}-4.0", f"Licensed under CC {kind} 4.0.", f"CC {kind} 4 0")
+      for kind in ("BY", "BY SA", "BY ND", "BY NC SA", "BY NC ND")),
+    *((f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons Attribution {name} 4.0 International License.",
+       f"Attribution {name} 4 0")
+      for kind, name in (("BY-SA", "ShareAlike"), ("BY-ND", "NoDerivatives"), ("BY-NC", "NonCommercial"),
+                         ("BY-NC-SA", "NonCommercial ShareAlike"), ("BY-NC-ND", "NonCommercial NoDerivatives"))),
 )
 
 _SPLIT = np.arange(256, dtype=np.uint8)
@@ -110,9 +145,17 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 class Templates:
     def __init__(self, templates=TEMPLATES):
-        self.names = [name for name, _ in templates]
-        hashes, first = word_rows(pa.array([text for _, text in templates], pa.string()))[:2]
-        self.words = [hashes[i:j].tolist() for i, j in zip(first[:-1], first[1:], strict=True)]
+        def words_of(texts: list[str]) -> list[list[int]]:
+            hashes, first = word_rows(pa.array(texts, pa.string()))[:2]
+            return [hashes[i:j].tolist() for i, j in zip(first[:-1], first[1:], strict=True)]
+
+        self.names = [t[0] for t in templates]
+        self.words = words_of([t[1] for t in templates])
+        # Where the phrases stand in the template: (first word, words).
+        self.phrases = []
+        for template, words in zip(templates, self.words, strict=True):
+            own = words_of(list(template[2:]))
+            self.phrases.append([(next(i for i in range(len(words)) if words[i:i + len(p)] == p), len(p)) for p in own])
         common = set(word_rows(pa.array([" ".join(_COMMON)]))[0].tolist())
         # A template of common words alone is looked for by all of them.
         own = [set(w) - common or set(w) for w in self.words]
@@ -135,11 +178,15 @@ class Templates:
             for start in places[close]:
                 if start <= after:
                     continue
-                begin = max(after + 1, int(start) - len(template))
-                pairs = align(template, words[begin:int(start) + reach].tolist())
-                if len(pairs) >= COVERAGE * len(template):
-                    found.append((t, begin + pairs[0][1], begin + pairs[-1][1], len(pairs)))
-                    after = begin + pairs[-1][1]
+                low, high = max(after + 1, int(start) - len(template)), int(start) + reach
+                # A copy that stands here word by word, beside other copies or not, and else whatever aligns.
+                at = max(low, int(start) - template.index(int(words[start])))
+                notice = self._aligned(t, words, at, at + len(template)) or self._aligned(t, words, low, high)
+                while notice:
+                    found.append(notice)
+                    after = max(after, notice[2])
+                    # What stands before it may be another copy.
+                    notice = self._aligned(t, words, low, notice[1])
         # Of notices that overlap, the one with more aligned words says what it is.
         kept: list[tuple[int, int, int, int]] = []
         for notice in sorted(found, key=lambda n: (-n[3], n[1], n[0])):
@@ -148,6 +195,21 @@ class Templates:
         return sorted(kept, key=lambda n: n[1])
 
 
+    def _aligned(self, t: int, words: np.ndarray, begin: int, end: int) -> tuple[int, int, int, int] | None:
+        """The notice in a stretch of words: enough words align, and every phrase word by word."""
+        template = self.words[t]
+        if end - begin < COVERAGE * len(template):
+            return None
+        pairs = align(template, words[begin:end].tolist())
+        if not pairs or len(pairs) < COVERAGE * len(template):
+            return None
+        at = dict(pairs)
+        for first, size in self.phrases[t]:
+            if first not in at or any(at.get(first + k) != at[first] + k for k in range(size)):
+                return None
+        return t, begin + pairs[0][1], begin + pairs[-1][1], len(pairs)
+
+
 SCHEMA = "doc_id long, license string, start long, end long, aligned long, coverage double"
 
 
@@ -155,7 +217,7 @@ def licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, license, start, end, aligned, coverage): every license notice of every text.
 
     A notice is a stretch of text in which COVERAGE of a template's words align
-    (``align``), within STRETCH template lengths; places are code points, ends
+    (``align``), its distinguishing phrases word by word, within STRETCH template lengths; places are code points, ends
     exclusive. Of overlapping notices the one with more aligned words is
     reported, of equal ones the first. Whole texts are searched; a text is
     aligned only around places with as many of a template's own words, close
