@@ -79,3 +79,29 @@ def test_empty_and_plain(spark):
     one = spark.createDataFrame([(1, 0, "assistant", call(("a", "any", {"z": 1, "b": [1, {"y": 2, "x": 1}]})))], none.schema)
     [row] = chat.formatted(one).collect()
     assert '"arguments":{"b":[1,{"x":1,"y":2}],"z":1}' in row.json and row.n_bad == 0
+
+
+def faulty(name, arguments):
+    """Whether a call breaks the production schemas, in plain Python."""
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+    if name not in chat.SCHEMAS or not isinstance(arguments, dict):
+        return True
+    own = chat.SCHEMAS[name]
+    if set(arguments) - set(own) or any(required and a not in arguments for a, (_, required) in own.items()):
+        return True
+    return any(not isinstance(v, kinds[own[a][0]]) or isinstance(v, bool) != (own[a][0] == "boolean")
+               for a, v in arguments.items())
+
+
+def test_the_query_checks_arguments(spark, monkeypatch):
+    tried = [("search", {"query": "x"}), ("search", {}), ("search", {"query": "x", "limit": "3"}), ("nope", {}),
+             ("search", {"query": "x", "limit": 3}), ("fetch", {"url": 7}), ("fetch", ["u"]), ("calculate", {"expression": "1", "z": 1}),
+             ("run_code", {"language": "c", "code": "", "timeout": 0.5}), ("write_file", {"path": "p", "content": "", "append": 1}),
+             ("write_file", {"path": "p", "content": "", "append": True}), ("query_table", {"sql": "s", "parameters": [1]}),
+             ("call_service", {"name": "n", "body": {"a": [1]}}), ("call_service", {"name": "n", "body": "b"})]
+    rows = [(i, 0, "assistant", call((f"c{i}", *one))) for i, one in enumerate(tried)]
+    rows += [(i, 1, "tool", result(f"c{i}", "ok")) for i in range(len(tried))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "table", lambda *_: frame)
+    got = {r.conv_id: (r.n_calls, r.n_bad, r.problem is not None) for r in chat.op10_chat(spark, "").collect() if r.role == "assistant"}
+    assert got == {i: (1, int(faulty(*one)), faulty(*one)) for i, one in enumerate(tried)}

@@ -20,6 +20,18 @@ TYPES = {
     "boolean": r"^(true|false)$", "array": r"^\[", "object": r"^\{",
 }
 
+#: The production tools, against which ``op10_chat`` checks calls: tool -> argument -> (type, required).
+SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "fetch": {"url": ("string", True)},
+    "calculate": {"expression": ("string", True)},
+    "run_code": {"language": ("string", True), "code": ("string", True), "timeout": ("number", False)},
+    "read_file": {"path": ("string", True)},
+    "write_file": {"path": ("string", True), "content": ("string", True), "append": ("boolean", False)},
+    "query_table": {"sql": ("string", True), "parameters": ("array", False)},
+    "call_service": {"name": ("string", True), "body": ("object", True)},
+}
+
 
 def quoted(value: Column) -> Column:
     """A JSON string."""
@@ -126,7 +138,7 @@ def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatted(table(spark, sf_dir, "conversations"))
+    return formatted(table(spark, sf_dir, "conversations"), SCHEMAS)
 
 
 # The test conversations hold no calls, so that their messages stay in place.
