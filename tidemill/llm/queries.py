@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemill.llm import (
     chat, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, pii, quality, secrets,
+    token_counts,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
+    "op11_token_counts": token_counts.op11_token_counts,
 }
 
 # The others can't be put in SQL (positions of pattern matches, trees, alignment, tokens, SimHashes):
