@@ -1,0 +1,104 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from tidemill.llm import source_audit as sa
+
+WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans(sa.UPPER, sa.LOWER)
+
+
+def by_hand(rows, min_docs=30, top=50):
+    docs = [((lang or ""), (source or ""), WORD.findall((text or "").translate(LOWER))) for text, lang, source in rows]
+    seen = defaultdict(Counter)
+    for lang, _, terms in docs:
+        seen[lang].update(set(terms))
+    kept = {lang: sorted(t for t, n in c.items() if n >= min_docs) for lang, c in seen.items()}
+    groups = {(lang, source): Counter() for lang, source, _ in docs}
+    for lang, source, terms in docs:
+        groups[lang, source].update(t for t in terms if t in set(kept[lang]))
+    out = []
+    for lang in seen:
+        terms, v = kept[lang], len(kept[lang])
+        sources = {s: c for (x, s), c in groups.items() if x == lang}
+        whole = sum(sources.values(), Counter())
+
+        def p(counts):
+            total = sum(counts.values())
+            return [1 + 1_000_000_000 * (counts[t] + 5) // (total + 5 * v) for t in terms]
+
+        q = p(whole)
+        for source, counts in sources.items():
+            mine = p(counts)
+            pairs = [(other, sum(abs(a - b) for a, b in zip(mine, p(c), strict=True)))
+                     for other, c in sources.items() if other != source]
+            over = [(t, a - b) for t, a, b in zip(terms, mine, q, strict=True) if counts[t] and a > b]
+            for part, items in (("pair", pairs), ("term", over)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, source, part, item, value, i + 1) for i, (item, value) in enumerate(items)
+                        if part == "pair" or i < top]
+    return sorted(out)
+
+
+def rows_of(rng, n, langs=("en", "de", "", None), sources=9):
+    words = [f"W{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)] + ["Äpfel", "äpfel", "日本", "x\x00y", "a1b"]
+    out = []
+    for i in range(n):
+        lang = rng.choice(langs)
+        source = None if i % 23 == 0 else ("hot" if i % 3 else f"s{rng.randrange(sources)}")
+        size = rng.choice([0, 1, 5, 40, 200])
+        weights = [1 + ((j * (len(source or "") + i % 5)) % 7) for j in range(len(words))]
+        out.append((None if i % 31 == 0 else " ".join(rng.choices(words, weights, k=size)), lang, source))
+    return out
+
+
+@pytest.fixture
+def frame(spark):
+    def make(rows):
+        df = spark.createDataFrame(rows, "text string, lang string, source string")
+        return df.selectExpr("*", "1 as doc_id", "'x' as terms", "'x' as term", "'x' as no", "'x' as base").repartition(3)
+    return make
+
+
+def got(df):
+    assert df.columns == ["lang", "source", "part", "item", "value", "rank"]
+    return sorted(map(tuple, df.collect()))
+
+
+def test_equals_brute_force(frame):
+    rows = rows_of(random.Random(1), 700)
+    rows += rows[:40]  # repeated rows count
+    rows += [("only once", "xx", "a"), ("", "xx", "b"), (None, "xx", None), ("alone", "yy", "c")]  # no term is kept
+    want = by_hand(rows)
+    assert {r[2] for r in want} == {"pair", "term"} and any(r[0] == "xx" and r[4] == 0 for r in want)
+    assert got(sa.divergence(frame(rows))) == want
+
+
+def test_several_vocabularies_and_blocks_give_the_same(frame, monkeypatch):
+    rows = rows_of(random.Random(2), 400, langs=("en", "de"), sources=12)
+    want = by_hand(rows, min_docs=20, top=7)
+    monkeypatch.setattr(sa, "BLOCK_CELLS", 300)
+    monkeypatch.setattr(sa, "BLOCK_SOURCES", 4)
+    monkeypatch.setattr(sa, "SAMPLED", 1)
+    assert sa.vocabularies(sa.marked_terms(frame(rows)), 20, 100) > 2
+    assert got(sa.divergence(frame(rows), min_docs=20, top=7, slice_terms=100)) == want
+
+
+def test_ties_are_ranked_by_bytes(frame):
+    text = "zz Aa é b " * 3
+    rows = [(text, "en", s) for s in ("s1", "s2", "é", "S3") for _ in range(3)] + [("aa", "en", "s1")] * 4
+    assert got(sa.divergence(frame(rows), min_docs=3)) == by_hand(rows, min_docs=3)
+
+
+def test_few_or_no_documents(frame):
+    assert got(sa.divergence(frame([]))) == []
+    rows = [("a b", "en", "x"), ("a b", "en", "y"), (None, None, None)]
+    assert got(sa.divergence(frame(rows))) == by_hand(rows) == [
+        ("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)]
+
+
+def test_a_very_long_text(frame):
+    rows = [("lorem Ipsum dolor " * 60_000, "en", "long")] + rows_of(random.Random(3), 120, langs=("en",))
+    assert got(sa.divergence(frame(rows), min_docs=10)) == by_hand(rows, min_docs=10)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tidemill.llm import (
-    chat, decontaminate, exact_dedup, licenses, line_dedup, near_dedup, packing, pii, quality, secrets,
-    token_counts,
+    chat, decontaminate, exact_dedup, fim, licenses, line_dedup, near_dedup, packing, pii,
+    quality, secrets, source_audit, token_counts,
 )
 
 QUERIES = {
@@ -19,6 +19,8 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
     "op11_token_counts": token_counts.op11_token_counts,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 
 # The others can't be put in SQL (positions of pattern matches, trees, alignment, tokens, SimHashes):
@@ -27,4 +29,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_near_dedup": near_dedup.SQL,
     "op10_chat": chat.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_source_audit": source_audit.SQL,
 }
