@@ -7,7 +7,7 @@ import pytest
 from tidemill.llm import source_audit as sa
 
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(sa.UPPER, sa.LOWER)
+LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def by_hand(rows, min_docs=30, top=50):
@@ -82,6 +82,8 @@ def test_several_vocabularies_and_blocks_give_the_same(frame, monkeypatch):
     monkeypatch.setattr(sa, "BLOCK_CELLS", 300)
     monkeypatch.setattr(sa, "BLOCK_SOURCES", 4)
     monkeypatch.setattr(sa, "SAMPLED", 1)
+    monkeypatch.setattr(sa, "HELD", 500)
+    monkeypatch.setattr(sa, "BLOCK", 16)
     assert sa.vocabularies(sa.marked_terms(frame(rows)), 20, 100) > 2
     assert got(sa.divergence(frame(rows), min_docs=20, top=7, slice_terms=100)) == want
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemill.llm.common import parts_for, prepared, stage, table
+from tidemill.llm.words import LOWER, hash_spans, raw_bytes
 
 #: Documents of its language a term must occur in.
 MIN_DOCS = 30
@@ -20,43 +23,164 @@ TOP = 50
 #: Terms of one vocabulary, about: what a fit brings to the driver and a task holds.
 SLICE_TERMS = 1_000_000
 #: One term in so many is counted ahead to learn how many vocabularies it takes.
-SAMPLED = 16
+SAMPLED = 64
 #: Cells of one task's block of a pair's sums, and rows of sources it holds at once.
-BLOCK_CELLS, BLOCK_SOURCES = 1_000_000, 512
+BLOCK_CELLS, BLOCK_SOURCES = 100_000, 512
 #: No term can hold it: stands between a language and its term, and alone for "any document".
 MARK = "\x00"
 
-WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Entries a task sums before it hands them on, and neighbouring entries of a vector that travel together.
+HELD, BLOCK = 4_000_000, 4096
+
+_INSIDE = np.zeros(256, dtype=bool)  # bytes of terms: ASCII letters, and all of any other character
+_INSIDE[97:123] = True
+_INSIDE[128:] = True
+
+
+def _spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every term, and its text."""
+    if not len(raw):
+        return (np.zeros(0, np.int64),) * 3
+    inside = _INSIDE[raw]
+    before, after = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(raw))]
+    before[edges] = False
+    after[edges - 1] = False
+    starts = np.flatnonzero(inside & ~before)
+    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _lists(flat: pa.Array, owner: np.ndarray, rows: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]), pa.int32()), flat)
+
+
+def _marked(sampled: int):
+    """The terms of all texts at once, each led by its text's language and MARK; and some of them, once a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            raw, offsets = raw_bytes(batch.column("text"))
+            raw = LOWER[raw]
+            starts, ends, owner = _spans(raw, offsets)
+            leads = [(lang + MARK).encode() for lang in batch.column("lang").to_pylist()]
+            lead, sizes = np.frombuffer(b"".join(leads), dtype=np.uint8), np.array([len(x) for x in leads], dtype=np.int64)
+            ahead, own = sizes[owner], ends - starts
+            edges = np.concatenate([[0], np.cumsum(ahead + own)])
+            data = np.empty(int(edges[-1]), dtype=np.uint8)
+            for source, begin, length, shift in ((lead, (np.cumsum(sizes) - sizes)[owner], ahead, 0 * ahead),
+                                                 (raw, starts, own, ahead)):
+                along = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+                data[np.repeat(edges[:-1] + shift, length) + along] = source[np.repeat(begin, length) + along]
+            flat = pa.Array.from_buffers(pa.string(), len(starts), [
+                None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            hashes = hash_spans(raw, starts, ends)
+            some = np.flatnonzero(hashes % np.uint64(sampled) == 0)
+            _, first = np.unique(np.stack([owner[some].astype(np.uint64), hashes[some]]), axis=1, return_index=True)
+            some = np.sort(some[first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("source"), _lists(flat, owner, n),
+                 _lists(flat.take(pa.array(some)), owner[some], n)], ["lang", "source", "terms", "some"])
+
+    return run
 
 
 def marked_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                  source_col: str = "source") -> DataFrame:
-    """(lang, source, terms): every document's words, each led by its language; nulls count as empty."""
-    def known(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-    words = F.regexp_extract_all(F.translate(known(text_col), UPPER, LOWER), F.lit(WORD), F.lit(0))
-    lead = F.concat(known(lang_col), F.lit(MARK))
-    return docs.select(known(lang_col).alias("lang"), known(source_col).alias("source"),
-                       F.transform(words, lambda word: F.concat(lead, word)).alias("terms"))
+    """(lang, source, terms, some): every document's words, each led by its language; nulls count as empty.
 
+    ``some`` has those of one term in SAMPLED, by hash, that the document holds, once each.
+    """
+    def known(name: str, alias: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias)
 
-def _slice_of(term: Column, slices: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(slices))
+    return docs.select(known(lang_col, "lang"), known(source_col, "source"), known(text_col, "text")).mapInArrow(
+        _marked(SAMPLED), "lang string, source string, terms array<string>, some array<string>")
 
 
 def _of_slice(i: int, slices: int) -> Column:
-    return F.filter("terms", lambda term: _slice_of(term, slices) == i)
+    return F.filter("terms", lambda term: F.pmod(F.xxhash64(term), F.lit(slices)) == i)
 
 
 def vocabularies(documents: DataFrame, min_docs: int, slice_terms: int) -> int:
     """Into how many vocabularies the kept terms go: from an exact count of one term in SAMPLED."""
-    kept = (documents.select(F.explode(F.array_distinct(_of_slice(0, SAMPLED))).alias("term"))
+    kept = (documents.select(F.explode("some").alias("term"))
             .groupBy("term").count().filter(F.col("count") >= min_docs).count())
     return parts_for(kept * SAMPLED, slice_terms)
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(count, first)
+
+
+def _blocks(most: int, width: int):
+    """The sum of a task's sparse vectors for every source, in blocks of neighbouring entries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        keys, counts, held = [], [], 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            key, count = _summed(keys, counts)
+            part = key // width
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            edges = pa.array(np.append(begin, len(key)), pa.int32())
+            who, word = list(names), 1 << 32
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([who[k // word] for k in key[begin].tolist()]), pa.array(key[begin] % word // width, pa.int32()),
+                 pa.ListArray.from_arrays(edges, pa.array(key % width, pa.int32())),
+                 pa.ListArray.from_arrays(edges, pa.array(count))], ["source", "block", "at", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.array([names.setdefault(name, len(names)) for name in batch.column("source").to_pylist()], dtype=np.int64)
+            indices, values = batch.column("indices"), batch.column("values")
+            sizes = np.diff(np.asarray(indices.offsets))
+            keys.append(np.repeat(code << 32, sizes) + np.asarray(indices.flatten(), dtype=np.int64))
+            counts.append(np.asarray(values.flatten()).astype(np.int64))
+            held += len(keys[-1])
+            if held > most:
+                key, count = _summed(keys, counts)
+                keys, counts, held = [key], [count], len(key)
+                if held > most // 2:  # as many that differ: they go on as they are
+                    yield from sums()
+                    keys, counts, held = [], [], 0
+        if held:
+            yield from sums()
+
+    return run
+
+
+def _entries(width: int):
+    """The sums of blocks that stand side by side, an entry a row; holds one block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, np.zeros(width, dtype=np.int64)
+
+        def rows() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([last[0]] * len(at), pa.string()), pa.array(at + last[1] * width, pa.int32()), pa.array(total[at])],
+                ["source", "index", "n"])
+
+        for batch in batches:
+            at, n = batch.column("at"), batch.column("n")
+            for i, key in enumerate(zip(batch.column("source").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                if key != last:
+                    if last is not None:
+                        yield rows()
+                    last, total = key, np.zeros(width, dtype=np.int64)
+                total[np.asarray(at[i].values)] += np.asarray(n[i].values)
+        if last is not None:
+            yield rows()
+
+    return run
+
+
 def term_sums(documents: DataFrame, min_docs: int = MIN_DOCS, slice_terms: int = SLICE_TERMS) -> DataFrame:
     """(lang, source, term, n): how often each source of a language has each kept term, where it has it.
 
@@ -64,8 +188,8 @@ def term_sums(documents: DataFrame, min_docs: int = MIN_DOCS, slice_terms: int =
     CountVectorizer with a minimum number of documents and no limit to its
     vocabulary does what one for each language would. Its vocabulary reaches
     the driver and every task, so terms are dealt by hash into vocabularies
-    of bounded size; documents become sparse vectors over each, and vectors of a
-    source add up entry by entry, combined before they are shuffled.
+    of bounded size; documents become sparse vectors over each. Tasks add up the vectors of
+    every source and send the sums in blocks of entries.
     """
     spark = documents.sparkSession
     parts = []
@@ -78,10 +202,11 @@ def term_sums(documents: DataFrame, min_docs: int = MIN_DOCS, slice_terms: int =
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
                                     vocabSize=2**31 - 1).fit(own)
             vector = F.unwrap_udt("vector")
-            entries = model.transform(own).select("source", F.explode(F.arrays_zip(
-                vector["indices"].alias("index"), vector["values"].alias("n"))).alias("entry"))
-            sums = entries.groupBy("source", F.col("entry.index").alias("index")).agg(
-                F.sum(F.col("entry.n").cast("long")).alias("n"))
+            vectors = model.transform(own).select(
+                "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
+            blocks = vectors.mapInArrow(_blocks(HELD, BLOCK), "source string, block int, at array<int>, n array<long>")
+            sums = (blocks.repartition("source", "block").sortWithinPartitions("source", "block")
+                    .mapInArrow(_entries(BLOCK), "source string, index int, n long"))
             words = [word.rpartition(MARK) for word in model.vocabulary]
             names = spark.createDataFrame(pa.table({
                 "index": pa.array([j for j, word in enumerate(words) if word[2]], pa.int32()),
