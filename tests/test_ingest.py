@@ -153,3 +153,127 @@ def test_manifest_lineage(spark, tmp_path, rows):
     assert rows(reads().select("table_name", "reader_job"), "table_name") == [
         ("/lake/orders", "dbt_run"), ("silver.stg_orders", "dbt_run")]
     assert rows(reads(["model.p.daily"]).select("table_name")) == [("silver.stg_orders",)]
+
+
+def test_a_load_reads_new_files_only(spark, lake, rows):
+    import os
+    folder, root, log = lake
+    drop(folder, "a.json", [order("o1", "10:00", 5.0), order("o2", "10:00", 1.0)])
+    raw.ingest(spark, ORDERS, log, root, incremental=True)
+    (folder / "raw/orders/a.json").write_text("{not read again")  # known by its path
+    drop(folder, "b.json", [order("o2", "11:00", 2.0), order("o3", "10:00", 3.0)])
+    os.utime(folder / "raw/orders/b.json", (1, 1))  # an old file that arrives late
+    raw.ingest(spark, ORDERS, log, root, incremental=True)
+    df = raw.ingest(spark, ORDERS, log, root, incremental=True)
+    assert rows(df.select("order_id", "order_amount"), "order_id") == [("o1", 5.0), ("o2", 2.0), ("o3", 3.0)]
+    runs = rows(log.runs().select("started_at", "rows_read", "rows_written"), "started_at")
+    assert [r[1:] for r in runs] == [(2, 2), (2, 2), (0, 0)]
+
+
+def test_files_are_loaded_in_steps(spark, lake, rows):
+    folder, root, log = lake
+    for n in range(5):
+        drop(folder, f"{n} [x].json", [order(f"o{n}", "10:00"), order("same", f"1{n}:00", n)])
+    df = raw.ingest(spark, ORDERS, log, root, incremental=True, files_at_once=2)
+    assert df.count() == 6
+    assert rows(df.filter("order_id = 'same'").select("order_amount")) == [(4.0,)]
+    assert tables.table_history(spark, f"{root}/bronze/orders").count() == 3
+    [run] = log.runs().collect()
+    assert run["rows_read"] == 10
+
+
+def test_a_failed_step_is_repeated(spark, lake, rows):
+    folder, root, log = lake
+    drop(folder, "a.json", [order("o1", "10:00")])
+    (folder / "raw/orders/b.json").write_text('{"order_id": "o2", \n')
+    with pytest.raises(Exception):
+        raw.ingest(spark, ORDERS, log, root, incremental=True)
+    drop(folder, "b.json", [order("o2", "10:00")])
+    df = raw.ingest(spark, ORDERS, log, root, incremental=True)
+    assert rows(df.select("order_id"), "order_id") == [("o1",), ("o2",)]
+    assert sorted(r[0] for r in rows(log.runs().select("status"))) == ["failed", "success"]
+
+
+def test_rows_without_a_key_stay_apart(spark, lake, rows):
+    folder, root, log = lake
+    drop(folder, "a.json", [order(None, "10:00", 1.0), order(None, "10:00", 2.0), order(None, "10:00", 2.0)])
+    raw.ingest(spark, ORDERS, log, root, incremental=True)
+    drop(folder, "b.json", [order(None, "10:00", 1.0), order(None, "10:00", 3.0)])
+    df = raw.ingest(spark, ORDERS, log, root, incremental=True)
+    assert rows(df.select("order_amount"), "order_amount") == [(1.0,), (2.0,), (3.0,)]
+
+
+SCHEMA = "order_id string, order_amount double, updated_at timestamp"
+
+
+def test_quarantine_of_json(spark, lake, rows):
+    folder, root, log = lake
+    spec = raw.SourceSpec("orders", "json", "raw/orders", "bronze/orders", "order_id", "updated_at", schema=SCHEMA,
+                          quarantine="bad/orders")
+    (folder / "raw/orders/a b.json").write_text("\n".join([
+        '{"order_id": "o1", "order_amount": 1.5, "updated_at": "2024-01-01T00:00:00Z"}', "{broken", "[1, 2]", '"text"',
+        '{"order_id": "o2", "order_amount": "much"}', '{"order_amount": 1}',
+        '{"order_id": "o3", "order_amount": {"a": 1}, "updated_at": "never"}', '{"order_id": "o4", "other": 1}']))
+    df = raw.ingest(spark, spec, log, root)
+    assert rows(df.select("order_id", "order_amount"), "order_id") == [("o1", 1.5), ("o4", None)]
+    bad = raw.read_quarantine(spark, spec, root)
+    assert sorted(r[0] for r in rows(bad.select("reason"))) == [
+        "not a JSON object", "not a JSON object", "not a JSON object", "order_amount is no double",
+        "order_amount is no double, updated_at is no timestamp", "order_id is missing"]
+    assert rows(bad.select("source", "record").filter("record like '%broken'")) == [("orders", "{broken")]
+    assert all("a%20b.json" in r[0] for r in rows(bad.select("file")))
+    assert raw.ingest(spark, spec, log, root, incremental=False).count() == 2
+    assert raw.read_quarantine(spark, spec, root).select("load").distinct().count() == 2
+    with pytest.raises(ValueError, match="schema"):
+        raw.SourceSpec("x", "json", "a", "b", quarantine="q")
+
+
+def test_quarantine_of_csv_and_repeated_steps(spark, lake, rows):
+    folder, root, log = lake
+    spec = raw.SourceSpec("customers", "csv", "raw/customers", "bronze/customers", "customer_id", "updated_at",
+                          schema="customer_id int, region string, updated_at date", quarantine="bad/customers")
+    (folder / "raw/customers/a.csv").write_text(
+        "customer_id,region,updated_at\n1,eu,2024-01-01\nx,us,2024-01-01\n2,us,soon\n3,us\n4,us,2024-01-01,more\n,ap,2024-01-01\n")
+    (folder / "raw/customers/b.csv").write_text("region,customer_id\nap,5\n")
+    for _ in range(2):
+        df = raw.ingest(spark, spec, log, root, incremental=True)
+    assert rows(df.select("customer_id", "region"), "customer_id") == [(1, "eu"), (3, "us"), (5, "ap")]
+    bad = raw.read_quarantine(spark, spec, root)
+    assert sorted(rows(bad.select("reason", "record"))) == [
+        ("customer_id is missing", ",ap,2024-01-01"), ("customer_id is no int", "x,us,2024-01-01"),
+        ("more cells than columns", "4,us,2024-01-01,more"), ("updated_at is no date", "2,us,soon")]
+    # A step that failed behind its quarantine and runs again leaves its rows once.
+    raw._parted(spark, spec, [f"{root}/raw/customers"], f"{root}/bad/customers", "customers-0")
+    assert raw.read_quarantine(spark, spec, root).count() == 4
+
+
+def test_all_rejected_leaves_an_empty_table(spark, lake):
+    folder, root, log = lake
+    spec = raw.SourceSpec("orders", "json", "raw/orders", "bronze/orders", "order_id", "updated_at", schema=SCHEMA,
+                          quarantine="bad/orders")
+    (folder / "raw/orders/a.json").write_text("{broken\n")
+    df = raw.ingest(spark, spec, log, root, incremental=True)
+    assert df.count() == 0 and df.columns[-1] == "_ingested_at"
+
+
+def test_csv_rows_of_other_lengths(spark, lake, rows):
+    folder, root, _ = lake
+    (folder / "raw/customers/a.csv").write_text("customer_id,region\n1\n2,eu\n")
+    assert rows(raw.read_raw(spark, CUSTOMERS, root).select("customer_id", "region"), "customer_id") == [
+        (1, None), (2, "eu")]
+    (folder / "raw/customers/b.csv").write_text("customer_id,region\n3,us,extra\n")
+    with pytest.raises(Exception, match="more cells than columns"):
+        raw.read_raw(spark, CUSTOMERS, root).collect()
+    (folder / "raw/customers/b.csv").write_text("customer_id,customer_id\n3,4\n")
+    with pytest.raises(ValueError, match="repeats a column"):
+        raw.read_raw(spark, CUSTOMERS, root)
+
+
+def test_csv_cells_with_line_breaks_match_by_name(spark, lake, rows):
+    folder, root, _ = lake
+    spec = raw.SourceSpec("customers", "csv", "raw/customers", "b", schema="customer_id int, note string, region string",
+                          options={"header": "true", "multiLine": "true", "sep": ";"})
+    (folder / "raw/customers/a.csv").write_text('note;customer_id\n"two\nlines; one cell";1\n')
+    (folder / "raw/customers/b.csv").write_text('customer_id;region;note\n2;eu;plain\n')
+    assert rows(raw.read_raw(spark, spec, root).select("customer_id", "note", "region"), "customer_id") == [
+        (1, "two\nlines; one cell", None), (2, "plain", "eu")]

@@ -48,3 +48,29 @@ def test_no_cross_product_in_plan(spark):
     columns = spark.createDataFrame([("a", "x")], "table_name string, column_name string")
     plan = wastage.duplicate_schemas(columns)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.8])
+def test_classes_hold_all_pairs(spark, rows, t):
+    rng = random.Random(4)
+    sets = {f"t{i:03d}": {"hub"} | {rng.choice("abcdefg") for _ in range(rng.randint(0, 4))} for i in range(80)}
+    members = spark.createDataFrame([(n, m) for n, s in sets.items() for m in s], "name string, member string")
+    found = ov.overlaps(members, t)
+    links = {name: 0 for name in sets}
+    for a, b, *_ in brute(sets, t):
+        links[a] += 1
+        links[b] += 1
+    least = {}
+    for name in sorted(sets):
+        least.setdefault(frozenset(sets[name]), name)
+    sizes = {s: sum(frozenset(x) == s for x in sets.values()) for s in least}
+    assert rows(found.members(), "name") == [
+        (n, least[frozenset(s)], sizes[frozenset(s)], links[n]) for n, s in sorted(sets.items())]
+    pairs = rows(found.pairs(), "name_a", "name_b")
+    assert sum(r[4] for r in pairs) == len(brute(sets, t))
+    for a, b, in_a, in_b, n, value, shared in pairs:
+        assert a in least.values() and b in least.values() and a <= b
+        assert (in_a, in_b) == (sizes[frozenset(sets[a])], sizes[frozenset(sets[b])])
+        assert n == (in_a * in_b if a != b else in_a * (in_a - 1) // 2)
+        assert shared == sorted(sets[a] & sets[b]) and value == len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert len(pairs) < len(brute(sets, t)) / 2  # grows with the sets that differ

@@ -19,3 +19,12 @@ def test_declared_checks(spark, rows):
     assert len(got) == 4
     assert got.pop(("not_null", "bronze.orders", "order_id")) == 1
     assert set(got.values()) == {0}
+
+
+def test_unique_of_any_type(spark, rows):
+    from tidemill.operators.quality import check_unique
+    df = spark.createDataFrame(
+        [(1, "a", 1.5, True), (1, "b", 1.5, None), (2, "b", None, None), (None, None, 0.0, None)],
+        "i int, s string, d double, b boolean")
+    assert rows(check_unique(df, "t", ["s", "i", "d", "b"]).select("column", "failures"), "column") == [
+        ("b", 0), ("d", 1), ("i", 1), ("s", 1)]

@@ -14,12 +14,16 @@ the size of the answer:
    sets is common that the pair may well qualify. Sizes and positions are
    checked inside the join, the overlap exactly after it; a pair is kept at
    its first common member, so it appears once without a distinct.
-3. Matching shapes are expanded to the names behind them, in blocks, so a
-   shape shared by very many names is spread over tasks.
+3. The answer is classes: one row per name with its class, and pairs of classes that
+   match, with counts. It grows with the names and the pairs of different sets, not with
+   the square of the copies. Only ``overlapping_sets`` expands it to all pairs of names, in
+   blocks, so a shape shared by very many names is spread over tasks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +38,61 @@ def _ceil(value: Column) -> Column:
     return F.ceil(value - F.lit(SLACK)).cast("int")
 
 
-def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
-    """(name_a, name_b, overlap, shared) for every pair with overlap >= threshold.
-
-    ``members`` holds (name, member) rows; duplicates count once. ``name_a`` <
-    ``name_b``; ``shared`` is the sorted list of common members. One set must
-    fit a row, as the columns of a table do.
+@dataclass(frozen=True)
+class Overlaps:
+    """Classes of equal sets and the pairs of classes that overlap, written and read back."""
+
+    sets: DataFrame    # name, items, shape
+    shapes: DataFrame  # shape, items, names, representative
+    matched: DataFrame  # shape_a, shape_b, names_a, names_b, overlap, shared; no shape with itself
+
+    def members(self) -> DataFrame:
+        """(name, representative, names, links): a name's class, its size, and how many names it overlaps with.
+
+        A class is named by its least name.
+        """
+        sides = [self.matched.select(F.col(f"shape_{x}").alias("shape"), F.col(f"names_{y}").alias("n"))
+                 for x, y in ("ab", "ba")]
+        links = sides[0].unionByName(sides[1]).groupBy("shape").agg(F.sum("n").alias("more"))
+        counted = self.shapes.join(links, "shape", "left").select(
+            "shape", "representative", "names",
+            (F.col("names") - 1 + F.coalesce("more", F.lit(0).cast("long"))).alias("links"))
+        return salted_join(self.sets.select("name", "shape"), counted, "shape", "name").select(
+            "name", "representative", "names", "links")
+
+    def pairs(self) -> DataFrame:
+        """(name_a, name_b, names_a, names_b, pairs, overlap, shared) of classes that overlap.
+
+        ``name_a`` <= ``name_b`` are the representatives; ``pairs`` counts the pairs of names behind a row. A
+        class of several names is a pair of its own, with itself.
+        """
+        names = self.shapes.select("shape", "representative")
+        different = (self.matched
+                     .join(names.toDF("shape_a", "a"), "shape_a").join(names.toDF("shape_b", "b"), "shape_b")
+                     .select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"),
+                             F.when(F.col("a") < F.col("b"), F.col("names_a")).otherwise(F.col("names_b")).alias("names_a"),
+                             F.when(F.col("a") < F.col("b"), F.col("names_b")).otherwise(F.col("names_a")).alias("names_b"),
+                             (F.col("names_a") * F.col("names_b")).alias("pairs"), "overlap", "shared"))
+        copies = self.shapes.filter("names > 1").select(
+            F.col("representative").alias("name_a"), F.col("representative").alias("name_b"),
+            F.col("names").alias("names_a"), F.col("names").alias("names_b"),
+            F.expr("names * (names - 1) div 2").alias("pairs"), F.lit(1.0).alias("overlap"),
+            F.col("items").alias("shared"))
+        return different.unionByName(copies)
+
+    def expanded(self) -> DataFrame:
+        """(name_a, name_b, overlap, shared) for every pair of names; the square of the copies."""
+        copies = self.shapes.filter("names > 1").select(
+            F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"),
+            F.col("names").alias("names_a"), F.col("names").alias("names_b"),
+            F.lit(1.0).alias("overlap"), F.col("items").alias("shared"))
+        return _expand(self.sets, self.shapes, self.matched.unionByName(copies))
+
+
+def overlaps(members: DataFrame, threshold: float) -> Overlaps:
+    """What overlaps by at least the threshold among the sets of (name, member) rows.
+
+    Duplicates count once; null names and members are passed over. One set must fit a row, as the columns of a table do.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -47,13 +100,17 @@ def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
         members.filter(F.col("name").isNotNull() & F.col("member").isNotNull())
         .groupBy("name").agg(F.sort_array(F.collect_set("member")).alias("items"))
         .withColumn("shape", F.unhex(F.sha2(F.to_json("items"), 256))), "sets")
-    shapes = stage(sets.groupBy("shape", "items").agg(F.count(F.lit(1)).alias("names")), "shapes")
-    matched = _matching_shapes(shapes, threshold)
-    copies = shapes.filter("names > 1").select(
-        F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"),
-        F.col("names").alias("names_a"), F.col("names").alias("names_b"),
-        F.lit(1.0).alias("overlap"), F.col("items").alias("shared"))
-    return _expand(sets, shapes, matched.unionByName(copies))
+    shapes = stage(sets.groupBy("shape", "items").agg(
+        F.count(F.lit(1)).alias("names"), F.min("name").alias("representative")), "shapes")
+    return Overlaps(sets, shapes, stage(_matching_shapes(shapes, threshold), "matched"))
+
+
+def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
+    """(name_a, name_b, overlap, shared) for every pair with overlap >= threshold.
+
+    ``name_a`` < ``name_b``; ``shared`` is the sorted list of common members.
+    """
+    return overlaps(members, threshold).expanded()
 
 
 def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The checks declared for the lakehouse, as (check, table, column).
 # Bronze repeats keys by design, so uniqueness is asked of silver only.
@@ -30,14 +31,29 @@ def check_not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFra
 def check_unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Number of values occurring more than once, per listed column; nulls do not count.
 
-    One scan and one shuffle for all columns: values are counted by (column, value).
+    One scan and one shuffle count all whole-number columns, as (column, value).
+    Values of other types are counted by their hash first; only those whose hash
+    occurs again are compared themselves.
     """
-    values = F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).cast("string").alias("value"))
-                       for name in columns])
-    counted = (df.select(F.inline(values)).filter("value is not null").groupBy("column", "value").count()
-               .groupBy("column").agg(F.count_if(F.col("count") > 1).alias("failures")))
-    wanted = df.sparkSession.createDataFrame([(name,) for name in columns], "column string")
-    return wanted.join(F.broadcast(counted), "column", "left").select(
+    whole = [name for name in columns if isinstance(df.schema[name].dataType, T.IntegralType)]
+    other = [name for name in columns if name not in whole]
+
+    def entries(names: list[str], **values) -> DataFrame:
+        return df.select(F.inline(F.array(*[
+            F.struct(F.lit(columns.index(name)).alias("no"), *[make(name).alias(k) for k, make in values.items()])
+            for name in names]))).filter("value is not null")
+
+    counted = []
+    if whole:
+        counted.append(entries(whole, value=lambda name: F.col(name).cast("long")).groupBy("no", "value").count())
+    if other:
+        values = entries(other, value=lambda name: F.col(name).cast("string"), hash=lambda name: F.xxhash64(name))
+        again = values.groupBy("no", "hash").count().filter("count > 1").select("no", "hash")
+        counted.append(values.join(again, ["no", "hash"], "left_semi").groupBy("no", "value").count())
+    failures = reduce(DataFrame.unionByName, [
+        part.groupBy("no").agg(F.count_if(F.col("count") > 1).alias("failures")) for part in counted])
+    wanted = df.sparkSession.createDataFrame(list(enumerate(columns)), "no int, column string")
+    return wanted.join(F.broadcast(failures), "no", "left").select(  # a row for each listed column
         F.lit("unique").alias("check"), F.lit(table).alias("table"), "column",
         F.coalesce("failures", F.lit(0).cast("long")).alias("failures"))
 

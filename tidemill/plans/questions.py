@@ -54,16 +54,20 @@ def answers(asked: DataFrame, runs: DataFrame, reads: DataFrame, store: Callable
     return routed, found
 
 
-#: Rows of a tool's answer that go into a context, from the top.
-CONTEXT_ROWS = 50
+#: How each tool's answer is ordered, as SQL.
+ORDERS = {
+    "top_cost_pipelines": "total_cost DESC NULLS LAST, job_name",
+    "recent_failures": "ended_at DESC, job_name, error_message",
+    "unused_tables": "last_written DESC NULLS LAST, table_name",
+    "runtime_trend": "runtime_trend_ratio DESC NULLS LAST, job_name",
+}
 
 
-def tool_context(answer: DataFrame, rows: int = CONTEXT_ROWS) -> DataFrame:
-    """One row (context): the top of a tool's answer as text, a line per row, values parted by bars."""
+def tool_context(answer: DataFrame, order: str) -> DataFrame:
+    """One row (context): a tool's whole answer as text in its order, a line per row, values parted by bars."""
     line = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in answer.columns])
-    top = answer.limit(rows).select(F.monotonically_increasing_id().alias("n"), line.alias("line"))
-    lines = F.array_sort(F.collect_list(F.struct("n", "line")))
-    return top.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
+    return answer.withColumn("_line", line).agg(F.coalesce(
+        F.expr(f"listagg(_line, '\n') WITHIN GROUP (ORDER BY {order})"), F.lit("")).alias("context"))
 
 
 def contexts(routed: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
@@ -74,8 +78,7 @@ def contexts(routed: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
         if tool == routing.DOC_SEARCH:
             part = asked.join(answer, "qid")
         else:
-            text = tool_context(answer).withColumn("tool", F.lit(tool))
-            part = asked.join(F.broadcast(text), "tool")  # one row of at most CONTEXT_ROWS lines
+            part = asked.join(tool_context(answer, ORDERS[tool]).withColumn("tool", F.lit(tool)), "tool")
         part = part.select("qid", "tool", "context")
         out = part if out is None else out.unionByName(part)
     return out

@@ -40,6 +40,27 @@ def stg_customers(bronze: DataFrame) -> DataFrame:
     return latest_by_key(typed, ["customer_id"], order)
 
 
+#: The same two as SQL over tables of a catalog, for views that outlast a session.
+STG_ORDERS_SQL = """
+SELECT order_id, customer_id, order_amount, order_status, created_at, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC NULLS LAST,
+    created_at DESC NULLS LAST, order_status, order_amount, customer_id) AS place
+  FROM (SELECT order_id, customer_id, CAST(order_amount AS DECIMAL(10,2)) AS order_amount,
+               CAST(order_status AS STRING) AS order_status, CAST(created_at AS TIMESTAMP) AS created_at,
+               CAST(updated_at AS TIMESTAMP) AS updated_at FROM {bronze}.orders))
+WHERE place = 1
+"""
+STG_CUSTOMERS_SQL = """
+SELECT customer_id, email, signup_date, region, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC NULLS LAST,
+    signup_date DESC NULLS LAST, email, region) AS place
+  FROM (SELECT customer_id, CAST(email AS STRING) AS email, CAST(signup_date AS DATE) AS signup_date,
+               CAST(region AS STRING) AS region, CAST(updated_at AS TIMESTAMP) AS updated_at
+        FROM {bronze}.customers))
+WHERE place = 1
+"""
+
+
 def daily_revenue(orders: DataFrame, customers: DataFrame, status: str = "completed") -> DataFrame:
     """Order count and revenue per day and region of the orders in one status.
 

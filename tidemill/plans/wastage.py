@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators.overlap import overlapping_sets
+from tidemill.operators.overlap import Overlaps, overlaps
 
 # Thresholds of the report.
 RUNTIME_TREND_THRESHOLD = 1.2
@@ -93,14 +93,25 @@ def output_columns(runs: DataFrame, catalog: DataFrame) -> DataFrame:
             .select("table_name", F.explode("columns").alias("column_name")))
 
 
+def schema_overlaps(columns: DataFrame, threshold: float = SCHEMA_OVERLAP_THRESHOLD) -> Overlaps:
+    """Tables with equal columns as classes, and the classes that share enough of theirs."""
+    return overlaps(columns.select(F.col("table_name").alias("name"), F.col("column_name").alias("member")), threshold)
+
+
+def schema_classes(found: Overlaps) -> DataFrame:
+    """(table_name, class, tables, links) of every table: its class, by the least name, and the tables it overlaps with."""
+    return found.members().toDF("table_name", "class", "tables", "links")
+
+
+def class_pairs(found: Overlaps) -> DataFrame:
+    """Pairs of classes that overlap, with how many tables and pairs of tables are behind each."""
+    return found.pairs().toDF("table_a", "table_b", "tables_a", "tables_b", "pairs", "overlap", "shared_columns")
+
+
 def duplicate_schemas(columns: DataFrame,
                       threshold: float = SCHEMA_OVERLAP_THRESHOLD) -> DataFrame:
-    """Pairs of tables sharing at least ``threshold`` of their columns."""
-    members = columns.select(F.col("table_name").alias("name"),
-                             F.col("column_name").alias("member"))
-    return overlapping_sets(members, threshold).select(
-        F.col("name_a").alias("table_a"), F.col("name_b").alias("table_b"),
-        "overlap", F.col("shared").alias("shared_columns"))
+    """Pairs of tables sharing at least ``threshold`` of their columns; copies give all their pairs."""
+    return schema_overlaps(columns, threshold).expanded().toDF("table_a", "table_b", "overlap", "shared_columns")
 
 
 def _finding(check: str, finding: Column, reason: Column) -> list[Column]:
@@ -151,6 +162,19 @@ def wastage_report(runs: DataFrame, reads: DataFrame, columns: DataFrame,
             .unionByName(schema_findings(duplicate_schemas(columns))))
 
 
+def report_totals(runs: DataFrame, reads: DataFrame, columns: DataFrame,
+                  catalog: DataFrame | None = None) -> DataFrame:
+    """Findings per check and, with a null check, overall; pairs of tables are counted by class, not made."""
+    def counted(check: str, value: Column, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.coalesce(value, F.lit(0).cast("long")).alias("findings")).select(
+            F.lit(check).alias("check"), "findings")
+
+    each = (counted(UNUSED_TITLE, F.count(F.lit(1)), unused_tables(runs, reads, catalog))
+            .unionByName(counted(TREND_TITLE, F.count(F.lit(1)), runtime_regressions(runtime_trend(runs))))
+            .unionByName(counted(SCHEMAS_TITLE, F.sum("pairs"), class_pairs(schema_overlaps(columns)))))
+    return each.filter("findings > 0").rollup("check").agg(F.coalesce(F.sum("findings"), F.lit(0).cast("long")).alias("findings"))
+
+
 def findings_total(findings: DataFrame) -> DataFrame:
     """Findings per check and, with a null check, overall."""
     return findings.rollup("check").agg(F.count(F.lit(1)).alias("findings"))

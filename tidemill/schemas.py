@@ -66,6 +66,12 @@ TABLE_CATALOG = T.StructType([
     T.StructField("recorded_at", T.TimestampType()),
 ])
 
+CATALOG_COLUMNS = T.StructType([
+    T.StructField("table_name", T.StringType()),
+    T.StructField("column_name", T.StringType()),
+    T.StructField("data_type", T.StringType()),
+])
+
 # Only the manifest members that lineage needs; Spark prunes the rest on read.
 MANIFEST = T.StructType([
     T.StructField("nodes", T.MapType(T.StringType(), T.StructType([

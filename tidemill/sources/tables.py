@@ -1,179 +1,171 @@
-"""Parquet tables with whole-version publishing: full refresh, keyed upsert, replacement of groups.
+"""Parquet tables: full refresh as whole versions, keyed changes by partition overwrite.
 
 Layout of a table folder::
 
-    data/v=<N>-<token>/...            parquet files written by version N
-    commits/<N>/part-*.json           one row naming the parts live at version N
+    data/<token>/...     one snapshot, or the slots of a keyed table (``_slot=<value>/``)
+    current/             one JSON row: the newest version and where its rows lie
+    history/             one JSON row per version
 
-A version is published by writing its commit row last, so readers see a whole
-version or none; a folder that a dead writer left without a row is no version
-and is written over. An upsert writes its own rows only, as one more part;
-readers take each key from the newest part that has it. Parts that are no
-longer much larger than what came after them are merged, so that there are few
-and a row is rewritten a few times over the table's life. One writer at a time
-is expected: a second writer publishing the same version fails.
+A full refresh writes a new snapshot; older ones stay readable. A keyed change
+on a table with slots reads and rewrites the slots its rows fall into, with
+Spark's dynamic partition overwrite, and leaves the others as they are; it replaces the version
+before. Without slots a keyed change is one join and a new snapshot, which suits small
+tables. A version is published by its row, after its data. One writer at a
+time is expected: one that finds another version than it began with fails.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.session import local_rows
+from tidemill.operators.dedupe import latest_by_key
+from tidemill.session import drop_folder, local_rows, path_exists, scratch_path
 
-COMMITS = T.StructType([
+RECORD = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("committed_at", T.TimestampType()),
     T.StructField("operation", T.StringType()),
     T.StructField("rows_written", T.LongType()),
-    T.StructField("keys", T.ArrayType(T.StringType())),
-    T.StructField("parts", T.ArrayType(T.StructType([
-        T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())]))),
+    T.StructField("folder", T.StringType()),
+    T.StructField("slot", T.StringType()),
     T.StructField("schema_json", T.StringType()),
 ])
 
-GONE = "_gone"  # marks rows that say their key has no row any more
-GROWTH = 2      # a part stays apart while it has so many times the rows that came after it
+SLOT = "_slot"  # the column a keyed table is partitioned by
+GONE = "_gone"  # marks rows that say their group has no row any more
+NEW = "_new"    # marks the source's rows among those that stay
+SLOTS = 16      # slots by hash; a large table wants one for each GB or so, as a change rewrites whole slots
 
 
-def _commits(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        return (spark.read.schema(COMMITS).option("recursiveFileLookup", True)
-                .json(folder))
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def hashed(keys: Sequence[str], slots: int = SLOTS) -> str:
+    """The slot of a row by the hash of its keys, as SQL; all slots are alike in size."""
+    return f"pmod(xxhash64({', '.join(keys)}), {slots})"
 
 
-def _commit_row(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
-    """The commit of a version, or the newest one; reads one file however long the history.
+def observed(seen: Observation, patience: float = 10.0) -> dict | None:
+    """What an observation saw in an action that has ended; None if the planner had dropped its place."""
+    found: list[dict] = []
+    waiting = threading.Thread(target=lambda: found.append(seen.get), daemon=True)
+    waiting.start()
+    waiting.join(patience)
+    return found[0] if found else None
 
-    Versions count up from 0 without gaps, so the newest is found by doubling
-    and halving. Whether a folder exists shows when a read is set up, before
-    any job runs.
-    """
-    def commit(number: int) -> DataFrame | None:
-        return _commits(spark, f"{path}/commits/{number}")
 
-    if version is None:
-        if commit(0) is None:
-            return None
-        low, high = 0, 1
-        while commit(high) is not None:
-            low, high = high, high * 2
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (low, middle) if commit(middle) is None else (middle, high)
-        version = low
-        row = commit(version).first()
-        if row is not None or version == 0:
-            return row
-        version -= 1  # the newest is being written
-    found = commit(version)
-    return None if found is None else found.first()
+def write_counted(df: DataFrame, save: Callable[[DataFrameWriter], None], **counts: Column) -> dict[str, int]:
+    """Write ``df`` and return the aggregates asked for, and ``rows``, taken in the writing job itself.
 
+    They sit right below the write, so a task that is retried, or run twice, counts once.
+    """
+    seen = Observation()
+    wanted = {"rows": F.count(F.lit(1)), **counts}
+    save(df.observe(seen, *[column.alias(name) for name, column in wanted.items()]).write)
+    return {name: seen.get[name] for name in wanted}
 
-def _read_part(spark: SparkSession, path: str, schema: T.StructType, part: str) -> DataFrame:
-    marked = T.StructType(schema.fields + [T.StructField(GONE, T.BooleanType())])
-    return spark.read.schema(marked).parquet(f"{path}/{part}")
 
+def _records(spark: SparkSession, folder: str) -> DataFrame | None:
+    return spark.read.schema(RECORD).json(folder) if path_exists(spark, folder) else None
 
-def _folded(spark: SparkSession, path: str, schema: T.StructType, parts: Sequence[str],
-            keys: Sequence[str]) -> DataFrame:
-    """Rows of the parts, each key's from the newest part that has it; with the GONE mark.
 
-    A null key matches nothing, so its rows all stay.
-    """
-    frames = [_read_part(spark, path, schema, part) for part in parts]
-    if len(frames) == 1:
-        return frames[0]
-    names = [f"_key{i}" for i in range(len(keys))]
-    keyed = [frame.withColumns(dict(zip(names, map(F.col, keys), strict=True))) for frame in frames]
-    newer = keyed[1]
-    if len(keyed) > 2:
-        whole = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in names])
-        newest = Window.partitionBy(*names)
-        newer = reduce(DataFrame.unionByName, [
-            frame.withColumn("_age", F.lit(-i)) for i, frame in enumerate(keyed[1:])])
-        newer = (newer.withColumn("_least", F.min("_age").over(newest))
-                 .filter(~whole | (F.col("_age") == F.col("_least"))).drop("_age", "_least"))
-    old = keyed[0].join(newer.select(*names), names, "left_anti")
-    return old.unionByName(newer).drop(*names)
-
-
-def _read_parts(spark: SparkSession, path: str, schema: T.StructType, commit: Row) -> DataFrame:
-    parts = [part["path"] for part in commit["parts"]]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    if len(parts) == 1 and not commit["keys"]:
-        return spark.read.schema(schema).parquet(f"{path}/{parts[0]}")
-    rows = _folded(spark, path, schema, parts, commit["keys"] or [])
-    return rows.filter(~F.coalesce(GONE, F.lit(False))).drop(GONE)
+def _record(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
+    """The record of a version or the newest one, which is one small file however long the history."""
+    if version is None:
+        current = _records(spark, f"{path}/current")
+        row = None if current is None else current.first()
+        if row is not None:
+            return row
+    history = _records(spark, f"{path}/history")  # the pointer is being replaced, or a writer died at it
+    if history is None:
+        return None
+    if version is not None:
+        history = history.filter(F.col("version") == version)
+    return history.orderBy(F.desc("version")).first()
+
+
+def _publish(spark: SparkSession, path: str, previous: Row | None, operation: str, rows: int,
+             folder: str, slot: str | None, schema: T.StructType) -> int:
+    begun, now = previous and previous["version"], _record(spark, path)
+    if (now and now["version"]) != begun:
+        raise ValueError(f"another writer has published version {now['version']} of {path}")
+    version = 0 if previous is None else begun + 1
+    row = dict(version=version, committed_at=datetime.now(timezone.utc), operation=operation, rows_written=rows,
+               folder=folder, slot=slot, schema_json=schema.json())
+    record = local_rows(spark, [row], RECORD)
+    record.write.mode("append").json(f"{path}/history")
+    record.write.mode("overwrite").json(f"{path}/current")
+    return version
 
 
-def _schema_of(commit: Row) -> T.StructType:
-    return T.StructType.fromJson(json.loads(commit["schema_json"]))
+def _schema_of(record: Row) -> T.StructType:
+    return T.StructType.fromJson(json.loads(record["schema_json"]))
 
 
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     return sorted((field.name, field.dataType.simpleString()) for field in schema.fields)
 
 
-def _publish(spark: SparkSession, path: str, version: int, operation: str, rows: int,
-             keys: Sequence[str], parts: Sequence[tuple[str, int]], schema: T.StructType) -> None:
-    folder = f"{path}/commits/{version}"
-    there = _commits(spark, folder)
-    if there is not None and not there.isEmpty():
-        raise ValueError(f"another writer has published version {version} of {path}")
-    row = dict(version=version, committed_at=datetime.now(timezone.utc), operation=operation,
-               rows_written=rows, keys=list(keys), schema_json=schema.json(),
-               parts=[dict(path=part, rows=n) for part, n in parts])
-    # What a dead writer left there holds no row, or it would be a version.
-    local_rows(spark, [row], COMMITS).write.mode("overwrite").json(folder)
+def _rows(spark: SparkSession, path: str, record: Row) -> DataFrame:
+    """The rows of a version; those of a table with slots name theirs, for pruning."""
+    schema = _schema_of(record)
+    if record["slot"]:
+        schema = T.StructType(schema.fields + [T.StructField(SLOT, T.StringType())])
+    return spark.read.schema(schema).parquet(f"{path}/{record['folder']}")
 
 
 def newest_version(spark: SparkSession, path: str) -> int | None:
-    commit = _commit_row(spark, path)
-    return None if commit is None else commit["version"]
+    record = _record(spark, path)
+    return None if record is None else record["version"]
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    return _commit_row(spark, path) is not None
+    return _record(spark, path) is not None
 
 
 def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
     """Column names and types without touching data; None if there is no table."""
-    commit = _commit_row(spark, path)
-    return None if commit is None else _schema_of(commit)
+    record = _record(spark, path)
+    return None if record is None else _schema_of(record)
 
 
 def table_history(spark: SparkSession, path: str) -> DataFrame:
     """One row per published version."""
-    commits = _commits(spark, f"{path}/commits")
-    if commits is None:
-        commits = spark.createDataFrame([], COMMITS)
-    return commits.select("version", "committed_at", "operation", "rows_written")
+    records = _records(spark, f"{path}/history")
+    if records is None:
+        records = spark.createDataFrame([], RECORD)
+    return records.select("version", "committed_at", "operation", "rows_written")
+
+
+def table_location(spark: SparkSession, path: str) -> str | None:
+    """The folder the latest version's files lie in, for readers that take plain Parquet."""
+    record = _record(spark, path)
+    return None if record is None else f"{path}/{record['folder']}"
+
+
+def has_slots(spark: SparkSession, path: str) -> bool:
+    record = _record(spark, path)
+    return record is not None and record["slot"] is not None
 
 
 def read_table(spark: SparkSession, path: str, version: int | None = None,
                schema_if_missing: T.StructType | None = None) -> DataFrame:
     """The latest version of a table, or the version asked for."""
-    commit = _commit_row(spark, path, version)
-    if commit is None:
+    record = _record(spark, path, version)
+    if record is None:
         if schema_if_missing is not None and version is None:
             return spark.createDataFrame([], schema_if_missing)
         wanted = "" if version is None else f" at version {version}"
         raise FileNotFoundError(f"No table found under {path}{wanted}")
-    return _read_parts(spark, path, _schema_of(commit), commit)
+    if version is not None and record["slot"] and newest_version(spark, path) != version:
+        raise ValueError(f"version {version} of {path} was overwritten by slots")
+    return _rows(spark, path, record).drop(SLOT)
 
 
 def register_views(spark: SparkSession, locations: dict[str, str]) -> None:
@@ -182,31 +174,30 @@ def register_views(spark: SparkSession, locations: dict[str, str]) -> None:
         read_table(spark, path).createOrReplaceTempView(name)
 
 
+def _folder() -> str:
+    return f"data/{uuid.uuid4().hex}"
+
+
 def write_snapshot(df: DataFrame, path: str, allow_evolution: bool = False,
                    partition_by: Sequence[str] = ()) -> int:
     """Replace the table's content by ``df`` as a new version; older ones stay readable."""
     spark = df.sparkSession
-    previous = _commit_row(spark, path)
-    version = 0 if previous is None else previous["version"] + 1
+    previous = _record(spark, path)
     if previous is not None and not allow_evolution:
         before, after = _shape(_schema_of(previous)), _shape(df.schema)
         if before != after:
             raise ValueError(f"schema of {path} would change from {before} to {after}")
-    part = f"data/v={version}-{uuid.uuid4().hex[:8]}"
-    writer = df.write
+    folder = _folder()
     if partition_by:
-        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
-    writer.parquet(f"{path}/{part}")
-    # Counted from the written footers, so a retried task cannot inflate it.
-    rows = spark.read.schema(df.schema).parquet(f"{path}/{part}").count()
-    _publish(spark, path, version, "overwrite", rows, [], [(part, rows)], df.schema)
-    return version
+        df = df.hint("rebalance", *partition_by)
+    counts = write_counted(df, lambda w: w.partitionBy(*partition_by).parquet(f"{path}/{folder}"))
+    return _publish(spark, path, previous, "overwrite", counts["rows"], folder, None, df.schema)
 
 
 def rows_written(spark: SparkSession, path: str) -> int:
     """Rows the latest version wrote."""
-    commit = _commit_row(spark, path)
-    return 0 if commit is None else commit["rows_written"]
+    record = _record(spark, path)
+    return 0 if record is None else record["rows_written"]
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -216,25 +207,57 @@ def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An append-only folder, or an empty relation of its schema before the first append."""
-    try:
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
-def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str]) -> int | None:
+def without_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``old`` whose keys no row of ``new`` has; a null key matches nothing."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    there = new.select(*[F.col(key).alias(name) for key, name in zip(keys, names, strict=True)])
+    keyed = old.withColumns(dict(zip(names, map(F.col, keys), strict=True)))
+    return keyed.join(there, names, "left_anti").drop(*names)
+
+
+def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
+           slot: str | None = None) -> int | None:
     """Replace rows whose keys match, insert the others; returns the new version.
 
     Keys must be unique in the source; a null key matches nothing. An empty
-    source changes nothing.
+    source changes nothing. ``slot`` is SQL over the keys (``hashed``, or a day of
+    a time) and makes a table whose changes touch its slots only; a
+    table with slots keeps them, and one without is laid out anew when given some.
     """
-    return _merge(spark, path, source, list(keys), unique=True)
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        return without_keys(old, new, keys).unionByName(new)
+
+    def unique(new: DataFrame) -> None:
+        whole = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+        twice = new.filter(whole).groupBy(*[F.col(key) for key in keys]).count().filter("count > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"source repeats a key of {list(keys)}")
+
+    return _merge(spark, path, source, slot, combine, unique)
+
+
+def merge_latest(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str | Column],
+                 order: Sequence[Column | str], slot: str | None = None) -> int | None:
+    """Of the table's and the source's rows of a key keep the first in ``order``; returns the new version.
+
+    Merging the same rows again, or in another sequence, gives the same table, so a load
+    that is repeated after a failure does no harm. Null keys are a key like any other. The version's
+    rows written are those of the source that stay.
+    """
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.withColumn(NEW, F.lit(False)).unionByName(new.withColumn(NEW, F.lit(True)))
+        return latest_by_key(both, list(keys), list(order))
+
+    return _merge(spark, path, source, slot, combine)
 
 
 def replace_groups(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
-                   emptied: DataFrame | None = None) -> int | None:
+                   emptied: DataFrame | None = None, slot: str | None = None) -> int | None:
     """Replace all rows of every group (same keys) the source has rows of; returns the new version.
 
     ``emptied`` holds, in the table's columns, one row for each group that has no rows any
@@ -243,44 +266,78 @@ def replace_groups(spark: SparkSession, path: str, source: DataFrame, keys: Sequ
     if emptied is not None:
         source = source.withColumn(GONE, F.lit(False)).unionByName(
             emptied.withColumn(GONE, F.lit(True)))
-    return _merge(spark, path, source, list(keys), unique=False)
 
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        kept = without_keys(old, new, keys)
+        return kept.unionByName(new if emptied is None else new.filter(~F.col(GONE)).drop(GONE))
+
+    return _merge(spark, path, source, slot, combine)
 
-def _merge(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
-           unique: bool) -> int | None:
-    previous = _commit_row(spark, path)
-    marked = GONE in source.columns
-    shape = T.StructType([field for field in source.schema.fields if field.name != GONE])
+
+def _merge(spark: SparkSession, path: str, source: DataFrame, slot: str | None,
+           combine: Callable[[DataFrame, DataFrame], DataFrame],
+           check: Callable[[DataFrame], None] | None = None) -> int | None:
+    """Stage the source, combine it with the old rows of its slots, and overwrite those."""
+    previous = _record(spark, path)
+    marks = [GONE] if GONE in source.columns else []
+    shape = T.StructType([field for field in source.schema.fields if field.name not in marks])
     schema = shape if previous is None else _schema_of(previous)
     if _shape(schema) != _shape(shape):
         raise ValueError(f"source of {path} has {_shape(shape)}, table {_shape(schema)}")
-    if previous is not None and previous["keys"] and list(previous["keys"]) != keys:
-        raise ValueError(f"{path} is keyed by {previous['keys']}, not {keys}")
-    version = 0 if previous is None else previous["version"] + 1
-    part = f"data/v={version}-{uuid.uuid4().hex[:8]}"
-    # Written once and read back, so that the source is computed once.
-    source.select(*schema.fieldNames(), *([GONE] if marked else [])).write.parquet(f"{path}/{part}")
-    written = _read_part(spark, path, schema, part)
-    rows = written.count()
+    laid_out = previous["slot"] if previous is not None else None
+    if slot and laid_out and slot != laid_out:
+        raise ValueError(f"{path} has slots by {laid_out}, not {slot}")
+    slot = slot or laid_out
+    names = schema.fieldNames()
+    place = F.expr(slot).cast("string") if slot else None
+    # Written once and read back, so that the source is computed once and outlives its executors.
+    source = source.select(*[F.col(f"`{name}`") for name in names + marks])
+    staged = scratch_path(spark, "merge")
+    keyed = source.withColumn(SLOT, place) if slot else source
+    rows = write_counted(keyed, lambda w: w.parquet(staged))["rows"]
     if not rows:
-        return None if previous is None else previous["version"]
-    if unique:
-        whole = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
-        twice = written.filter(whole).groupBy(*[F.col(key) for key in keys]).count().filter("count > 1")
-        if not twice.isEmpty():
-            raise ValueError(f"source repeats a key of {keys}")
-    live = [] if previous is None else [(p["path"], p["rows"]) for p in previous["parts"]]
-    live.append((part, rows))
-    first, total = len(live) - 1, rows
-    while first > 0 and live[first - 1][1] < GROWTH * total:
-        first -= 1
-        total += live[first][1]
-    if first < len(live) - 1:
-        merged = _folded(spark, path, schema, [p for p, _ in live[first:]], keys)
-        if first == 0:
-            merged = merged.filter(~F.coalesce(GONE, F.lit(False))).drop(GONE)
-        part = f"data/v={version}-{uuid.uuid4().hex[:8]}"
-        merged.write.parquet(f"{path}/{part}")
-        live[first:] = [(part, _read_part(spark, path, schema, part).count())]
-    _publish(spark, path, version, "upsert", rows, keys, live, schema)
-    return version
+        return previous and previous["version"]
+    new = spark.read.schema(keyed.schema).parquet(staged)
+    if check:
+        check(new)
+    folder, old = _folder(), spark.createDataFrame([], schema)
+    touched: list[str] = []
+    if previous is not None:
+        old = _rows(spark, path, previous)
+    if laid_out:
+        folder = previous["folder"]
+        # At most as many values as the table has slots; the others aren't read.
+        touched = [row[0] for row in new.select(SLOT).distinct().collect()]
+        old = old.filter(F.col(SLOT).isin([value for value in touched if value is not None])
+                         | (F.col(SLOT).isNull() if None in touched else F.lit(False)))
+    elif slot:
+        old = old.withColumn(SLOT, place)
+    merged = combine(old, new)
+    empty = _emptied(merged, new, touched) if marks and laid_out else []
+    if slot:
+        merged = merged.hint("rebalance", SLOT)
+    marked, seen = NEW in merged.columns, Observation()
+    if marked:
+        merged = merged.observe(seen, F.count_if(NEW).alias("stay"))
+    out = merged.select(*[F.col(f"`{name}`") for name in names], *([SLOT] if slot else []))
+    if slot:
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(SLOT).parquet(f"{path}/{folder}"))
+    else:
+        out.write.parquet(f"{path}/{folder}")
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for value in empty:  # an overwrite leaves a slot alone that it has no rows for
+        drop_folder(spark, f"{path}/{folder}/{SLOT}={escaped(value)}")
+    if marked:
+        rows = seen.get["stay"]
+    return _publish(spark, path, previous, "upsert", rows, folder, slot, schema)
+
+
+def _emptied(merged: DataFrame, new: DataFrame, touched: Sequence[str]) -> list[str]:
+    """Of the touched slots those that will have no row; only slots without new rows are looked into."""
+    filled = {row[0] for row in new.filter(~F.col(GONE)).select(SLOT).distinct().collect()}
+    open_ = [value for value in touched if value not in filled]
+    if not open_:
+        return []
+    left = {row[0] for row in merged.filter(F.col(SLOT).isin(open_)).select(SLOT).distinct().collect()}
+    return [value for value in open_ if value not in left]

@@ -111,6 +111,23 @@ pairs AS (
   WHERE CAST(k AS DOUBLE) / (sa.n + sb.n - k) >= 0.5)
 """
 
+# The least name of equal schemas stands for them.
+_CLASSES = """
+cols AS (SELECT DISTINCT 'ord_' || l_orderkey AS t, 'p_' || l_partkey AS c FROM lineitem),
+shapes AS (SELECT t, string_agg(c, ',' ORDER BY c) AS items, count(*) + 1 AS n FROM cols GROUP BY 1),
+classes AS (SELECT items, any_value(n) AS n, min(t) AS rep, count(*) AS names FROM shapes GROUP BY 1),
+own AS (SELECT rep, unnest(string_split(items, ',')) AS c FROM classes),
+common AS (
+  SELECT a.rep AS table_a, b.rep AS table_b, count(*) + 1 AS k,
+         '_ingested_at,' || string_agg(a.c, ',' ORDER BY a.c) AS shared_columns
+  FROM own a JOIN own b ON a.c = b.c AND a.rep < b.rep GROUP BY 1, 2),
+class_pairs AS (
+  SELECT table_a, table_b, ca.names AS tables_a, cb.names AS tables_b,
+         CAST(k AS DOUBLE) / (ca.n + cb.n - k) AS overlap, shared_columns
+  FROM common JOIN classes ca ON ca.rep = table_a JOIN classes cb ON cb.rep = table_b
+  WHERE CAST(k AS DOUBLE) / (ca.n + cb.n - k) >= 0.5)
+"""
+
 _FINDINGS = f"""
 {_RUNS}, {_UNUSED}, {_TREND}, {_PAIRS},
 findings AS (
@@ -284,6 +301,75 @@ drops AS (
 SELECT CAST(k AS VARCHAR) AS order_id, CAST(price AS DECIMAL(12,2)) AS order_amount,
        strftime(marker, '%Y-%m-%d') AS updated_at
 FROM drops QUALIFY row_number() OVER (PARTITION BY k ORDER BY marker DESC NULLS LAST) = 1""",
+    "incremental_files": """
+SELECT CAST(1 AS INTEGER) AS load, count(*) AS rows_read, count(*) AS rows_written FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 2, count(*), count(*) FROM orders WHERE o_orderkey % 3 = 1
+UNION ALL SELECT 3, count(*) FILTER (WHERE o_orderkey % 3 = 2) + count(*) FILTER (WHERE o_orderkey % 5 = 0)
+                      + count(*) FILTER (WHERE o_orderkey % 7 = 0),
+                    count(*) FILTER (WHERE o_orderkey % 3 = 2 OR o_orderkey % 5 = 0) FROM orders
+UNION ALL SELECT 4, 0, 0""",
+    "quarantine_counts": """
+SELECT source, reason, count(*) AS rows FROM (
+  SELECT 'orders' AS source, CASE WHEN o_orderkey % 13 = 0 THEN 'not a JSON object'
+           WHEN o_orderkey % 17 = 0 THEN 'order_amount is no double'
+           WHEN o_orderkey % 19 = 0 THEN 'order_id is missing' ELSE 'good' END AS reason FROM orders
+  UNION ALL
+  SELECT 'customers', CASE WHEN c_custkey % 13 = 0 AND c_custkey % 11 = 0
+           THEN 'more cells than columns, balance is no double'
+           WHEN c_custkey % 13 = 0 THEN 'more cells than columns'
+           WHEN c_custkey % 11 = 0 THEN 'balance is no double' ELSE 'good' END FROM customer
+  UNION ALL
+  SELECT 'events', CASE WHEN user_id % 3 = 0 THEN 'not a JSON event' WHEN user_id % 7 = 0 THEN 'event_time is missing'
+           WHEN user_id % 5 = 0 THEN 'event_time is no timestamp' ELSE 'good' END FROM events)
+GROUP BY 1, 2""",
+    "csv_options": """
+SELECT c_custkey AS customer_id, 'a "note"' || chr(10) || 'on |' || c_custkey AS note,
+       CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer""",
+    "load_stamps": """
+SELECT 'orders' AS source, count(*) AS rows, CAST(1 AS BIGINT) AS loads FROM orders
+UNION ALL SELECT 'customers', count(*), 1 FROM customer UNION ALL SELECT 'none', 0, 0""",
+    "catalog_revenue": _GOLD,
+    "catalog_columns": f"""
+WITH {_BRONZE}, counts AS (
+  SELECT 'silver.stg_orders' AS table_name, count(*) AS rows FROM orders
+  UNION ALL SELECT 'silver.stg_customers', count(*) FROM customer
+  UNION ALL SELECT 'gold.daily_revenue', count(*) FROM gold)
+SELECT table_name, column_name, data_type, rows FROM counts JOIN (VALUES
+  ('silver.stg_orders', 'order_id', 'bigint'), ('silver.stg_orders', 'customer_id', 'bigint'),
+  ('silver.stg_orders', 'order_amount', 'decimal(10,2)'), ('silver.stg_orders', 'order_status', 'string'),
+  ('silver.stg_orders', 'created_at', 'timestamp'), ('silver.stg_orders', 'updated_at', 'timestamp'),
+  ('silver.stg_customers', 'customer_id', 'bigint'), ('silver.stg_customers', 'email', 'string'),
+  ('silver.stg_customers', 'signup_date', 'date'), ('silver.stg_customers', 'region', 'string'),
+  ('silver.stg_customers', 'updated_at', 'timestamp'),
+  ('gold.daily_revenue', 'order_date', 'timestamp'), ('gold.daily_revenue', 'region', 'string'),
+  ('gold.daily_revenue', 'order_count', 'bigint'), ('gold.daily_revenue', 'total_revenue', 'decimal(20,2)')
+) AS c(table_name, column_name, data_type) USING (table_name)""",
+    "stream_flush": _windows(1),
+    "stream_timed": _windows(1),
+    "schema_classes": f"""
+WITH {_CLASSES}
+SELECT s.t AS table_name, c.rep AS class, c.names AS tables, c.names - 1 + coalesce(m.links, 0)::BIGINT AS links
+FROM shapes s JOIN classes c USING (items)
+     LEFT JOIN (SELECT rep, sum(n) AS links FROM (SELECT table_a AS rep, tables_b AS n FROM class_pairs
+                UNION ALL SELECT table_b, tables_a FROM class_pairs) GROUP BY 1) m ON m.rep = c.rep""",
+    "schema_class_pairs": f"""
+WITH {_CLASSES}
+SELECT table_a, table_b, tables_a, tables_b, tables_a * tables_b AS pairs, round(overlap, 6) AS overlap, shared_columns
+FROM class_pairs
+UNION ALL
+SELECT rep, rep, names, names, names * (names - 1) // 2, 1.0, '_ingested_at,' || items FROM classes WHERE names > 1""",
+    "manifest_reads": """
+SELECT '/lake/bronze/' || n_name AS table_name, 'dbt_run' AS reader_job, count(*) AS reads
+FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey <> 0 GROUP BY 1, 2""",
+    "corpus_files": """
+SELECT lang, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1""",
+    "chunk_metadata": f"""
+WITH RECURSIVE {_CHUNKS}
+SELECT sha256('doc_' || doc_id || chr(10) || chunk_index) AS id,
+       '{{"source":"doc_' || doc_id || '","chunk_index":' || chunk_index || '}}' AS metadata FROM chunks""",
+    "embed_model": " UNION ALL ".join(
+        f"SELECT doc_id, CAST({i} AS BIGINT) AS slot, length(text) - length(replace(text, '{letter}', '')) AS value FROM documents"
+        for i, letter in enumerate("aeinorst")),
     "csv_by_name": """
 SELECT 'declared' AS how, c_custkey AS customer_id, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS email,
        c_acctbal AS balance FROM customer
@@ -420,24 +506,41 @@ FROM hits GROUP BY 1""",
 WITH RECURSIVE {_HITS}
 SELECT qid, source, CAST(min(rank) AS INTEGER) AS first_rank FROM hits GROUP BY 1, 2""",
     "tool_answers": f"""
-WITH {_RUNS}, {_UNUSED}, {_QUESTIONS},
+WITH RECURSIVE {_HITS}, {_RUNS}, {_UNUSED}, {_TREND},
+exact AS (
+  SELECT job_name, CAST(sum(CAST(estimated_cost_usd AS DECIMAL(18,8))) AS DECIMAL(28,8)) AS total_cost
+  FROM runs WHERE status = 'success' GROUP BY 1),
+costs AS (
+  SELECT job_name, CAST(sum(CAST(estimated_cost_usd AS DECIMAL(18,8))) AS DECIMAL(28,8)) AS total_cost
+  FROM runs WHERE status = 'success' AND ended_at >= (SELECT max(ended_at) FROM runs) - INTERVAL 7 DAY
+  GROUP BY 1 ORDER BY total_cost DESC NULLS LAST, job_name LIMIT 10),
 failures AS (
   SELECT job_name || ' | ' || ended_at || ' | ' || error_message AS line, ended_at, job_name, error_message
   FROM runs WHERE status = 'failed' AND ended_at >= (SELECT max(ended_at) FROM runs) - INTERVAL 3 DAY),
 texts AS (
-  SELECT 'recent_failures' AS tool, coalesce(string_agg(line, chr(10) ORDER BY n), '') AS context FROM (
-    SELECT line, row_number() OVER (ORDER BY ended_at DESC, job_name, error_message) AS n FROM failures)
-  WHERE n <= 50
+  SELECT 'top_cost_pipelines' AS tool, coalesce(string_agg(job_name || ' | ' || total_cost, chr(10)
+           ORDER BY total_cost DESC, job_name), '') AS context FROM costs
   UNION ALL
-  SELECT 'unused_tables', coalesce(string_agg(line, chr(10) ORDER BY n), '') FROM (
-    SELECT table_name || ' | ' || last_written AS line,
-           row_number() OVER (ORDER BY last_written DESC NULLS LAST, table_name) AS n FROM unused)
-  WHERE n <= 50)
-SELECT conv_id || '-' || turn AS qid, tool, context FROM asked JOIN texts ON tool = CASE
-  WHEN regexp_matches(lower(question), 'cost|expensive|spend') THEN 'top_cost_pipelines'
-  WHEN regexp_matches(lower(question), 'fail|error|broke') THEN 'recent_failures'
-  WHEN regexp_matches(lower(question), 'unused|waste|orphan') THEN 'unused_tables'
-  ELSE 'other' END""",
+  SELECT 'recent_failures' AS tool, coalesce(string_agg(line, chr(10) ORDER BY ended_at DESC, job_name, error_message), '')
+  FROM failures
+  UNION ALL
+  SELECT 'unused_tables', coalesce(string_agg(table_name || ' | ' || last_written, chr(10)
+           ORDER BY last_written DESC NULLS LAST, table_name), '') FROM unused
+  UNION ALL
+  SELECT 'runtime_trend', coalesce(string_agg(job_name || ' | ' || exact.total_cost || ' | ' || coalesce(recent::VARCHAR, 'None')
+           || ' | ' || coalesce(prior::VARCHAR, 'None') || ' | ' || coalesce(ratio::VARCHAR, 'None'), chr(10)
+           ORDER BY ratio DESC NULLS LAST, job_name), '') FROM ratios JOIN exact USING (job_name)),
+routed AS (
+  SELECT conv_id || '-' || turn AS qid, CASE
+    WHEN regexp_matches(lower(question), 'cost|expensive|spend') THEN 'top_cost_pipelines'
+    WHEN regexp_matches(lower(question), 'fail|error|broke') THEN 'recent_failures'
+    WHEN regexp_matches(lower(question), 'unused|waste|orphan') THEN 'unused_tables'
+    WHEN regexp_matches(lower(question), 'slow|trend|degrad') THEN 'runtime_trend'
+    ELSE 'doc_search' END AS tool FROM asked)
+SELECT qid, tool, context FROM routed JOIN texts USING (tool)
+UNION ALL
+SELECT qid, tool, string_agg('[' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10)
+                             ORDER BY rank) FROM routed JOIN hits USING (qid) WHERE tool = 'doc_search' GROUP BY 1, 2""",
     "route_questions": f"""
 WITH {_QUESTIONS}
 SELECT conv_id, turn, question, CASE
@@ -448,3 +551,4 @@ SELECT conv_id, turn, question, CASE
   ELSE 'doc_search' END AS tool
 FROM asked""",
 }
+ORACLES["vector_topk_pruned"] = ORACLES["vector_topk_batch"]
