@@ -216,20 +216,45 @@ class Heartbeats(StreamingQueryListener):
             raise self.failure
 
 
+class Brake:
+    """Ends a stream between two batches: the one under way is finished, the next fails before it has begun."""
+
+    def __init__(self) -> None:
+        self.merging, self.left = False, -1  # batches that may still run; negative: any
+
+    def press(self, query: StreamingQuery) -> None:
+        """Let what a trigger has taken up end, and nothing more; returns when it has."""
+        self.left = 1 if query.status["isTriggerActive"] and not self.merging else 0
+        while query.isActive and query.status["isTriggerActive"]:
+            time.sleep(0.05)
+        self.left = 0
+
+    def begin(self, batch_id: int) -> None:
+        if self.left == 0:
+            raise RuntimeError(f"stopped before batch {batch_id}")
+        self.left -= self.left > 0
+        self.merging = True
+
+
 def start_stream(windows: DataFrame, path: str, checkpoint: str, trigger: str | None = TRIGGER,
-                 closed: dict[int, int] | None = None, name: str | None = None) -> StreamingQuery:
+                 closed: dict[int, int] | None = None, name: str | None = None,
+                 brake: Brake | None = None) -> StreamingQuery:
     """Start merging closed windows into the table at ``path``.
 
     The merge is keyed by window, so a batch repeated after a failure changes
     nothing. Open windows live in the checkpoint and are picked up on restart.
     ``trigger`` None processes what is there and stops.
     """
+    brake = brake or Brake()
+
     def merge(batch: DataFrame, batch_id: int) -> None:
+        brake.begin(batch_id)
         seen = Observation()
         # The merge stages its source first, so the stateful plan runs once, and is counted there.
         tables.upsert(batch.sparkSession, path, batch.observe(seen, F.count(F.lit(1)).alias("n")), KEYS, DAY)
         if closed is not None:
             closed[batch_id] = seen.get["n"]
+        brake.merging = False
 
     writer = (windows.writeStream.outputMode("append").foreachBatch(merge)
               .option("checkpointLocation", checkpoint))
@@ -257,9 +282,11 @@ def run_stream(windows: DataFrame, path: str, checkpoint: str, run_log: RunLog,
     spark.streams.addListener(beats)
     begun = datetime.now(timezone.utc)
     try:
-        query = start_stream(windows, path, checkpoint, trigger, closed, beats.name)
+        brake = Brake()
+        query = start_stream(windows, path, checkpoint, trigger, closed, beats.name, brake)
         try:
             _wait(query, beats, timeout, idle, poll)
+            brake.press(query)
         finally:
             query.stop()
         beats.close()
@@ -284,9 +311,6 @@ def _wait(query: StreamingQuery, beats: Heartbeats, timeout: float | None, idle:
         elif quiet is None:
             quiet = now
         if deadline is not None and now >= deadline:
-            before = beats.reported
-            while query.isActive and query.status["isTriggerActive"] and beats.reported == before:
-                time.sleep(0.05)
             return
         if idle is not None and quiet is not None and now - quiet >= idle:
             return

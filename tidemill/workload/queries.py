@@ -435,8 +435,8 @@ def stream_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rel.load(spark, sf_dir, "events")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     span = max(1e-6, last.timestamp() - first.timestamp())
-    piece = F.least(F.floor((F.col("ts").cast("double") - first.timestamp()) * 6 / span), F.lit(5))
-    for part in range(6):  # one after the other: a file's age is its place
+    piece = F.least(F.floor((F.col("ts").cast("double") - first.timestamp()) * 4 / span), F.lit(3))
+    for part in range(4):  # one after the other: a file's age is its place
         (events.filter(piece == part).select("ts", "user_id", "event_type").coalesce(1)
          .write.mode("append").parquet(f"{root}/in"))
     source = (spark.readStream.schema("ts timestamp, user_id bigint, event_type string")
