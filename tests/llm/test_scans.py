@@ -131,6 +131,17 @@ def test_long_and_url_safe_parts_are_whole():
         assert secrets.pc.match_substring_regex(secrets.pa.array([own]), secrets._MAY).to_pylist() == [True]
 
 
+def test_endpoints_of_any_length():
+    host = ".".join(f"label{i}" * 20 for i in range(12))
+    scheme = "averyveryverylongschemename+v2"
+    for text, want in [
+            (f"see {host}:8443 now", [f"{host}:8443"]), (f"({scheme}://db.example/x)", [f"{scheme}://db.example/x)"]),
+            ("9http://a.b:80/c d.e:99", ["http://a.b:80/c", "d.e:99"]), ("a.b:80http://xyz1", ["http://xyz1", "a.b:80"]),
+            ("x://abcd ://abcd a.b:123456 http://abc", []), ("A.b-c.d:22", ["A.b-c.d:22"]), ("", [])]:
+        assert [text[a:b] for a, b in secrets.endpoints(text)] == want
+    assert secrets.endpoints("a1" * 200_000 + "." * 1000 + "b." * 100_000) == []
+
+
 def test_interval_join_is_the_plain_one():
     import numpy as np
     rng = random.Random(3)

@@ -31,8 +31,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 _USER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*"
                    r"[\"']?([A-Za-z0-9_.@-]{3,}+)", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,}+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}"
-                       r"(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9])", re.ASCII)
+_URL = re.compile(r"://[^\s\"'<>]{4,}+")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+")
+_HOST = re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}(?![0-9])", re.ASCII)
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
 # What any part needs, cheap to test on a whole batch of texts: it may let through more, never less.
@@ -52,13 +53,33 @@ def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs from the first letter of their scheme on, and hosts with a port that aren't inside one."""
+    urls = []
+    for m in _URL.finditer(text):
+        start = m.start()
+        while start > 0 and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < m.start() and not text[start].isalpha():
+            start += 1
+        if m.start() - start >= 2:
+            urls.append((start, m.end()))
+    ends = np.array([end for _, end in urls])
+    hosts = []
+    for m in _HOST.finditer(text):
+        at = int(np.searchsorted(ends, m.start(), side="right"))  # the first URL that ends behind it
+        if at == len(urls) or m.start() < urls[at][0]:
+            hosts.append((m.start(), m.end()))
+    return urls + hosts
+
+
 def weak_parts(text: str) -> list[tuple[str, int, int]]:
     """Parts that mean nothing alone: mixed high-entropy keys, user names, endpoints."""
     found = [("key", m.start(), m.end()) for m in _KEY.finditer(text)
              if re.search("[a-z]", m.group()) and re.search("[A-Z]", m.group()) and re.search("[0-9]", m.group())
              and entropy(m.group()) >= ENTROPY]
     found += [("user", m.start(1), m.end(1)) for m in _USER.finditer(text)]
-    return found + [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    return found + [("endpoint", start, end) for start, end in endpoints(text)]
 
 
 def meets(spans: np.ndarray, others: np.ndarray, scope: np.ndarray) -> np.ndarray:
