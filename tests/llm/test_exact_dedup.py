@@ -60,3 +60,20 @@ def test_repeated_prints(spark):
     df = spark.createDataFrame([(p,) for p in data], "print long").repartition(6)
     got = dict(map(tuple, xd.repeated_prints(df, len(data)).collect()))
     assert got == {p: data.count(p) for p in prints[:40]}
+
+
+def test_a_part_of_many_short_texts_merges_in_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    def took(rows):
+        prints = np.random.default_rng(1).integers(0, 2**62, rows)
+        batches = [pa.record_batch([pa.array(prints[i:i + 512])], ["print"]) for i in range(0, rows, 512)]
+        begun = time.perf_counter()
+        out = list(xd._slices(4)(iter(batches)))
+        assert sum(len(c.as_py()) // 8 for b in out for c in b.column("counts")) == len(np.unique(prints))
+        return time.perf_counter() - begun
+
+    took(5_000)
+    assert took(400_000) < 20 * took(50_000)  # eight times the rows

@@ -59,10 +59,13 @@ def unpack_slice(quotient: int, bits: int, packed: bytes) -> np.ndarray:
 
 def _slices(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            own = build_filter(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            values, counts = merge_filters([(values, counts), own])
+            held.append(build_filter(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            # A filter merges with one no larger than twice it, so a fingerprint is copied few times.
+            while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+                held[-2:] = [merge_filters(held[-2:])]
+        values, counts = merge_filters(held)
         high = values >> np.uint64(64 - bits) if bits else np.zeros(len(values), np.uint64)
         at = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]])) if len(high) else []
         edges = [*at, len(values)]
