@@ -83,3 +83,18 @@ def test_empty_tables(spark, docs):
     model = q.train(docs([]), none)
     assert q.quality_scores(docs([]), model).count() == 0
     assert q.keep_good(docs([(1, "a")]), model).count() == 0  # nothing learned: 0.5 is under the threshold
+
+
+def test_repeated_rows_count_once(spark, docs):
+    pairs, labels, _ = corpus(400)
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = q.train(docs(pairs), labelled)
+    hot = next(i for i, g, _ in labels if g == 0)
+    many = docs(pairs * 10 + [p for p in pairs if p[0] == hot] * 1000)
+    again = q.train(many, labelled.unionByName(labelled))
+    assert (again.leaf == plain.leaf).all() and (again.above == plain.above).all() and again.base == plain.base
+    bounded = q.train(many, labelled, sample=60)
+    scores = {r.doc_id: r.score for r in q.quality_scores(docs(pairs), bounded).collect()}
+    assert min(scores.values()) < 0.3 and max(scores.values()) > 0.8
+    both = labelled.unionByName(spark.createDataFrame([(i, 0, 0) for i, *_ in labels], labelled.schema))
+    assert q.train(docs(pairs), both).base < plain.base  # of two labels the lower one counts

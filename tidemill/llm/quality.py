@@ -192,7 +192,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = statistics(batch.column("text"))
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(len(rows) + 1) * len(FEATURES), pa.int32()), pa.array(rows.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), lists], ["quality", "statistics"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("quality"), lists], ["doc_id", "quality", "statistics"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
@@ -200,15 +201,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     Which ones follows from their ids alone: the first in hashed order. Only
     their statistics (20 numbers a row) reach the driver. Null labels and ids are
-    passed over; the label is the only thing taken from ``labels``.
+    passed over; the label is the only thing taken from ``labels``, the lower one where an id has both. An id counts
+    once however often its rows are repeated; of different texts under one id the first by hash counts.
     """
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .filter(~held_out()).filter("doc_id is not null and quality in (0, 1)")
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = (texts.join(F.broadcast(chosen), "doc_id").select("quality", "text")
-            .mapInArrow(_labelled, "quality int, statistics array<float>")
-            .orderBy("quality", "statistics").limit(4 * sample).toArrow())
+              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = (texts.join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+            .mapInArrow(_labelled, "doc_id long, quality int, statistics array<float>")
+            .orderBy("doc_id").toArrow())
     matrix = rows.column("statistics").combine_chunks()
     values = matrix.flatten().to_numpy() if len(rows) else np.zeros(0, np.float32)
     return fit(values.reshape(-1, len(FEATURES)), rows.column("quality").to_numpy().astype(float))
