@@ -81,6 +81,28 @@ def test_empty_and_plain(spark):
     assert '"arguments":{"b":[1,{"x":1,"y":2}],"z":1}' in row.json and row.n_bad == 0
 
 
+def test_calls_in_a_function_object_lose_nothing(spark):
+    text = json.dumps({"content": None, "refusal": None, "tool_calls": [
+        {"id": "a", "type": "function", "function": {"name": "sum", "arguments": '{"b": 2, "a": 1}'}},
+        {"id": "b", "function": {"name": "now", "arguments": {}, "strict": True}}, {"id": "c", "name": "now"}]})
+    odd = json.dumps({"tool_calls": [{"id": "x", "kind": "browse"}], "note": 1})
+    rows = [(1, 0, "assistant", text), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "3", "is_error": False})),
+            (1, 2, "tool", result("b", "")), (1, 3, "tool", result("c", "")), (2, 0, "assistant", odd),
+            (2, 1, "assistant", '{"tool_calls": [null]}'), (2, 2, "assistant", '{"tool_calls": 7}')]
+    got = {(r.conv_id, r.turn): r for r in chat.formatted(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
+    first = got[1, 0]
+    assert (first.n_calls, first.n_bad, first.problem) == (3, 0, None)
+    assert json.loads(first.json) == {"content": "", "extra": {"refusal": None}, "role": "assistant", "tool_calls": [
+        {"arguments": {"a": 1, "b": 2}, "extra": {"type": "function"}, "id": "a", "name": "sum"},
+        {"arguments": {}, "extra": {"function": {"arguments": {}, "name": "now", "strict": True}}, "id": "b", "name": "now"},
+        {"arguments": {}, "id": "c", "name": "now"}]}
+    assert json.loads(got[1, 1].json) == {"content": "3", "extra": {"is_error": False}, "role": "tool", "tool_call_id": "a"}
+    for turn in (0, 1, 2):  # not understood: content as it is
+        assert json.loads(got[2, turn].json) == {"content": rows[4 + turn][3], "role": "assistant"}
+        assert got[2, turn].n_calls == 0
+
+
 def faulty(name, arguments):
     """Whether a call breaks the production schemas, in plain Python."""
     kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import prepared, table
 
 #: How a message carries calls: an assistant's text is {"tool_calls": [{"id", "name", "arguments"}]},
-#: with "content" beside it if there is any; a tool's is {"tool_call_id", "content"}.
-CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
+#: with "content" beside it if there is any; a tool's is {"tool_call_id", "content"}. A call's name and
+#: arguments may stand in a "function" object of its own, the arguments as an object or as JSON text.
+_CALL = "id:string,name:string,arguments:string"
+CALLS = f"struct<content:string,tool_calls:array<struct<{_CALL},function:struct<name:string,arguments:string>>>>"
+CALL_KEYS = "struct<tool_calls:array<map<string,variant>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: Types an argument may be declared to have, and how a JSON value of that type is written.
 TYPES = {
@@ -44,6 +47,21 @@ def canonical(raw: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(raw)), quoted(raw))
 
 
+def others(keys: Column, known: tuple[str, ...]) -> Column:
+    """The members of an object (a map) that aren't known, as JSON; null if there are none."""
+    def unknown(key: Column, value: Column) -> Column:
+        inside = F.array_except(F.json_object_keys(F.to_json(value)), F.array(F.lit("name"), F.lit("arguments")))
+        used = (key == "function") & (F.size(inside) == 0) if "arguments" in known else F.lit(False)
+        return ~key.isin(*known) & ~F.coalesce(used, F.lit(False))
+
+    return F.nullif(F.to_json(F.map_filter(keys, unknown)), F.lit("{}"))
+
+
+def extra(more: Column) -> Column:
+    """The member that holds what isn't known, or nothing."""
+    return F.when(more.isNotNull(), F.concat(F.lit(',"extra":'), canonical(more))).otherwise("")
+
+
 def argument_problem(name: Column, raw: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     """What is wrong with a call's arguments, or null: an unknown tool, no object, a missing,
     unknown or ill-typed argument. ``schemas``: tool -> argument -> (type, required)."""
@@ -75,8 +93,8 @@ def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
     first fault: a result without a call, a call without a result or with an id
     used before, arguments against the tool's schema (checked when ``schemas`` are given).
 
-    Faulty messages are kept and marked. A text that carries no calls is content
-    as it is; null roles and texts count as empty, null ids and turns stay null
+    Faulty messages are kept and marked. A text that carries no calls, or one without a name, is content
+    as it is; members of a message or call that mean nothing here are kept under ``extra``; null roles and texts count as empty, null ids and turns stay null
     and link with nothing. Repeated rows are repeated. One row is one message,
     however long its conversation: no conversation is gathered. Other columns
     are ignored; no rows give no rows.
@@ -89,10 +107,18 @@ def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
     called = F.when((F.col("role") == "assistant") & looks, F.from_json("text", CALLS))
     answered = F.when((F.col("role") == "tool") & looks, F.from_json("text", RESULT))
     parsed = base.withColumn("called", called).withColumn("answered", answered)
-    is_call = F.col("called.tool_calls").isNotNull()
+    named = F.forall("called.tool_calls", lambda c: F.coalesce(c["name"], c["function"]["name"]).isNotNull())
+    is_call = F.coalesce(named, F.lit(False))
     call_id = F.col("answered.tool_call_id")
     parsed = parsed.withColumns({
-        "calls": F.when(is_call, F.col("called.tool_calls")).otherwise(F.from_json(F.lit("[]"), "array<struct<id:string,name:string,arguments:string>>")),
+        "calls": F.when(is_call, F.zip_with(
+            "called.tool_calls", F.from_json("text", CALL_KEYS)["tool_calls"], lambda c, keys: F.struct(
+                c["id"].alias("id"), F.coalesce(c["name"], c["function"]["name"]).alias("name"),
+                F.coalesce(c["arguments"], c["function"]["arguments"]).alias("arguments"),
+                others(keys, ("id", "name", "arguments")).alias("more"))))
+        .otherwise(F.from_json(F.lit("[]"), f"array<struct<{_CALL},more:string>>")),
+        "more": F.when(is_call, others(F.from_json("text", "map<string,variant>"), ("content", "tool_calls"))).when(
+            call_id.isNotNull(), others(F.from_json("text", "map<string,variant>"), ("content", "tool_call_id"))),
         "content": F.when(is_call, F.coalesce("called.content", F.lit(""))).when(
             call_id.isNotNull(), F.coalesce("answered.content", F.lit(""))).otherwise(F.col("text")),
         "call_id": call_id}).drop("called", "answered", "text")
@@ -120,10 +146,11 @@ def formatted(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
         {"open": none.cast("long"), "doubled": none.cast("long")}))
     late = F.col("call_turn") >= F.col("turn")
     tool_calls = F.concat(F.lit(',"tool_calls":['), F.array_join(F.transform("calls", lambda c: F.concat(
-        F.lit('{"arguments":'), canonical(F.coalesce(c["arguments"], F.lit("{}"))), F.lit(',"id":'), quoted(c["id"]),
+        F.lit('{"arguments":'), canonical(F.coalesce(c["arguments"], F.lit("{}"))), extra(c["more"]),
+        F.lit(',"id":'), quoted(c["id"]),
         F.lit(',"name":'), quoted(c["name"]), F.lit("}"))), ","), F.lit("]"))
     json = F.concat(
-        F.lit('{"content":'), quoted(F.col("content")), F.lit(',"role":'), quoted(F.col("role")),
+        F.lit('{"content":'), quoted(F.col("content")), extra(F.col("more")), F.lit(',"role":'), quoted(F.col("role")),
         F.when(F.col("call_id").isNotNull(), F.concat(F.lit(',"tool_call_id":'), quoted(F.col("call_id")))).otherwise(F.lit("")),
         F.when(F.size("calls") > 0, tool_calls).otherwise(F.lit("")), F.lit("}"))
     answer = F.col("call_id").isNotNull()
