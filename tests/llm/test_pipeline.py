@@ -109,11 +109,11 @@ def test_registered(spark):
     from tidemill.llm.queries import ORACLES, QUERIES
 
     assert {"pipeline", *QUERIES} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_near_dedup", "op10_chat"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_near_dedup", "op10_chat", "op12_fill_in_middle", "op13_source_audit"])
 def test_equals_sql(spark, name):
     import duckdb
 
