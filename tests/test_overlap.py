@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import overlap as ov
 from tidemill.plans import wastage
@@ -74,3 +75,16 @@ def test_classes_hold_all_pairs(spark, rows, t):
         assert n == (in_a * in_b if a != b else in_a * (in_a - 1) // 2)
         assert shared == sorted(sets[a] & sets[b]) and value == len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert len(pairs) < len(brute(sets, t)) / 2  # grows with the sets that differ
+
+
+def test_shapes_meet_as_lists_of_small_numbers(spark, rows):
+    sets = {"a": {"hub", "x", "only a"}, "b": {"hub", "x", "y"}, "c": {"hub", "y"}, "d": {"hub", "y"}}
+    members = spark.createDataFrame([(n, m) for n, s in sets.items() for m in s], "name string, member string")
+    found = ov.overlaps(members, 0.5)
+    # Rare ones first; a member of one shape only can't be shared and has no number.
+    assert [r[0] for r in rows(found.numbers, "code")] == ["x", "y", "hub"]
+    assert found.numbers.schema["code"].dataType.simpleString() == "int"
+    assert found.matched.schema["codes"].dataType.simpleString() == "array<int>"
+    assert sorted(rows(found.matched.select(F.least("a", "b"), F.greatest("a", "b")))) == [("a", "b"), ("b", "c")]
+    assert found.total().first()[0] == len(brute(sets, 0.5)) == 4
+    assert ov.overlaps(members.filter("name = 'a'"), 0.5).total().first()[0] is None

@@ -4,8 +4,10 @@ Comparing all pairs, or joining on any shared member, breaks down when a member
 such as a load-stamp column is in every set. Three steps keep the work near
 the size of the answer:
 
-1. Sets with identical members are folded to one *shape*; a third of all
-   tables being copies costs one row from here on.
+1. Sets with identical members are folded to one *shape*, known by the least of their names; a
+   third of all tables being copies costs one row from here on. Members of several shapes get
+   numbers, rare ones first, and from here on shapes are lists of numbers; a member of one
+   shape only can't be shared and just counts.
 2. Shapes meet on their rarest members only. With all members in one global
    order, rare ones first, a pair reaching overlap t shares a member among the
    first n - ceil(t * n) + 1 of the larger set (size n) and the first
@@ -42,51 +44,68 @@ def _ceil(value: Column) -> Column:
 class Overlaps:
     """Classes of equal sets and the pairs of classes that overlap, written and read back."""
 
-    sets: DataFrame    # name, items, shape
-    shapes: DataFrame  # shape, items, names, representative
-    matched: DataFrame  # shape_a, shape_b, names_a, names_b, overlap, shared; no shape with itself
+    sets: DataFrame     # name, items, shape
+    shapes: DataFrame   # shape, items, names, representative
+    matched: DataFrame  # pair, a, b (representatives), names_a, names_b, overlap, codes; no shape with itself
+    numbers: DataFrame  # member, code
 
     def members(self) -> DataFrame:
         """(name, representative, names, links): a name's class, its size, and how many names it overlaps with.
 
         A class is named by its least name.
         """
-        sides = [self.matched.select(F.col(f"shape_{x}").alias("shape"), F.col(f"names_{y}").alias("n"))
+        sides = [self.matched.select(F.col(x).alias("representative"), F.col(f"names_{y}").alias("n"))
                  for x, y in ("ab", "ba")]
-        links = sides[0].unionByName(sides[1]).groupBy("shape").agg(F.sum("n").alias("more"))
-        counted = self.shapes.join(links, "shape", "left").select(
+        links = sides[0].unionByName(sides[1]).groupBy("representative").agg(F.sum("n").alias("more"))
+        counted = self.shapes.select("shape", "representative", "names").join(links, "representative", "left").select(
             "shape", "representative", "names",
             (F.col("names") - 1 + F.coalesce("more", F.lit(0).cast("long"))).alias("links"))
         return salted_join(self.sets.select("name", "shape"), counted, "shape", "name").select(
             "name", "representative", "names", "links")
 
+    def _named(self) -> DataFrame:
+        """The pairs of different shapes with the names of what they share."""
+        codes = self.matched.select("pair", F.explode("codes").alias("code"))
+        shared = (salted_join(codes, self.numbers, "code", "pair", "inner").select("pair", "member")
+                  .repartition("pair").groupBy("pair").agg(F.sort_array(F.collect_list("member")).alias("shared")))
+        return self.matched.drop("codes").join(shared, "pair").drop("pair")
+
+    def _copies(self) -> DataFrame:
+        return self.shapes.filter("names > 1").select(
+            F.col("representative").alias("a"), F.col("representative").alias("b"),
+            F.col("names").alias("names_a"), F.col("names").alias("names_b"),
+            F.lit(1.0).alias("overlap"), F.col("items").alias("shared"))
+
     def pairs(self) -> DataFrame:
         """(name_a, name_b, names_a, names_b, pairs, overlap, shared) of classes that overlap.
 
         ``name_a`` <= ``name_b`` are the representatives; ``pairs`` counts the pairs of names behind a row. A
         class of several names is a pair of its own, with itself.
         """
-        names = self.shapes.select("shape", "representative")
-        different = (self.matched
-                     .join(names.toDF("shape_a", "a"), "shape_a").join(names.toDF("shape_b", "b"), "shape_b")
-                     .select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"),
-                             F.when(F.col("a") < F.col("b"), F.col("names_a")).otherwise(F.col("names_b")).alias("names_a"),
-                             F.when(F.col("a") < F.col("b"), F.col("names_b")).otherwise(F.col("names_a")).alias("names_b"),
-                             (F.col("names_a") * F.col("names_b")).alias("pairs"), "overlap", "shared"))
-        copies = self.shapes.filter("names > 1").select(
-            F.col("representative").alias("name_a"), F.col("representative").alias("name_b"),
-            F.col("names").alias("names_a"), F.col("names").alias("names_b"),
-            F.expr("names * (names - 1) div 2").alias("pairs"), F.lit(1.0).alias("overlap"),
-            F.col("items").alias("shared"))
+        different = self._named().select(
+            F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"),
+            F.when(F.col("a") < F.col("b"), F.col("names_a")).otherwise(F.col("names_b")).alias("names_a"),
+            F.when(F.col("a") < F.col("b"), F.col("names_b")).otherwise(F.col("names_a")).alias("names_b"),
+            (F.col("names_a") * F.col("names_b")).alias("pairs"), "overlap", "shared")
+        copies = self._copies().select(
+            F.col("a").alias("name_a"), F.col("b").alias("name_b"), "names_a", "names_b",
+            F.expr("names_a * (names_a - 1) div 2").alias("pairs"), "overlap", "shared")
         return different.unionByName(copies)
 
+    def total(self) -> DataFrame:
+        """One row (pairs): how many pairs of names overlap, none of them made; null if there are none."""
+        different = self.matched.select((F.col("names_a") * F.col("names_b")).alias("pairs"))
+        copies = self.shapes.filter("names > 1").select(F.expr("names * (names - 1) div 2").alias("pairs"))
+        return different.unionByName(copies).agg(F.sum("pairs").alias("pairs"))
+
     def expanded(self) -> DataFrame:
         """(name_a, name_b, overlap, shared) for every pair of names; the square of the copies."""
-        copies = self.shapes.filter("names > 1").select(
-            F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"),
-            F.col("names").alias("names_a"), F.col("names").alias("names_b"),
-            F.lit(1.0).alias("overlap"), F.col("items").alias("shared"))
-        return _expand(self.sets, self.shapes, self.matched.unionByName(copies))
+        named = self._named()
+        alone = (F.col("names_a") == 1) & (F.col("names_b") == 1)  # each name is its class
+        several = named.filter(~alone).unionByName(self._copies())
+        return (named.filter(alone)
+                .select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), "overlap", "shared")
+                .unionByName(_expand(self.sets, self.shapes, several)))
 
 
 def overlaps(members: DataFrame, threshold: float) -> Overlaps:
@@ -99,10 +118,14 @@ def overlaps(members: DataFrame, threshold: float) -> Overlaps:
     sets = stage(
         members.filter(F.col("name").isNotNull() & F.col("member").isNotNull())
         .groupBy("name").agg(F.sort_array(F.collect_set("member")).alias("items"))
-        .withColumn("shape", F.unhex(F.sha2(F.to_json("items"), 256))), "sets")
+        # Half of the digest: 128 bits, and shapes group by their items too.
+        .withColumn("shape", F.unhex(F.left(F.sha2(F.to_json("items"), 256), F.lit(32)))), "sets")
     shapes = stage(sets.groupBy("shape", "items").agg(
         F.count(F.lit(1)).alias("names"), F.min("name").alias("representative")), "shapes")
-    return Overlaps(sets, shapes, stage(_matching_shapes(shapes, threshold), "matched"))
+    numbers = _numbered(shapes)
+    matched = _matching_shapes(shapes, numbers, threshold)
+    return Overlaps(sets, shapes, stage(
+        matched.select(F.monotonically_increasing_id().alias("pair"), *matched.columns), "matched"), numbers)
 
 
 def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
@@ -113,44 +136,56 @@ def overlapping_sets(members: DataFrame, threshold: float) -> DataFrame:
     return overlaps(members, threshold).expanded()
 
 
-def _matching_shapes(shapes: DataFrame, t: float) -> DataFrame:
-    exploded = shapes.select("shape", "names", F.explode("items").alias("member"))
-    uses = exploded.groupBy("member").agg(F.count(F.lit(1)).alias("uses"))
+def _numbered(shapes: DataFrame) -> DataFrame:
+    """(member, code) of the members of several shapes, numbered from the rarest on, with gaps."""
+    uses = shapes.select(F.explode("items").alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("uses"))
+    numbers = stage(uses.filter("uses > 1").orderBy("uses", "member")
+                    .select("member", F.monotonically_increasing_id().alias("id")), "numbers")
+    # The id is the task in the upper bits and the row within it in the lower 33; closer numbers take half the room.
+    task, row = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    tasks, rows = numbers.agg(F.coalesce(F.max(task), F.lit(0)) + 1, F.coalesce(F.max(row), F.lit(0)) + 1).first()
+    code = task * F.lit(rows).cast("long") + row
+    return numbers.select("member", code.cast("int" if tasks * rows < 1 << 31 else "long").alias("code"))
+
+
+def _matching_shapes(shapes: DataFrame, numbers: DataFrame, t: float) -> DataFrame:
+    exploded = shapes.select(F.col("representative").alias("id"), "names", F.size("items").alias("size"),
+                             F.explode("items").alias("member"))
+    coded = salted_join(exploded, numbers, "member", "id", "inner").select("id", "names", "size", "code")
     ranked = stage(
-        salted_join(exploded, uses, "member", "shape", "inner")
-        .groupBy("shape", "names")
-        .agg(F.sort_array(F.collect_list(F.struct("uses", "member"))).alias("rank"))
-        .select("shape", "names", F.col("rank.member").alias("items"),
-                F.size("rank").alias("size")), "ranked")
+        # Rows of a shape travel one by one: lists of one would be larger.
+        coded.repartition("id").groupBy("id", "names", "size")
+        .agg(F.sort_array(F.collect_list("code")).alias("codes")), "ranked")
 
     def heads(length: Column) -> DataFrame:
-        return (ranked.withColumn("head", F.slice("items", F.lit(1), length))
-                .select("shape", "names", "items", "size",
-                        F.posexplode("head").alias("pos", "member")))
+        # Members of this shape only are its rarest, so they stand before the codes.
+        left = F.greatest(length - (F.col("size") - F.size("codes")), F.lit(0))
+        return (ranked.withColumn("head", F.slice("codes", F.lit(1), left))
+                .select("id", "names", "codes", "size", F.posexplode("head").alias("at", "code")))
 
     size = F.col("size")
     larger = heads(size - _ceil(F.lit(t) * size) + 1).alias("a")
     smaller = heads(size - _ceil(F.lit(2 * t / (1 + t)) * size) + 1).alias("b")
     needed = _ceil(F.lit(t / (1 + t)) * (F.col("a.size") + F.col("b.size")))
-    left = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    left = F.least(F.size("a.codes") - F.col("a.at"), F.size("b.codes") - F.col("b.at"))
     in_order = (F.col("a.size") > F.col("b.size")) | (
-        (F.col("a.size") == F.col("b.size")) & (F.col("a.shape") > F.col("b.shape")))
+        (F.col("a.size") == F.col("b.size")) & (F.col("a.id") > F.col("b.id")))
     fits = in_order & (F.col("b.size") >= _ceil(F.lit(t) * F.col("a.size"))) & (left >= needed)
     # A pair meets at each member common to both heads; the first one counts.
     # It is the first when one head starts with it, or nothing before it is shared.
-    first = (F.col("a.pos") == 0) | (F.col("b.pos") == 0) | ~F.arrays_overlap(
-        F.slice("a.items", F.lit(1), F.col("a.pos")), F.slice("b.items", F.lit(1), F.col("b.pos")))
-    common = F.array_intersect("a.items", "b.items")
+    first = (F.col("a.at") == 0) | (F.col("b.at") == 0) | ~F.arrays_overlap(
+        F.slice("a.codes", F.lit(1), F.col("a.at")), F.slice("b.codes", F.lit(1), F.col("b.at")))
+    common = F.array_intersect("a.codes", "b.codes")
     count = F.size(common)
     overlap = count / (F.col("a.size") + F.col("b.size") - count)
     # Nested, because the optimizer reorders plain conjuncts and would
     # intersect the lists of every pair that meets.
     qualifies = F.when(fits, F.when(first, F.when(count >= needed, overlap >= t)))
     return (
-        larger.join(smaller, (F.col("a.member") == F.col("b.member")) & qualifies)
-        .select(F.col("a.shape").alias("shape_a"), F.col("b.shape").alias("shape_b"),
+        larger.join(smaller, (F.col("a.code") == F.col("b.code")) & qualifies)
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"),
                 F.col("a.names").alias("names_a"), F.col("b.names").alias("names_b"),
-                overlap.alias("overlap"), F.sort_array(common).alias("shared"))
+                overlap.alias("overlap"), common.alias("codes"))
     )
 
 
@@ -161,22 +196,22 @@ def _blocks(names: Column) -> Column:
 def _expand(sets: DataFrame, shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Name pairs behind shape pairs, one block of names against one block."""
     block = F.pmod(F.xxhash64("name"), _blocks(F.col("names"))).cast("int")
-    named = (sets.select("name", "shape").join(shapes.select("shape", "names"), "shape")
-             .select("name", "shape", block.alias("block")))
+    named = (sets.select("name", "shape").join(shapes.select("shape", "representative", "names"), "shape")
+             .select("name", "representative", block.alias("block")))
 
     def numbers(names: str) -> Column:
         return F.explode(F.sequence(F.lit(0), _blocks(F.col(names)) - 1))
 
-    same_shape = F.col("shape_a") == F.col("shape_b")
+    same_shape = F.col("a") == F.col("b")
     tiles = (pairs.withColumn("block_a", numbers("names_a"))
              .withColumn("block_b", numbers("names_b"))
              .filter(~same_shape | (F.col("block_a") <= F.col("block_b"))))
-    first = named.select(F.col("name").alias("x"), F.col("shape").alias("shape_a"),
+    first = named.select(F.col("name").alias("x"), F.col("representative").alias("a"),
                          F.col("block").alias("block_a"))
-    second = named.select(F.col("name").alias("y"), F.col("shape").alias("shape_b"),
+    second = named.select(F.col("name").alias("y"), F.col("representative").alias("b"),
                           F.col("block").alias("block_b"))
     mirrored = same_shape & (F.col("block_a") == F.col("block_b")) & (F.col("x") >= F.col("y"))
-    return (tiles.join(first, ["shape_a", "block_a"]).join(second, ["shape_b", "block_b"])
+    return (tiles.join(first, ["a", "block_a"]).join(second, ["b", "block_b"])
             .filter(~mirrored)
             .select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"),
                     "overlap", "shared"))

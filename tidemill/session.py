@@ -73,7 +73,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     its size.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

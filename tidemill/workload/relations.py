@@ -117,7 +117,8 @@ def schema_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every table also has the load stamp, the column found everywhere.
     """
-    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+    # Not spread: lines of a table that lie together meet before the shuffle.
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = F.concat(F.lit("p_"), F.col("l_partkey").cast("string"))
     return lines.select(
         F.concat(F.lit("ord_"), F.col("l_orderkey").cast("string")).alias("table_name"),
