@@ -166,3 +166,59 @@ def test_short_lines_keep_one_occurrence(docs):
              (4, "one two three four"), (5, "one two three four five")]
     got = {r.doc_id: r.text for r in ld.without_repeated_lines(docs(texts)).collect()}
     assert got == {1: texts[0][1], 2: "own text of two\n\n---", 3: "\n---\nShare on", 4: texts[3][1], 5: ""}
+
+
+def test_pairs_of_a_block_are_those_of_the_matrix():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 2, 9, ld.FEW + 1, 3, ld.STRIP + 40, 1, 3 * ld.STRIP])
+    words = rng.integers(4, 40, sizes.sum())
+    bins = np.stack([np.bincount(rng.integers(0, 5, n), minlength=ld.BINS) for n in words]).clip(0, 15).astype(np.int8)
+    want, at = set(), 0
+    for size in sizes:
+        i, j = np.nonzero(np.triu(ld._matrix(words[at:at + size], bins[at:at + size])))
+        want |= set(zip((at + i).tolist(), (at + j).tolist(), strict=True))
+        at += size
+    i, j = ld._close(words, bins, sizes)
+    got = list(zip(i.tolist(), j.tolist(), strict=True))
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_bags_never_part_similar_lines():
+    rng = random.Random(5)
+    for n in range(5, 60):
+        base = [f"w{rng.randrange(20)}" for _ in range(n)]
+        other = edited(rng, base, n // 5)
+        if ld.similar(base, other):
+            found = ld.lines_of(pa.array([" ".join(base), " ".join(other)]))
+            assert ld._matrix(found["words"], ld.bins_of([x.tobytes() for x in ld.bags_of(found)]))[0, 1]
+
+
+def test_a_first_partner_that_is_not_similar(docs):
+    """Lines with their halves exchanged share runs and bags but aren't similar; the similar ones still meet."""
+    rng = random.Random(6)
+    pairs = []
+    for i in range(25):
+        line = [f"v{rng.randrange(10**9)}" for _ in range(30)]
+        for j, x in enumerate((line, line[15:] + line[:15], [*line[:10], "edited", *line[11:]])):
+            pairs.append((3 * i + j, " ".join(x)))
+    got = sorted(((r.doc_id, r.text) for r in ld.without_repeated_lines(docs(pairs)).collect()), key=str)
+    assert got == brute(pairs)
+    assert sorted(i for i, text in got if not text) == list(range(2, 75, 3))
+
+
+def test_a_pair_is_looked_at_once(docs, monkeypatch):
+    """Near copies share most of their runs, but a group takes about as many looks as it has lines."""
+    rng = random.Random(9)
+    bases = [[f"v{rng.randrange(10**9)}" for _ in range(40)] for _ in range(4)]
+    pairs = [(i, " ".join(edited(rng, bases[i % 4], 2))) for i in range(120)]
+    looked = []
+    real = ld.confirmed
+
+    def counted(pairs, contents):
+        pairs = pairs.cache()
+        looked.append(pairs.count())
+        return real(pairs, contents)
+
+    monkeypatch.setattr(ld, "confirmed", counted)
+    assert len(ld.repeated_lines(docs(pairs)).collect()) == 116
+    assert looked[0] < 10 * 120 and looked[1] == 0

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import groups_of, parts_for, prepared, runs_of, stage, table
+from tidemill.llm.common import parts_for, prepared, runs_of, stage, table
 from tidemill.llm.components import components
-from tidemill.llm.near_dedup import LINKS, forest_of, link_batch, text_hash
+from tidemill.llm.near_dedup import link_batch, text_hash
 from tidemill.llm.words import hash_spans, mix, raw_bytes, word_bounds
 
 #: Lines of fewer words are left alone: blank lines and rules have none.
@@ -32,8 +32,9 @@ PART_RUNS = 3_000_000
 BINS = 64
 #: Lines of a bucket, and words of theirs, that one task compares with each other.
 BLOCK, BLOCK_WORDS = 1024, 200_000
-#: Members of a bucket up to which they are compared without arrays of their own.
-FEW = 12
+#: Members of a bucket up to which they are compared without arrays of their own, and lines of a
+#: larger one that are compared at once with those of like length.
+FEW, STRIP = 12, 128
 
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[65:91] += 32
@@ -259,23 +260,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The cleaned words of the lines asked for in ``wanted``."""
     for batch in batches:
-        out = [(w["key"], w["bag"], b" ".join(clean_words(lines[w["line"]])))
+        out = [(w["key"], b" ".join(clean_words(lines[w["line"]])))
                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)
                for lines in [text.encode().split(b"\n")] for w in wanted]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[i] for x in out], pa.binary()) for i in range(3)], ["key", "bag", "content"])
+            [pa.array([x[i] for x in out], pa.binary()) for i in range(2)], ["key", "content"])
 
 
 def _may(words: np.ndarray, bins: np.ndarray, other_words: np.ndarray, other_bins: np.ndarray) -> np.ndarray:
     """Which lines of one and the other side their lengths and bags allow to be similar.
 
-    An edit changes two counts at most; counts cut at 15 differ less, never more.
+    A replacement changes two counts at most, an insertion or a deletion one, and there are as
+    many of these as the lengths differ; counts cut at 15 differ less, never more.
     """
-    apart = np.zeros(np.broadcast_shapes(words.shape, other_words.shape), dtype=np.int16)
-    for a, b in zip(np.moveaxis(bins, -1, 0), np.moveaxis(other_bins, -1, 0), strict=True):
-        apart += np.abs(a - b)
-    most = most_edits(np.maximum(words, other_words))
-    return (np.abs(words - other_words) <= most) & (apart <= 2 * most)
+    shape = np.broadcast_shapes(words.shape, other_words.shape)
+    own, other = (np.ascontiguousarray(np.moveaxis(x, -1, 0)) for x in (bins, other_bins))
+    apart = np.zeros(shape, dtype=np.int16)
+    for at in range(0, BINS, 8):  # eight differences fit a byte
+        some = np.zeros(shape, dtype=np.int8)
+        for a, b in zip(own[at:at + 8], other[at:at + 8], strict=True):
+            some += np.abs(a - b)
+        apart += some
+    most, longer = most_edits(np.maximum(words, other_words)), np.abs(words - other_words)
+    return (longer <= most) & (apart <= 2 * most - longer)
 
 
 def _matrix(words: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -284,36 +291,50 @@ def _matrix(words: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return may
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each block of a bucket that may be similar to another one of it. Holds one block."""
+def _close(words: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i before j: the lines of each block that their lengths and bags allow to be similar."""
+    begin, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # Small blocks all at once, by how far apart two members stand.
+    inside = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+    for apart in range(1, FEW):
+        inside = inside[inside + apart < len(words)]
+        inside = inside[group[inside] == group[inside + apart]]
+        if not len(inside):
+            break
+        i = inside[np.abs(words[inside] - words[inside + apart]) <= most_edits(np.maximum(words[inside], words[inside + apart]))]
+        i = i[_may(words[i], bins[i], words[i + apart], bins[i + apart])]
+        first.append(i)
+        second.append(i + apart)
+    for at, size in zip(begin[sizes > FEW], sizes[sizes > FEW], strict=True):
+        own = slice(at, at + size)
+        if size <= STRIP:
+            i, j = np.nonzero(np.triu(_matrix(words[own], bins[own])))
+            first.append(at + i)
+            second.append(at + j)
+            continue
+        order = at + np.argsort(words[own], kind="stable")
+        lengths = words[order]
+        for low in range(0, size, STRIP):
+            mine = order[low:low + STRIP]
+            # No partner has more than 1 / SIMILARITY times the words.
+            other = order[low:np.searchsorted(lengths, lengths[low + len(mine) - 1] / SIMILARITY + 2)]
+            i, j = np.nonzero(np.triu(_may(words[mine][:, None], bins[mine][:, None], words[other][None], bins[other][None]), 1))
+            first.append(np.minimum(mine[i], other[j]))
+            second.append(np.maximum(mine[i], other[j]))
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole blocks of buckets, sorted, and how many rows each has. Holds one block and one batch."""
     names = ["bucket", "low", "high"]
     held: list[pa.RecordBatch] = []
 
-    def chosen(rows: pa.Table) -> pa.RecordBatch:
-        columns = [rows.column(n).to_numpy() for n in names]
+    def ended() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held)
         new = np.ones(rows.num_rows, dtype=bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        group = np.cumsum(new)
-        words, bins = rows.column("words").to_numpy().astype(np.int64), bins_of(rows.column("bag").to_pylist())
-        found = np.zeros(rows.num_rows, dtype=bool)
-        at = np.flatnonzero(new)
-        sizes = np.diff(np.append(at, rows.num_rows))
-        # Small groups all at once, by how far apart two members stand.
-        inside = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
-        for apart in range(1, FEW):
-            inside = inside[inside + apart < rows.num_rows]
-            inside = inside[group[inside] == group[inside + apart]]
-            if not len(inside):
-                break
-            other = inside + apart
-            close = inside[_may(words[inside], bins[inside], words[other], bins[other])]
-            found[close] = True
-            found[close + apart] = True
-        for begin, size in zip(at[sizes > FEW], sizes[sizes > FEW], strict=True):
-            own = slice(begin, begin + size)
-            found[own] = _matrix(words[own], bins[own]).any(axis=1)
-        out = rows.select([*names, "key"]).filter(pa.array(found)).combine_chunks()
-        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], out.schema.names)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (rows.column(n).to_numpy() for n in names)])
+        return rows, np.diff(np.append(np.flatnonzero(new), rows.num_rows))
 
     for batch in batches:
         if not batch.num_rows:
@@ -322,14 +343,44 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
         begin = int(last[-1]) + 1 if len(last) else 0
         if begin:
-            yield chosen(pa.Table.from_batches([*held, batch.slice(0, begin)]))
-            held = []
-        elif held and any(held[-1].column(n)[-1] != batch.column(n)[0] for n in names):
-            yield chosen(pa.Table.from_batches(held))
+            held.append(batch.slice(0, begin))
+        if held and (begin or any(held[-1].column(n)[-1] != batch.column(n)[0] for n in names)):
+            yield ended()
             held = []
         held.append(batch.slice(begin))
     if held:
-        yield chosen(pa.Table.from_batches(held))
+        yield ended()
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each block of a bucket that may be similar to another one of it; ``near`` is the
+    first such line, by key, where that comes before."""
+    for rows, sizes in _blocks(batches):
+        words, bins = rows.column("words").to_numpy().astype(np.int64), bins_of(rows.column("bag").to_pylist())
+        i, j = _close(words, bins, sizes)
+        found = np.zeros(rows.num_rows, dtype=bool)
+        found[i] = found[j] = True
+        near = np.full(rows.num_rows, rows.num_rows)
+        np.minimum.at(near, j, i)
+        near = pa.array(near, mask=near == rows.num_rows).filter(pa.array(found))
+        out = rows.select(["bucket", "low", "high", "key"]).filter(pa.array(found)).combine_chunks()
+        keys = rows.column("key").combine_chunks().take(near)
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in out.columns), keys], [*out.schema.names, "near"])
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of lines of each block that may be similar, lie in two groups so far and weren't looked at."""
+    for rows, sizes in _blocks(batches):
+        group = rows.column("component").to_numpy(zero_copy_only=False)
+        begin = np.cumsum(sizes) - sizes
+        mixed = np.add.reduceat(group != np.repeat(group[begin], sizes), begin) > 0
+        rows, sizes = rows.filter(pa.array(np.repeat(mixed, sizes))), sizes[mixed]
+        if not len(sizes):
+            continue
+        group, key, near = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("component", "key", "near"))
+        i, j = _close(rows.column("words").to_numpy().astype(np.int64), bins_of(rows.column("bag").to_pylist()), sizes)
+        new = (group[i] != group[j]) & (near[j] != key[i])
+        yield pa.RecordBatch.from_arrays([pa.array(key[i[new]], pa.binary()), pa.array(key[j[new]], pa.binary())], ["a", "b"])
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -369,22 +420,21 @@ def similar(a: list, b: list) -> bool:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links of every block of a bucket, as a spanning forest."""
-    found: list[tuple[bytes, bytes]] = []
-    for keys, bags, contents in groups_of(batches, ["bucket", "low", "high"], ["key", "bag", "content"]):
-        if len(keys) < 2:
-            continue
-        lines = [c.split(b" ") for c in contents]
-        if len(keys) == 2:  # most buckets
-            links = [(0, 1)] if similar(*lines) else []
-        else:
-            may = _matrix(np.array([len(x) for x in lines]), bins_of(bags))
-            links = forest_of(may, lambda i, j: similar(lines[i], lines[j]))  # noqa: B023
-        found += [(keys[i], keys[j]) for i, j in links]
-        if len(found) >= LINKS:
-            yield link_batch(found)
-            found = []
-    yield link_batch(found)
+    """The pairs of lines whose words are similar."""
+    for batch in batches:
+        rows = zip(*(batch.column(n).to_pylist() for n in ("a", "b", "words_a", "words_b")), strict=True)
+        yield link_batch([(a, b) for a, b, own, other in rows if similar(own.split(b" "), other.split(b" "))])
+
+
+def confirmed(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Links (a, b): those of the pairs that are similar, each looked at once.
+
+    The parts are as many as the session names: pairs are small, and looking at them takes long.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(contents.select(F.col("key").alias(side), F.col("content").alias(f"words_{side}")), side)
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts, "a", "b").mapInArrow(_linked, "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,7 +451,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents share is one entry. Similar lines share a run of words (``run_sizes``): runs
     travel packed, and only those of several lines become rows. Buckets of the same lines
     count once, large ones are dealt out in blocks; only lines whose length and bag of words
-    allow a partner in their block go on, with their words, to verification. Lines of up
+    allow a partner in their block go on. Verification takes two rounds, and looks at a pair
+    once however many runs it shares: first each line and the first partner of every
+    block, which joins most of a group; then the pairs that still lie in two groups. Lines of up
     to RUNS words miss no partner; of longer ones a share of the runs, by hash, is looked
     at, and a pair is missed with a chance of 6e-5 at the worst spread of edits.
     """
@@ -428,18 +480,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = (in_bucket.join(buckets, "bucket").select(
         "bucket", "key", "words", "bag", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "words", "bag"))
-    likely = stage(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-                   .mapInArrow(_likely, "bucket long, low int, high int, key binary"), "likely")
-    active = unique.join(likely.select("key").distinct(), "key", "left_semi").select("key", "bag", "first")
+    order = ["bucket", "low", "high"]
+    likely = stage(dealt.repartition(*order).sortWithinPartitions(*order, "key")
+                   .mapInArrow(_likely, "bucket long, low int, high int, key binary, near binary"), "likely")
+    active = stage(unique.join(likely.select("key").distinct(), "key", "left_semi").select("key", "words", "bag", "first"), "active")
     wanted = active.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
-        F.collect_list(F.struct("key", "bag", F.col("first.line").alias("line"))).alias("wanted"))
+        F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("wanted"))
     same = marked["doc_id"].eqNullSafe(wanted["doc_id"]) & (marked["text_hash"] == wanted["text_hash"])
-    contents = (marked.join(wanted, same).select("text", "wanted")
-                .mapInArrow(_chosen_lines, "key binary, bag binary, content binary")
-                .groupBy("key").agg(F.any_value("bag").alias("bag"), F.any_value("content").alias("content")))
-    links = (likely.join(contents, "key").select("bucket", "low", "high", "key", "bag", "content")
-             .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-             .mapInArrow(_linked, "a binary, b binary"))
+    contents = stage(marked.join(wanted, same).select("text", "wanted")
+                     .mapInArrow(_chosen_lines, "key binary, content binary")
+                     .groupBy("key").agg(F.any_value("content").alias("content")), "line-words")
+    nearest = likely.filter("near is not null").select(F.col("near").alias("a"), F.col("key").alias("b")).distinct()
+    joined = stage(components(confirmed(nearest, contents)), "line-groups")
+    so_far = active.join(joined, F.col("key") == F.col("node"), "left").select(
+        "key", "words", "bag", F.coalesce("component", "key").alias("component"))
+    parted = (likely.join(so_far, "key").repartition(*order).sortWithinPartitions(*order, "key")
+              .mapInArrow(_parted, "a binary, b binary").distinct())
+    links = confirmed(parted, contents).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
     reached = stage(components(links), "line-groups")
     heads = unique.select("key", "times", "first").join(reached, F.col("key") == F.col("node"), "left")
     alone = heads.filter("component is null and times > 1").select("key", "first")
