@@ -104,3 +104,17 @@ def test_few_or_no_documents(frame):
 def test_a_very_long_text(frame):
     rows = [("lorem Ipsum dolor " * 60_000, "en", "long")] + rows_of(random.Random(3), 120, langs=("en",))
     assert got(sa.divergence(frame(rows), min_docs=10)) == by_hand(rows, min_docs=10)
+
+
+def test_terms_travel_once_for_each_bit_of_their_count(frame):
+    """A term that occurs 1000 times is in 8 rows at most, not in 1000 entries; the rows add up to all counts."""
+    rows = [("Aa " * 1000 + "b c b", "en", "s"), (None, "de", "t"), ("é " * 4, None, None), ("aa", "en", "s")]
+    got = sa.marked_terms(frame(rows)).collect()
+    assert sum(len(r.terms) for r in got) <= 25
+    counts, documents = Counter(), Counter()
+    for r in got:
+        counts.update({(r.lang, r.source, t): 2 ** max(r.part - 1, 0) for t in r.terms})
+        documents.update(t for t in r.terms if r.part == 0)
+    assert counts == {("en", "s", "en\x00aa"): 1001, ("en", "s", "en\x00b"): 2, ("en", "s", "en\x00c"): 1,
+                      ("", "", "\x00é"): 4, ("en", "s", "\x00"): 2, ("de", "t", "\x00"): 1, ("", "", "\x00"): 1}
+    assert documents["en\x00aa"] == 2 and documents["\x00"] == 4

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,50 +58,64 @@ def _lists(flat: pa.Array, owner: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def _marked(sampled: int):
-    """The terms of all texts at once, each led by its text's language and MARK; and some of them, once a text."""
+    """A row of each text's terms, once each and led by its language and MARK, and by MARK alone; then for each
+    bit of how often terms occur besides, a row of those that have it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             raw, offsets = raw_bytes(batch.column("text"))
             raw = LOWER[raw]
             starts, ends, owner = _spans(raw, offsets)
-            leads = [(lang + MARK).encode() for lang in batch.column("lang").to_pylist()]
-            lead, sizes = np.frombuffer(b"".join(leads), dtype=np.uint8), np.array([len(x) for x in leads], dtype=np.int64)
-            ahead, own = sizes[owner], ends - starts
-            edges = np.concatenate([[0], np.cumsum(ahead + own)])
-            data = np.empty(int(edges[-1]), dtype=np.uint8)
-            for source, begin, length, shift in ((lead, (np.cumsum(sizes) - sizes)[owner], ahead, 0 * ahead),
-                                                 (raw, starts, own, ahead)):
-                along = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-                data[np.repeat(edges[:-1] + shift, length) + along] = source[np.repeat(begin, length) + along]
-            flat = pa.Array.from_buffers(pa.string(), len(starts), [
-                None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-            hashes = hash_spans(raw, starts, ends)
-            some = np.flatnonzero(hashes % np.uint64(sampled) == 0)
-            _, first = np.unique(np.stack([owner[some].astype(np.uint64), hashes[some]]), axis=1, return_index=True)
-            some = np.sort(some[first])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("source"), _lists(flat, owner, n),
-                 _lists(flat.take(pa.array(some)), owner[some], n)], ["lang", "source", "terms", "some"])
+            edges = np.concatenate([[0], np.cumsum(ends - starts)])
+            coded = pa.Array.from_buffers(pa.string(), len(starts), [
+                None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(raw[_INSIDE[raw]].tobytes())]).dictionary_encode()
+            codes, size = coded.indices.to_numpy(), max(1, len(coded.dictionary))
+            key, times = np.unique(owner * size + codes, return_counts=True)
+            owner, code, times = key // size, key % size, times - 1
+            lang = batch.column("lang").dictionary_encode()
+            led, which = np.unique(lang.indices.to_numpy()[owner] * size + code, return_inverse=True)
+            terms = pc.binary_join_element_wise(
+                lang.dictionary.take(pa.array(led // size)), coded.dictionary.take(pa.array(led % size)), MARK)
+            terms = pa.concat_arrays([terms, pa.array([MARK])])
+            known, ends = raw_bytes(coded.dictionary)
+            some = np.flatnonzero((hash_spans(known, ends[:-1], ends[1:]) % np.uint64(sampled) == 0)[code])
+
+            def rows(part: int, flat: np.ndarray, owners: np.ndarray, picked: np.ndarray) -> pa.RecordBatch:
+                own = np.unique(owners)
+                place = np.searchsorted(own, owners)
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("lang").take(pa.array(own)), batch.column("source").take(pa.array(own)),  # noqa: B023
+                     pa.array(np.full(len(own), part), pa.int32()), _lists(terms.take(pa.array(flat)), place, len(own)),  # noqa: B023
+                     _lists(terms.take(pa.array(which[picked])), owner[picked], len(own))],  # noqa: B023
+                    ["lang", "source", "part", "terms", "some"])
+
+            first = np.searchsorted(owner, np.arange(n))
+            yield rows(0, np.insert(which, first, len(led)), np.insert(owner, first, np.arange(n)), some)
+            for bit in range(int(times.max(initial=0)).bit_length()):
+                has = np.flatnonzero(times >> bit & 1)
+                yield rows(bit + 1, which[has], owner[has], some[:0])
 
     return run
 
 
 def marked_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                  source_col: str = "source") -> DataFrame:
-    """(lang, source, terms, some): every document's words, each led by its language; nulls count as empty.
+    """(lang, source, part, terms, some): every document's words, each led by its language; nulls count as empty.
 
+    A document has a row with part 0 that holds each of its terms once, and MARK. What a term occurs
+    besides is a sum of powers of two: the row with part p > 0 holds the terms that have 2 ** (p - 1) in it.
+    So vectors need a term as often as its count has bits, not as often as it occurs.
     ``some`` has those of one term in SAMPLED, by hash, that the document holds, once each.
     """
     def known(name: str, alias: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias)
 
     return docs.select(known(lang_col, "lang"), known(source_col, "source"), known(text_col, "text")).mapInArrow(
-        _marked(SAMPLED), "lang string, source string, terms array<string>, some array<string>")
+        _marked(SAMPLED), "lang string, source string, part int, terms array<string>, some array<string>")
 
 
 def _of_slice(i: int, slices: int) -> Column:
-    return F.filter("terms", lambda term: F.pmod(F.xxhash64(term), F.lit(slices)) == i)
+    return F.filter("terms", lambda term: (F.pmod(F.xxhash64(term), F.lit(slices)) == i) | (term == MARK))
 
 
 def vocabularies(documents: DataFrame, min_docs: int, slice_terms: int) -> int:
@@ -119,7 +134,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _blocks(most: int, width: int):
-    """The sum of a task's sparse vectors for every source, in blocks of neighbouring entries."""
+    """The sum of a task's sparse vectors, times their weights, for every source, in blocks of neighbouring entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         keys, counts, held = [], [], 0
@@ -142,7 +157,8 @@ def _blocks(most: int, width: int):
             indices, values = batch.column("indices"), batch.column("values")
             sizes = np.diff(np.asarray(indices.offsets))
             keys.append(np.repeat(code << 32, sizes) + np.asarray(indices.flatten(), dtype=np.int64))
-            counts.append(np.asarray(values.flatten()).astype(np.int64))
+            weight = batch.column("weight").to_numpy()
+            counts.append(np.asarray(values.flatten()).astype(np.int64) * np.repeat(weight, sizes))
             held += len(keys[-1])
             if held > most:
                 key, count = _summed(keys, counts)
@@ -188,22 +204,24 @@ def term_sums(documents: DataFrame, min_docs: int = MIN_DOCS, slice_terms: int =
     CountVectorizer with a minimum number of documents and no limit to its
     vocabulary does what one for each language would. Its vocabulary reaches
     the driver and every task, so terms are dealt by hash into vocabularies
-    of bounded size; documents become sparse vectors over each. Tasks add up the vectors of
-    every source and send the sums in blocks of entries.
+    of bounded size; it is fitted on the documents' distinct terms. Documents become sparse vectors over
+    each, the sum of their parts' vectors times weights. Tasks add up the vectors of every source and send
+    the sums in blocks of entries.
     """
     spark = documents.sparkSession
     parts = []
-    if documents.limit(min_docs).count() >= min_docs:  # with fewer documents no term is kept
-        slices = vocabularies(documents, min_docs, slice_terms)
+    whole = documents.filter("part = 0")
+    if whole.limit(min_docs).count() >= min_docs:  # with fewer documents no term is kept
+        slices = vocabularies(whole, min_docs, slice_terms)
         for i in range(slices):
-            terms = F.col("terms") if slices == 1 else _of_slice(i, slices)
             # MARK is in every document, so that no vocabulary is empty.
-            own = documents.select("lang", "source", F.concat(F.array(F.lit(MARK)), terms).alias("terms"))
+            terms = (F.col("terms") if slices == 1 else _of_slice(i, slices)).alias("terms")
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
-                                    vocabSize=2**31 - 1).fit(own)
+                                    vocabSize=2**31 - 1).fit(whole.select(terms))
             vector = F.unwrap_udt("vector")
-            vectors = model.transform(own).select(
-                "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
+            weight = F.pow(F.lit(2), F.greatest(F.col("part") - 1, F.lit(0))).cast("long").alias("weight")
+            vectors = model.transform(documents.select("source", weight, terms)).select(
+                "source", "weight", vector["indices"].alias("indices"), vector["values"].alias("values"))
             blocks = vectors.mapInArrow(_blocks(HELD, BLOCK), "source string, block int, at array<int>, n array<long>")
             sums = (blocks.repartition("source", "block").sortWithinPartitions("source", "block")
                     .mapInArrow(_entries(BLOCK), "source string, index int, n long"))
@@ -291,7 +309,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, slice_
     cells = stage(term_sums(documents, min_docs, slice_terms), "cells")
     whole = cells.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     langs = whole.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    found = documents.select("lang", "source").distinct()
+    found = documents.filter("part = 0").select("lang", "source").distinct()
     own = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     none = F.lit(0).cast("long")
     in_lang = W.partitionBy("lang")  # one row for each source
