@@ -222,3 +222,40 @@ def test_a_pair_is_looked_at_once(docs, monkeypatch):
     monkeypatch.setattr(ld, "confirmed", counted)
     assert len(ld.repeated_lines(docs(pairs)).collect()) == 116
     assert looked[0] < 10 * 120 and looked[1] == 0
+
+
+def block_rows(rng, bases, copies, edits):
+    """A block of near copies, as the tasks get it: batches of lines with their words and bags, sorted."""
+    lines = sorted({" ".join(edited(rng, base, edits)) for base in bases for _ in range(copies)})
+    found = ld.lines_of(pa.array(lines), sims=False)
+    n = len(lines)
+    names = [str(i).zfill(6).encode() for i in range(n)]
+    columns = {"bucket": pa.array([7] * n), "low": pa.array([0] * n, pa.int32()), "high": pa.array([0] * n, pa.int32()),
+               "key": pa.array(names, pa.binary()), "words": pa.array(found["words"], pa.int32()),
+               "bag": pa.array([x.tobytes() for x in ld.bags_of(found)], pa.binary()),
+               "component": pa.array(names, pa.binary()), "content": pa.array([x.encode() for x in lines], pa.binary())}
+    return lines, pa.table(columns).to_batches(max_chunksize=50)
+
+
+def test_blocks_make_no_more_rows_than_they_have_lines():
+    """Near copies in groups of their own so far: the rows grow with the lines, not with their pairs."""
+    rng = random.Random(12)
+    bases = [[f"v{rng.randrange(10**9)}" for _ in range(60)] for _ in range(3)]
+    for copies in (20, 80):
+        lines, batches = block_rows(rng, bases, copies, 2)
+        first = pa.Table.from_batches(ld._likely(iter(batches)))
+        assert first.num_rows == len(lines) and first.num_rows - first.column("a").null_count == len(lines) - 3
+        assert sum(b.num_rows for b in ld._parted(iter(batches))) == len(lines)
+        pairs = [p for b in ld._joining(iter(batches)) for p in zip(*(b.column(n).to_pylist() for n in ("a", "b")), strict=True)]
+        assert len(pairs) == len(lines) - 3
+        assert all(ld.similar(lines[int(a)].split(), lines[int(b)].split()) for a, b in pairs)
+
+
+def test_bags_count_repeated_words():
+    """Lines of the same words, repeated unlike, don't pass; one word more or less is one bit."""
+    lines = ["a " * 300 + "b " * 30, "a " * 30 + "b " * 300, "a " * 301 + "b " * 30]
+    found = ld.lines_of(pa.array(lines), sims=False)
+    bags = ld.bags_of(found)
+    assert [int(np.bitwise_count(bags[0] ^ bags[n]).sum()) for n in (0, 2)] == [0, 1]
+    assert ld._matrix(found["words"], ld.bins_of([x.tobytes() for x in bags])).tolist() == [
+        [False, False, True], [False, False, False], [True, False, False]]

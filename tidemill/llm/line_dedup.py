@@ -28,10 +28,12 @@ RUN = 4
 RUNS = 48
 #: Runs that one task sorts at once.
 PART_RUNS = 3_000_000
-#: Counts of a line's words, by hash, of four bits each.
+#: Bytes of a line's bag of words, each bit the parity of the words that hash to it.
 BINS = 64
-#: Lines of a bucket, and words of theirs, that one task compares with each other.
-BLOCK, BLOCK_WORDS = 1024, 200_000
+#: Lines of a bucket that one task compares with each other.
+BLOCK = 1024
+#: Rows of whole blocks that are compared at once.
+BLOCK_ROWS = 4096
 #: Members of a bucket up to which they are compared without arrays of their own, and lines of a
 #: larger one that are compared at once with those of like length.
 FEW, STRIP = 12, 128
@@ -134,6 +136,24 @@ def run_sizes(words: int) -> list[int]:
 _SIZES = [run_sizes(n) for n in range(17)]
 
 
+def _numbered(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The values; the n-th occurrence of one with the same owner is a value of its own."""
+    mixed = mix(values + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ordered = np.sort(mixed)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return values
+    # Few repeat: only those are put in order with their owners.
+    at = np.flatnonzero(again[np.minimum(np.searchsorted(again, mixed), len(again) - 1)] == mixed)
+    at = at[np.lexsort((values[at], owner[at]))]
+    value, line = values[at], owner[at]
+    begin = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (line[1:] != line[:-1])]))
+    times = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    out = values.copy()
+    out[at] = np.where(times > 0, mix(value + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), value)
+    return out
+
+
 def runs_in(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line) of the runs by which lines meet.
 
@@ -156,30 +176,27 @@ def runs_in(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         every.append(mix(run))
         owners.append(line_of[at])
     run, owner = np.concatenate(every), np.concatenate(owners)
-    order = np.lexsort((run, owner))
-    run, owner = run[order], owner[order]
-    if not len(run):
-        return run, owner
-    new = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])
-    begin = np.flatnonzero(new)
-    times = np.arange(len(run)) - np.repeat(begin, np.diff(np.append(begin, len(run))))
-    run = np.where(times > 0, mix(run + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), run)
-    share = np.minimum(RUNS / words[owner], 1.0)
+    run = _numbered(run, owner)
+    share = np.minimum(RUNS / words, 1.0)[owner]
     keep = (share >= 1) | ((run >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share)
     return run[keep], owner[keep]
 
 
 def bags_of(found: dict[str, np.ndarray]) -> np.ndarray:
-    """How many of each line's words fall into each of BINS bins, up to 15, two in a byte."""
+    """BINS bytes for each line, each bit the parity of the words that hash to it.
+
+    The n-th occurrence of a word counts as a word of its own: one word more or less
+    changes one bit.
+    """
     lines = np.repeat(np.arange(len(found["words"])), found["words"])
-    at = lines * BINS + (mix(found["hashes"]) >> np.uint64(58)).astype(np.int64)
-    counts = np.minimum(np.bincount(at, minlength=len(found["words"]) * BINS), 15).astype(np.uint8).reshape(-1, BINS)
-    return counts[:, ::2] | counts[:, 1::2] << 4
+    bit = mix(_numbered(found["hashes"], lines)) % np.uint64(8 * BINS)
+    bags = np.zeros(len(found["words"]) * (BINS // 8), dtype=np.uint64)
+    np.bitwise_xor.at(bags, lines * (BINS // 8) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return bags.view(np.uint8).reshape(-1, BINS)
 
 
 def bins_of(bags: list[bytes]) -> np.ndarray:
-    packed = np.frombuffer(b"".join(bags), dtype=np.uint8).reshape(-1, BINS // 2)
-    return np.concatenate([packed & 15, packed >> 4], axis=1).astype(np.int8)
+    return np.frombuffer(b"".join(bags), dtype=np.int8).reshape(-1, BINS)
 
 
 def _names(keys: np.ndarray, width: int = 16) -> pa.Array:
@@ -200,38 +217,46 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows),
              pa.array(found["line"], pa.int32()), _names(found["key"]),
              pa.array(_marks(found["key"]).view(np.int64)), pa.array(found["words"], pa.int32()),
-             _names(bags_of(found), BINS // 2)],
+             _names(bags_of(found), BINS)],
             ["doc_id", "text_hash", "line", "key", "mark", "words", "bag"])
 
 
-def _short(values: np.ndarray, low: int) -> np.ndarray:
-    """Six bytes of each number, from byte ``low`` on."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, low:low + 6]
+def _short(values: np.ndarray, low: int, width: int) -> np.ndarray:
+    """So many bytes of each number, from byte ``low`` on."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, low:low + width])
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+def _long(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
     return out.view(np.uint64).reshape(-1)
 
 
+def _distinct(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The lines of a batch, equal ones once."""
+    once = np.sort(np.unique(found["key"][:, 0], return_index=True)[1])
+    kept = np.zeros(len(found["words"]), dtype=bool)
+    kept[once] = True
+    words = found["words"][once]
+    return {"words": words, "key": found["key"][once], "hashes": found["hashes"][np.repeat(kept, found["words"])],
+            "first": np.concatenate([[0], np.cumsum(words)])}
+
+
 def _runs(parts: int):
-    """Per part of the hashes, the runs of a batch and the marks of their lines, packed."""
+    """Per part of the hashes, the runs of a batch and the marks of their lines, packed.
+
+    The part stands for the first bits of a run, so five bytes tell runs apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = lines_of(batch.column("text"), sims=False)
-            # Equal lines of a batch count once.
-            _, once = np.unique(found["key"][:, 0], return_index=True)
+            found = _distinct(lines_of(batch.column("text"), sims=False))
             runs, owner = runs_in(found)
-            wanted = np.zeros(len(found["words"]), dtype=bool)
-            wanted[once] = True
-            runs, owner = runs[wanted[owner]], owner[wanted[owner]]
             order = np.argsort(runs)
             runs, marks = runs[order], _marks(found["key"])[owner[order]]
             part = ((runs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edges))
-            runs, marks = _short(runs, 2), _short(marks, 0)
+            runs, marks = _short(runs, 2, 5), _short(marks, 0, 6)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int32()),
                  pa.array([runs[edges[p]:edges[p + 1]].tobytes() for p in some], pa.binary()),
@@ -241,20 +266,28 @@ def _runs(parts: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of a part that several lines have, with the lines' marks."""
+    """The lines, by mark, of the runs of a part that several have. A bucket is named by its
+    lines, so that runs of the same lines are one bucket; ``m`` is their number."""
     for group in runs_of(batches, ["part"]):
-        runs = _long(b"".join(group.column("runs").to_pylist()))
-        marks = _long(b"".join(group.column("marks").to_pylist()))
+        runs = _long(b"".join(group.column("runs").to_pylist()), 5)
+        marks = _long(b"".join(group.column("marks").to_pylist()), 6)
         order = np.lexsort((marks, runs))
         runs, marks = runs[order], marks[order]
         new = np.ones(len(runs), dtype=bool)
         new[1:] = (runs[1:] != runs[:-1]) | (marks[1:] != marks[:-1])
         runs, marks = runs[new], marks[new]
-        several = np.zeros(len(runs), dtype=bool)
-        several[1:] = runs[1:] == runs[:-1]
-        several[:-1] |= several[1:]
+        begin = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
+        m = np.diff(np.append(begin, len(runs)))
+        marks, begin, m = marks[np.repeat(m > 1, m)], begin[m > 1], m[m > 1]
+        if not len(m):
+            continue
+        bucket = mix(np.add.reduceat(mix(marks + np.uint64(1)), np.cumsum(m) - m) + m.astype(np.uint64))
+        once = np.zeros(len(m), dtype=bool)
+        once[np.unique(bucket, return_index=True)[1]] = True
+        marks, bucket, m = marks[np.repeat(once, m)], bucket[once], m[once]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(runs[several].view(np.int64)), pa.array(marks[several].view(np.int64))], ["bucket", "mark"])
+            [pa.array(np.repeat(bucket, m).view(np.int64)), pa.array(marks.view(np.int64)), pa.array(np.repeat(m, m))],
+            ["bucket", "mark", "m"])
 
 
 def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,22 +300,23 @@ def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [pa.array([x[i] for x in out], pa.binary()) for i in range(2)], ["key", "content"])
 
 
-def _may(words: np.ndarray, bins: np.ndarray, other_words: np.ndarray, other_bins: np.ndarray) -> np.ndarray:
-    """Which lines of one and the other side their lengths and bags allow to be similar.
+def _room(words: np.ndarray, bins: np.ndarray, other_words: np.ndarray, other_bins: np.ndarray) -> np.ndarray:
+    """How many bits more the bags of one and the other side could differ in; below 0 if lines aren't similar.
 
-    A replacement changes two counts at most, an insertion or a deletion one, and there are as
-    many of these as the lengths differ; counts cut at 15 differ less, never more.
+    A replacement changes two bits at most, an insertion or a deletion one, and there are as
+    many of these as the lengths differ.
     """
-    shape = np.broadcast_shapes(words.shape, other_words.shape)
-    own, other = (np.ascontiguousarray(np.moveaxis(x, -1, 0)) for x in (bins, other_bins))
-    apart = np.zeros(shape, dtype=np.int16)
-    for at in range(0, BINS, 8):  # eight differences fit a byte
-        some = np.zeros(shape, dtype=np.int8)
-        for a, b in zip(own[at:at + 8], other[at:at + 8], strict=True):
-            some += np.abs(a - b)
-        apart += some
+    apart = np.zeros(np.broadcast_shapes(words.shape, other_words.shape), dtype=np.int16)
+    own, other = (np.ascontiguousarray(x).view(np.uint64) for x in (bins, other_bins))
+    for at in range(own.shape[-1]):
+        apart += np.bitwise_count(own[..., at] ^ other[..., at])
     most, longer = most_edits(np.maximum(words, other_words)), np.abs(words - other_words)
-    return (longer <= most) & (apart <= 2 * most - longer)
+    return np.where(longer <= most, np.minimum(2 * most - longer - apart, 32767), -1).astype(np.int16)
+
+
+def _may(words: np.ndarray, bins: np.ndarray, other_words: np.ndarray, other_bins: np.ndarray) -> np.ndarray:
+    """Which lines of one and the other side their lengths and bags allow to be similar."""
+    return _room(words, bins, other_words, other_bins) >= 0
 
 
 def _matrix(words: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -293,8 +327,13 @@ def _matrix(words: np.ndarray, bins: np.ndarray) -> np.ndarray:
 
 def _close(words: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j), i before j: the lines of each block that their lengths and bags allow to be similar."""
+    return _with_room(words, bins, sizes)[:2]
+
+
+def _with_room(words: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of ``_close``, and the room of each."""
     begin, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first, second, rooms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
     # Small blocks all at once, by how far apart two members stand.
     inside = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
     for apart in range(1, FEW):
@@ -303,15 +342,19 @@ def _close(words: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.n
         if not len(inside):
             break
         i = inside[np.abs(words[inside] - words[inside + apart]) <= most_edits(np.maximum(words[inside], words[inside + apart]))]
-        i = i[_may(words[i], bins[i], words[i + apart], bins[i + apart])]
+        room = _room(words[i], bins[i], words[i + apart], bins[i + apart])
+        i = i[room >= 0]
         first.append(i)
         second.append(i + apart)
+        rooms.append(room[room >= 0])
     for at, size in zip(begin[sizes > FEW], sizes[sizes > FEW], strict=True):
         own = slice(at, at + size)
         if size <= STRIP:
-            i, j = np.nonzero(np.triu(_matrix(words[own], bins[own])))
+            room = _room(words[own][:, None], bins[own][:, None], words[own][None], bins[own][None])
+            i, j = np.nonzero(np.triu(room >= 0, 1))
             first.append(at + i)
             second.append(at + j)
+            rooms.append(room[i, j])
             continue
         order = at + np.argsort(words[own], kind="stable")
         lengths = words[order]
@@ -319,14 +362,16 @@ def _close(words: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.n
             mine = order[low:low + STRIP]
             # No partner has more than 1 / SIMILARITY times the words.
             other = order[low:np.searchsorted(lengths, lengths[low + len(mine) - 1] / SIMILARITY + 2)]
-            i, j = np.nonzero(np.triu(_may(words[mine][:, None], bins[mine][:, None], words[other][None], bins[other][None]), 1))
+            room = _room(words[mine][:, None], bins[mine][:, None], words[other][None], bins[other][None])
+            i, j = np.nonzero(np.triu(room >= 0, 1))
             first.append(np.minimum(mine[i], other[j]))
             second.append(np.maximum(mine[i], other[j]))
-    return np.concatenate(first), np.concatenate(second)
+            rooms.append(room[i, j])
+    return np.concatenate(first), np.concatenate(second), np.concatenate(rooms)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole blocks of buckets, sorted, and how many rows each has. Holds one block and one batch."""
+    """Whole blocks of buckets, sorted, and how many rows each has. Holds one block, or BLOCK_ROWS of several, and one batch."""
     names = ["bucket", "low", "high"]
     held: list[pa.RecordBatch] = []
 
@@ -344,7 +389,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         begin = int(last[-1]) + 1 if len(last) else 0
         if begin:
             held.append(batch.slice(0, begin))
-        if held and (begin or any(held[-1].column(n)[-1] != batch.column(n)[0] for n in names)):
+        border = held and (begin or any(held[-1].column(n)[-1] != batch.column(n)[0] for n in names))
+        if border and sum(x.num_rows for x in held) >= BLOCK_ROWS:
             yield ended()
             held = []
         held.append(batch.slice(begin))
@@ -352,35 +398,107 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield ended()
 
 
+def _tree(n: int, i: np.ndarray, j: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a spanning forest over n lines, of those whose bags are most alike for their lengths."""
+    order = np.argsort(-room, kind="stable")
+    i, j = i[order], j[order]
+    head = np.arange(n)
+    chosen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        a, b = head[i], head[j]
+        apart = a != b
+        if not apart.any():
+            return np.concatenate(chosen[0]), np.concatenate(chosen[1])
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        # Each head but the smallest of its neighbours goes to a smaller one, by the first pair that has one.
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        by = np.full(len(head), -1)
+        by[high[::-1]] = np.arange(len(high))[::-1]
+        by = by[by >= 0]
+        chosen[0].append(i[by])
+        chosen[1].append(j[by])
+        head[high[by]] = low[by]
+        while (head != (over := head[head])).any():
+            head = over
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each block of a bucket that may be similar to another one of it; ``near`` is the
-    first such line, by key, where that comes before."""
+    """The lines of each block of a bucket that may be similar to another one of it; ``a`` and ``b``
+    are the pairs of a spanning forest, one less than lines that hang together."""
     for rows, sizes in _blocks(batches):
         words, bins = rows.column("words").to_numpy().astype(np.int64), bins_of(rows.column("bag").to_pylist())
-        i, j = _close(words, bins, sizes)
+        i, j, room = _with_room(words, bins, sizes)
         found = np.zeros(rows.num_rows, dtype=bool)
         found[i] = found[j] = True
-        near = np.full(rows.num_rows, rows.num_rows)
-        np.minimum.at(near, j, i)
-        near = pa.array(near, mask=near == rows.num_rows).filter(pa.array(found))
+        i, j = _tree(rows.num_rows, i, j, room)
+        # A pair stands in the row of one of its lines or, like most rows, of another one: rows are more than pairs.
+        ends = np.full((2, rows.num_rows), -1)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(group[i], kind="stable")
+        i, j = i[order], j[order]
+        free = np.flatnonzero(found)
+        rank = np.arange(len(i)) - np.searchsorted(group[i], group[i])
+        at = free[np.searchsorted(group[free], group[i]) + rank]
+        ends[:, at] = i, j
+        key = rows.column("key").combine_chunks()
         out = rows.select(["bucket", "low", "high", "key"]).filter(pa.array(found)).combine_chunks()
-        keys = rows.column("key").combine_chunks().take(near)
-        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in out.columns), keys], [*out.schema.names, "near"])
+        pairs = [key.take(pa.array(x, mask=x < 0)).filter(pa.array(found)) for x in ends]
+        yield pa.RecordBatch.from_arrays(
+            [*(c.combine_chunks() for c in out.columns), *pairs], [*out.schema.names, "a", "b"])
 
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of lines of each block that may be similar, lie in two groups so far and weren't looked at."""
+    """The lines of each block that may be similar to one of it that lies in another group so far."""
+    names = ["bucket", "low", "high", "key", "words", "bag", "component"]
     for rows, sizes in _blocks(batches):
-        group = rows.column("component").to_numpy(zero_copy_only=False)
-        begin = np.cumsum(sizes) - sizes
-        mixed = np.add.reduceat(group != np.repeat(group[begin], sizes), begin) > 0
-        rows, sizes = rows.filter(pa.array(np.repeat(mixed, sizes))), sizes[mixed]
-        if not len(sizes):
-            continue
-        group, key, near = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("component", "key", "near"))
-        i, j = _close(rows.column("words").to_numpy().astype(np.int64), bins_of(rows.column("bag").to_pylist()), sizes)
-        new = (group[i] != group[j]) & (near[j] != key[i])
-        yield pa.RecordBatch.from_arrays([pa.array(key[i[new]], pa.binary()), pa.array(key[j[new]], pa.binary())], ["a", "b"])
+        i, j = _strangers(rows, sizes)[:2]
+        found = np.zeros(rows.num_rows, dtype=bool)
+        found[i] = found[j] = True
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.select(names).filter(pa.array(found)).columns], names)
+
+
+def _strangers(rows: pa.Table, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j) of the rows of each block that may be similar and lie in two groups, and every row's group."""
+    _, group = np.unique(rows.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    mixed = np.add.reduceat(group != np.repeat(group[begin], sizes), begin) > 0
+    at = np.flatnonzero(np.repeat(mixed, sizes))
+    some = rows.take(pa.array(at))
+    i, j = _close(some.column("words").to_numpy().astype(np.int64), bins_of(some.column("bag").to_pylist()), sizes[mixed])
+    i, j = at[i], at[j]
+    apart = group[i] != group[j]
+    return i[apart], j[apart], group
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of similar lines that join the groups of each block: one less than there are groups at most."""
+    for rows, sizes in _blocks(batches):
+        i, j, group = _strangers(rows, sizes)
+        block = np.repeat(np.arange(len(sizes)), sizes)
+        key, content = (rows.column(n).to_pylist() for n in ("key", "content"))
+        words: dict[int, list[bytes]] = {}
+        heads: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def head(x: int) -> tuple[int, int]:
+            own = at = (int(block[x]), int(group[x]))
+            while (over := heads.get(at, at)) != at:
+                at = over
+            if own != at:
+                heads[own] = at
+            return at
+
+        found = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            one, other = head(x), head(y)
+            if one == other:
+                continue
+            for z in (x, y):
+                if z not in words:
+                    words[z] = content[z].split(b" ")
+            if similar(words[x], words[y]):
+                heads[one] = other
+                found.append((key[x], key[y]))
+        yield link_batch(found)
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -451,9 +569,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents share is one entry. Similar lines share a run of words (``run_sizes``): runs
     travel packed, and only those of several lines become rows. Buckets of the same lines
     count once, large ones are dealt out in blocks; only lines whose length and bag of words
-    allow a partner in their block go on. Verification takes two rounds, and looks at a pair
-    once however many runs it shares: first each line and the first partner of every
-    block, which joins most of a group; then the pairs that still lie in two groups. Lines of up
+    allow a partner in their block go on. Verification takes two rounds, and no round makes more
+    rows than the blocks have lines: first a spanning forest of every block, by the bags
+    most alike, which joins nearly all of a group; then the lines that may have a partner in another
+    group meet with their words, and each block hands on the links that join its groups. Lines of up
     to RUNS words miss no partner; of longer ones a share of the runs, by hash, is looked
     at, and a pair is missed with a chance of 6e-5 at the worst spread of edits.
     """
@@ -462,52 +581,49 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          F.coalesce(text_col, F.lit("")).alias("text"))
     lines = stage(marked.mapInArrow(
         _occurrences, "doc_id long, text_hash long, line int, key binary, mark long, words int, bag binary"), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "line")
-    unique = stage(lines.groupBy("key").agg(
-        F.count("*").alias("times"), F.min(place).alias("first"), F.max("mark").alias("mark"),
-        F.max("words").alias("words"), F.max("bag").alias("bag")), "unique")
+    # A key has one mark, one length and one bag.
+    unique = stage(lines.groupBy("key", "mark", "words", "bag").agg(F.count("*").alias("times")), "unique")
     total = lines.agg(F.sum(F.least("words", F.lit(RUNS)))).first()[0] or 0
     parts = parts_for(int(total), PART_RUNS)
     shared = (marked.select("text").mapInArrow(_runs(parts), "part int, runs binary, marks binary")
-              .repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "bucket long, mark long"))
-    in_bucket = stage(shared.join(unique.select("key", "mark", "words", "bag"), "mark")
-                      .select("bucket", "key", "words", "bag", F.xxhash64("key").alias("mark")), "line-buckets")
-    buckets = (in_bucket.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.sum("words").alias("words"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("who"))
-        .filter("m > 1").groupBy("m", "words", "who").agg(F.min("bucket").alias("bucket"))
-        .select("bucket", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks")))
-    block = F.pmod("mark", F.col("blocks")).cast("int")
-    dealt = (in_bucket.join(buckets, "bucket").select(
-        "bucket", "key", "words", "bag", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "words", "bag"))
+              .repartition(parts, "part").sortWithinPartitions("part")
+              .mapInArrow(_shared, "bucket long, mark long, m long").distinct())
+    in_bucket = (shared.join(unique.select("key", "mark", "words", "bag"), "mark")
+                 .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = (in_bucket.select("bucket", "key", "words", "bag", block.alias("block"),
+                              F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                     "key", "words", "bag"))
     order = ["bucket", "low", "high"]
     likely = stage(dealt.repartition(*order).sortWithinPartitions(*order, "key")
-                   .mapInArrow(_likely, "bucket long, low int, high int, key binary, near binary"), "likely")
-    active = stage(unique.join(likely.select("key").distinct(), "key", "left_semi").select("key", "words", "bag", "first"), "active")
-    wanted = active.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
-        F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("wanted"))
+                   .mapInArrow(_likely, "bucket long, low int, high int, key binary, a binary, b binary"), "likely")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "line")
+    active = likely.select("key").distinct()
+    wanted = (lines.join(active, "key", "left_semi").groupBy("key").agg(F.min(place).alias("first"))
+              .groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+              .agg(F.collect_list(F.struct("key", F.col("first.line").alias("line"))).alias("wanted")))
     same = marked["doc_id"].eqNullSafe(wanted["doc_id"]) & (marked["text_hash"] == wanted["text_hash"])
     contents = stage(marked.join(wanted, same).select("text", "wanted")
                      .mapInArrow(_chosen_lines, "key binary, content binary")
                      .groupBy("key").agg(F.any_value("content").alias("content")), "line-words")
-    nearest = likely.filter("near is not null").select(F.col("near").alias("a"), F.col("key").alias("b")).distinct()
+    nearest = likely.filter("a is not null").select("a", "b").distinct()
     joined = stage(components(confirmed(nearest, contents)), "line-groups")
-    so_far = active.join(joined, F.col("key") == F.col("node"), "left").select(
+    so_far = unique.join(active, "key", "left_semi").join(joined, F.col("key") == F.col("node"), "left").select(
         "key", "words", "bag", F.coalesce("component", "key").alias("component"))
-    parted = (likely.join(so_far, "key").repartition(*order).sortWithinPartitions(*order, "key")
-              .mapInArrow(_parted, "a binary, b binary").distinct())
+    parted = (likely.drop("a", "b").join(so_far, "key").repartition(*order).sortWithinPartitions(*order, "key")
+              .mapInArrow(_parted, "bucket long, low int, high int, key binary, words int, bag binary, component binary"))
+    parted = (parted.join(contents, "key").repartition(*order).sortWithinPartitions(*order, "key")
+              .mapInArrow(_joining, "a binary, b binary").distinct())
     links = confirmed(parted, contents).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
     reached = stage(components(links), "line-groups")
-    heads = unique.select("key", "times", "first").join(reached, F.col("key") == F.col("node"), "left")
-    alone = heads.filter("component is null and times > 1").select("key", "first")
-    grouped = heads.filter("component is not null").select("key", "component", "first")
-    kept = grouped.groupBy("component").agg(F.min("first").alias("first"))
-    heads = alone.unionByName(grouped.select("key", "component").join(kept, "component").select("key", "first"))
-    first = F.col("first")
-    extra = ~(F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_hash") == first["text_hash"])
-              & (F.col("line") == first["line"]))
-    return (lines.join(heads, "key").filter(extra).groupBy("doc_id", "text_hash")
-            .agg(F.collect_set("line").alias("lines")))
+    groups = (unique.select("key", "times").join(reached, F.col("key") == F.col("node"), "left")
+              .filter("component is not null or times > 1").select("key", F.coalesce("component", "key").alias("component")))
+    repeated = stage(lines.join(groups, "key").select("component", place.alias("place")), "repeated")
+    kept = repeated.groupBy("component").agg(F.min("place").alias("first"))
+    return (repeated.join(kept, "component").filter(~F.col("place").eqNullSafe(F.col("first")))
+            .groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"))
+            .agg(F.collect_set("place.line").alias("lines")))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
