@@ -259,3 +259,20 @@ def test_bags_count_repeated_words():
     assert [int(np.bitwise_count(bags[0] ^ bags[n]).sum()) for n in (0, 2)] == [0, 1]
     assert ld._matrix(found["words"], ld.bins_of([x.tobytes() for x in bags])).tolist() == [
         [False, False, True], [False, False, False], [True, False, False]]
+
+
+def test_lines_that_lack_words_take_no_alignment(monkeypatch):
+    """Pairs that the bits allow and the words don't end before the edit distance, which is slow for long lines."""
+    rng = random.Random(13)
+    lines = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(900)) for _ in range(12)]
+    found = ld.lines_of(pa.array(lines), sims=False)
+    names = pa.array([str(i).zfill(6).encode() for i in range(12)], pa.binary())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 12), pa.array([0] * 12, pa.int32()), pa.array([0] * 12, pa.int32()), names,
+         pa.array(found["words"], pa.int32()), pa.array([x.tobytes() for x in ld.bags_of(found)], pa.binary()), names,
+         pa.array([x.encode() for x in lines], pa.binary())],
+        ["bucket", "low", "high", "key", "words", "bag", "component", "content"])
+    assert sum(b.num_rows for b in ld._parted(iter([batch]))) == 12
+    monkeypatch.setattr(ld, "edit_distance", lambda a, b: 1 / 0)
+    assert sum(b.num_rows for b in ld._joining(iter([batch]))) == 0
+    assert ld._numbered_words([b"a", b"b", b"a"]) == {b"a", b"b", (b"a", 2)}

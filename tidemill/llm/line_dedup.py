@@ -470,6 +470,18 @@ def _strangers(rows: pa.Table, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i[apart], j[apart], group
 
 
+def _numbered_words(words: list[bytes]) -> frozenset:
+    """The words, the n-th occurrence of one as a word of its own."""
+    if len(once := frozenset(words)) == len(words):
+        return once
+    times: dict[bytes, int] = {}
+    out = set()
+    for word in words:
+        n = times[word] = times.get(word, 0) + 1
+        out.add((word, n) if n > 1 else word)
+    return frozenset(out)
+
+
 def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of similar lines that join the groups of each block: one less than there are groups at most."""
     for rows, sizes in _blocks(batches):
@@ -477,6 +489,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = np.repeat(np.arange(len(sizes)), sizes)
         key, content = (rows.column(n).to_pylist() for n in ("key", "content"))
         words: dict[int, list[bytes]] = {}
+        bags: dict[int, frozenset] = {}
         heads: dict[tuple[int, int], tuple[int, int]] = {}
 
         def head(x: int) -> tuple[int, int]:
@@ -495,7 +508,10 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for z in (x, y):
                 if z not in words:
                     words[z] = content[z].split(b" ")
-            if similar(words[x], words[y]):
+                    bags[z] = _numbered_words(words[z])
+            # Every word of the longer line that the other one lacks takes an edit; most pairs end here.
+            longer = max(len(words[x]), len(words[y]))
+            if longer - len(bags[x] & bags[y]) <= (1 - SIMILARITY) * longer + 1e-9 and similar(words[x], words[y]):
                 heads[one] = other
                 found.append((key[x], key[y]))
         yield link_batch(found)
@@ -613,7 +629,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "key", "words", "bag", F.coalesce("component", "key").alias("component"))
     parted = (likely.drop("a", "b").join(so_far, "key").repartition(*order).sortWithinPartitions(*order, "key")
               .mapInArrow(_parted, "bucket long, low int, high int, key binary, words int, bag binary, component binary"))
-    parted = (parted.join(contents, "key").repartition(*order).sortWithinPartitions(*order, "key")
+    # Rows are few here, and looking at them takes long.
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = (parted.join(contents, "key").repartition(many, *order).sortWithinPartitions(*order, "key")
               .mapInArrow(_joining, "a binary, b binary").distinct())
     links = confirmed(parted, contents).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
     reached = stage(components(links), "line-groups")
