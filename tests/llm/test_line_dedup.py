@@ -276,3 +276,24 @@ def test_lines_that_lack_words_take_no_alignment(monkeypatch):
     monkeypatch.setattr(ld, "edit_distance", lambda a, b: 1 / 0)
     assert sum(b.num_rows for b in ld._joining(iter([batch]))) == 0
     assert ld._numbered_words([b"a", b"b", b"a"]) == {b"a", b"b", (b"a", 2)}
+
+
+def test_runs_travel_in_less_than_ten_bytes():
+    """Many small batches: equal lines go once, and the first bytes of sorted runs compress."""
+    rng = random.Random(14)
+    lines = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(30)) for _ in range(4000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(lines[i:i + 200] + lines[:5])], ["text"]) for i in range(0, 4000, 200)]
+    out = list(ld._runs(2)(iter(batches)))
+    runs = 27 * 4000
+    data = [x for b in out for n in ("runs", "marks") for x in b.column(n).to_pylist()]
+    assert sum(len(pa.compress(x, codec="lz4", asbytes=True)) for x in data) < 9.9 * runs
+    marks = ld._unpacked([x for b in out for x in b.column("marks").to_pylist()], 6)
+    assert len(marks) == runs and len(set(marks.tolist())) == 4000
+
+
+@pytest.mark.parametrize("held", [1, 200, 10**6])
+def test_parts_and_batches_hide_no_partner(docs, monkeypatch, held):
+    monkeypatch.setattr(ld, "PART_RUNS", 50)
+    monkeypatch.setattr(ld, "HELD_RUNS", held)
+    got = ld.without_repeated_lines(docs(CASES["fuzzy"])).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == brute(CASES["fuzzy"])

@@ -26,8 +26,10 @@ SIMILARITY = 0.8
 RUN = 4
 #: Lines up to this length are found by all their runs; of longer ones about so many runs count.
 RUNS = 48
-#: Runs that one task sorts at once.
-PART_RUNS = 3_000_000
+#: Runs of a part, which are sorted at once, and parts that go to a task: many small ones even out.
+PART_RUNS, TASK_PARTS = 750_000, 4
+#: Runs that a task holds before it deals them out to the parts, more at most than one batch has.
+HELD_RUNS = 1_000_000
 #: Bytes of a line's bag of words, each bit the parity of the words that hash to it.
 BINS = 64
 #: Lines of a bucket that one task compares with each other.
@@ -139,12 +141,13 @@ _SIZES = [run_sizes(n) for n in range(17)]
 def _numbered(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The values; the n-th occurrence of one with the same owner is a value of its own."""
     mixed = mix(values + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ordered = np.sort(mixed)
-    again = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(again):
+    order = np.argsort(mixed)
+    ordered = mixed[order]
+    again = ordered[1:] == ordered[:-1]
+    if not again.any():
         return values
     # Few repeat: only those are put in order with their owners.
-    at = np.flatnonzero(again[np.minimum(np.searchsorted(again, mixed), len(again) - 1)] == mixed)
+    at = np.sort(order[np.append(again, False) | np.append(False, again)])
     at = at[np.lexsort((values[at], owner[at]))]
     value, line = values[at], owner[at]
     begin = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (line[1:] != line[:-1])]))
@@ -221,20 +224,27 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "text_hash", "line", "key", "mark", "words", "bag"])
 
 
-def _short(values: np.ndarray, low: int, width: int) -> np.ndarray:
-    """So many bytes of each number, from byte ``low`` on."""
-    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, low:low + width])
+def _packed(values: np.ndarray, edges: np.ndarray, width: int) -> list[bytes]:
+    """For each stretch of the numbers their lowest bytes, first all lowest ones, then all the next:
+    of sorted numbers the highest bytes are alike, so they compress."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return [planes[:, low:high].tobytes() for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def _long(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+def _unpacked(pieces: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((sum(map(len, pieces)) // width, 8), dtype=np.uint8)
+    at = 0
+    for piece in pieces:
+        planes = np.frombuffer(piece, dtype=np.uint8).reshape(width, -1)
+        out[at:at + planes.shape[1], :width] = planes.T
+        at += planes.shape[1]
     return out.view(np.uint64).reshape(-1)
 
 
-def _distinct(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The lines of a batch, equal ones once."""
+def _distinct(found: dict[str, np.ndarray], seen: np.ndarray) -> dict[str, np.ndarray]:
+    """The lines of a batch, equal ones once and those seen before not at all."""
     once = np.sort(np.unique(found["key"][:, 0], return_index=True)[1])
+    once = once[~np.isin(found["key"][once, 0], seen)]
     kept = np.zeros(len(found["words"]), dtype=bool)
     kept[once] = True
     words = found["words"][once]
@@ -243,25 +253,37 @@ def _distinct(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _runs(parts: int):
-    """Per part of the hashes, the runs of a batch and the marks of their lines, packed.
+    """Per part of the runs, those of some batches and the marks of their lines, packed.
 
-    The part stands for the first bits of a run, so five bytes tell runs apart.
+    A part holds some PART_RUNS, so that four bytes tell nearly all of its runs apart; lines
+    that meet by chance are looked at like any others.
     """
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # Mixed once more: of long lines the runs with small hashes are here, which would go to the first parts.
+        spread, marks = mix(np.concatenate([x[0] for x in held])), np.concatenate([x[1] for x in held])
+        part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        sorting = (part << np.uint64(32)) | (spread & np.uint64(0xFFFFFFFF))
+        order = np.argsort(sorting)
+        sorting, marks = sorting[order], marks[order]
+        edges = np.searchsorted(sorting, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+        some = np.flatnonzero(np.diff(edges))
+        edges = np.append(edges[some], edges[-1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array(_packed(sorting, edges, 4), pa.binary()),
+             pa.array(_packed(marks, edges, 6), pa.binary())], ["part", "runs", "marks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, many = [], np.zeros(0, np.uint64), 0
         for batch in batches:
-            found = _distinct(lines_of(batch.column("text"), sims=False))
+            found = _distinct(lines_of(batch.column("text"), sims=False), seen)
             runs, owner = runs_in(found)
-            order = np.argsort(runs)
-            runs, marks = runs[order], _marks(found["key"])[owner[order]]
-            part = ((runs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(edges))
-            runs, marks = _short(runs, 2, 5), _short(marks, 0, 6)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()),
-                 pa.array([runs[edges[p]:edges[p + 1]].tobytes() for p in some], pa.binary()),
-                 pa.array([marks[edges[p]:edges[p + 1]].tobytes() for p in some], pa.binary())],
-                ["part", "runs", "marks"])
+            held.append((runs, _marks(found["key"])[owner]))
+            seen, many = np.append(seen, found["key"][:, 0]), many + len(runs)
+            if many >= HELD_RUNS:
+                yield dealt(held)
+                held, seen, many = [], seen[:0], 0
+        if many:
+            yield dealt(held)
     return run
 
 
@@ -269,16 +291,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines, by mark, of the runs of a part that several have. A bucket is named by its
     lines, so that runs of the same lines are one bucket; ``m`` is their number."""
     for group in runs_of(batches, ["part"]):
-        runs = _long(b"".join(group.column("runs").to_pylist()), 5)
-        marks = _long(b"".join(group.column("marks").to_pylist()), 6)
-        order = np.lexsort((marks, runs))
+        runs, marks = (_unpacked(group.column(n).to_pylist(), width) for n, width in (("runs", 4), ("marks", 6)))
+        # Most runs stand once: only the others are put in order with their lines.
+        order = np.argsort(runs)
+        ordered = runs[order]
+        again = ordered[1:] == ordered[:-1]
+        order = order[np.append(again, False) | np.append(False, again)] if len(runs) else order
+        order = order[np.lexsort((marks[order], runs[order]))]
         runs, marks = runs[order], marks[order]
         new = np.ones(len(runs), dtype=bool)
         new[1:] = (runs[1:] != runs[:-1]) | (marks[1:] != marks[:-1])
         runs, marks = runs[new], marks[new]
         begin = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
         m = np.diff(np.append(begin, len(runs)))
-        marks, begin, m = marks[np.repeat(m > 1, m)], begin[m > 1], m[m > 1]
+        marks, m = marks[np.repeat(m > 1, m)], m[m > 1]
         if not len(m):
             continue
         bucket = mix(np.add.reduceat(mix(marks + np.uint64(1)), np.cumsum(m) - m) + m.astype(np.uint64))
@@ -583,7 +609,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal lines fold first, with partial sums, so a line that a third of the
     documents share is one entry. Similar lines share a run of words (``run_sizes``): runs
-    travel packed, and only those of several lines become rows. Buckets of the same lines
+    travel packed, and only those of several lines become rows, staged so that the runs are gone before the joins. Buckets of the same lines
     count once, large ones are dealt out in blocks; only lines whose length and bag of words
     allow a partner in their block go on. Verification takes two rounds, and no round makes more
     rows than the blocks have lines: first a spanning forest of every block, by the bags
@@ -597,13 +623,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          F.coalesce(text_col, F.lit("")).alias("text"))
     lines = stage(marked.mapInArrow(
         _occurrences, "doc_id long, text_hash long, line int, key binary, mark long, words int, bag binary"), "lines")
-    # A key has one mark, one length and one bag.
-    unique = stage(lines.groupBy("key", "mark", "words", "bag").agg(F.count("*").alias("times")), "unique")
     total = lines.agg(F.sum(F.least("words", F.lit(RUNS)))).first()[0] or 0
     parts = parts_for(int(total), PART_RUNS)
-    shared = (marked.select("text").mapInArrow(_runs(parts), "part int, runs binary, marks binary")
-              .repartition(parts, "part").sortWithinPartitions("part")
-              .mapInArrow(_shared, "bucket long, mark long, m long").distinct())
+    shared = stage(marked.select("text").mapInArrow(_runs(parts), "part int, runs binary, marks binary")
+                   .repartition(parts_for(parts, TASK_PARTS), "part").sortWithinPartitions("part")
+                   .mapInArrow(_shared, "bucket long, mark long, m long").distinct(), "shared")
+    # A key has one mark, one length and one bag.
+    unique = stage(lines.groupBy("key", "mark", "words", "bag").agg(F.count("*").alias("times")), "unique")
     in_bucket = (shared.join(unique.select("key", "mark", "words", "bag"), "mark")
                  .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")

@@ -23,6 +23,9 @@ SQL_DEFAULTS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Whether an execution deletes its shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the library's runtime SQL settings to an existing session."""
@@ -70,10 +73,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     For a result several later steps start from: it is computed once, its
     lineage ends in files that outlive any executor, and the planner knows
-    its size.
+    its size. What its job shuffled is deleted with the job, not when the driver
+    happens to collect garbage: nothing reads it again.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
